@@ -44,7 +44,7 @@ def initial_name(first, last) -> Column:
 def first_digits(c) -> Column:
     """First run of digits (as int) in the base name of a path (Q9)."""
     base = F.regexp_extract(col_(c), r"([^/]*)$", 1)
-    return F.try_cast(F.nullif(F.regexp_extract(base, r"\d+", 0), F.lit("")), "int")
+    return F.nullif(F.regexp_extract(base, r"\d+", 0), F.lit("")).try_cast("int")
 
 
 def na_text(c, text: str = "NA") -> Column:
