@@ -12,7 +12,7 @@ The test tables carry no football plays, so events stand in for them
   ``epa`` = value, ``play_id`` = event_id (unique order key)
 * ``defteam`` = ``T<user_id xor 1>`` (users paired as opponents);
   rush = view/click, pass = purchase/signup, ``yards_gained`` = value - 35,
-  ``success`` = value >= 40, ``down`` = k % 4 + 1, ``play_clock`` = text of k % 40
+  ``success`` = value >= 40, ``down`` = floor(value) % 4 + 1, ``play_clock`` = text of k % 40
 * kicker = ``K<user_id>`` normally, the backup ``B<user_id>`` on kicks with
   k >= 95 (so some team-games have two kickers and are dropped, F7)
 """
@@ -54,7 +54,7 @@ def plays_from_events(events: DataFrame) -> DataFrame:
         et.isin("purchase", "signup").cast("int").alias("pass"),
         (F.col("value") - 35).alias("yards_gained"),
         (F.col("value") >= 40).cast("int").alias("success"),
-        (k % 4 + 1).alias("down"),
+        (F.floor("value") % 4 + 1).cast("int").alias("down"),
         (k % 40).cast("string").alias("play_clock"),
         F.col("user_id"),
         F.col("event_type"),
@@ -88,7 +88,7 @@ plays AS (
          CAST(event_type IN ('purchase', 'signup') AS INTEGER) AS pass,
          value - 35 AS yards_gained,
          CAST(value >= 40 AS INTEGER) AS success,
-         k % 4 + 1 AS down,
+         CAST(CAST(floor(value) AS BIGINT) % 4 + 1 AS INTEGER) AS down,
          CAST(k % 40 AS VARCHAR) AS play_clock,
          user_id, event_type, ts
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,

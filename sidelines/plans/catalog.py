@@ -39,7 +39,10 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)):
             out[f.name] = F.col(f.name).cast("bigint")
         elif isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
-            out[f.name] = F.round(F.col(f.name).cast("double"), digits)
+            # round the scaled binary value (not its shortest decimal text), so
+            # exact ties round like the SQL engines do
+            scale = float(10 ** digits)
+            out[f.name] = F.round(F.col(f.name).cast("double") * scale, 0) / scale
     return df.withColumns(out) if out else df
 
 

@@ -1 +1,133 @@
-"""placeholder"""
+"""Expected-points and scenario-grid queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sidelines.functions.domain import goal_to_go
+from sidelines.plans.adapter import PLAYS_SQL, plays_from_events
+from sidelines.plans.catalog import finish, register
+from sidelines.plans.scenario import (SCORE_OF_EVENT, SCORE_POINTS, empirical_ep, fit_ep_model, next_score,
+                                      scenario, score_ep_model, slice_grid, tooltip)
+from sidelines.sources.io import table
+
+# The scenario baseline row and the grid axes.
+BASELINE = {"season": 2019, "home_team": "SEA", "posteam": "SEA", "roof": "outdoors",
+            "half_seconds_remaining": 900, "yardline_100": 75, "down": 1, "ydstogo": 10,
+            "posteam_timeouts_remaining": 3, "defteam_timeouts_remaining": 3}
+SECONDS = list(range(1800, -1, -1))
+YARDS = list(range(99, -1, -1))
+SIDES = ["SEA", "KC"]
+
+
+def labelled_plays(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    p = plays_from_events(table(spark, sf, "events"))
+    m = F.create_map(*[F.lit(x) for kv in SCORE_OF_EVENT.items() for x in kv])
+    p = p.withColumn("score_type", F.try_element_at(m, F.col("event_type")))
+    return next_score(p)
+
+
+LABEL_SQL = PLAYS_SQL + """,
+lab AS (
+  SELECT *, coalesce(first_value(score_type IGNORE NULLS) OVER (PARTITION BY game_id, posteam ORDER BY play_id
+                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'No_Score') AS next_score
+  FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'Touchdown' WHEN 'signup' THEN 'Field_Goal'
+                    WHEN 'error' THEN 'Opp_Touchdown' WHEN 'click' THEN 'Opp_Field_Goal' END AS score_type FROM plays)),
+pts AS (SELECT *, CASE next_score WHEN 'Touchdown' THEN 7 WHEN 'Field_Goal' THEN 3 WHEN 'Safety' THEN 2
+                    WHEN 'No_Score' THEN 0 WHEN 'Opp_Safety' THEN -2 WHEN 'Opp_Field_Goal' THEN -3
+                    WHEN 'Opp_Touchdown' THEN -7 END AS points FROM lab),
+ept AS (SELECT yardline_100, down, sum(points) / count(*) AS ep, count(*) AS n_plays FROM pts GROUP BY 1, 2)"""
+
+
+@register("next_score_label", "WITH " + LABEL_SQL + """
+SELECT play_id, next_score FROM lab""")
+def q_next_score_label(spark, sf):
+    """Next-score class of every play (first score at or after it in the
+    same game half, else No_Score)."""
+    return finish(labelled_plays(spark, sf).select("play_id", "next_score"))
+
+
+@register("expected_points", "WITH " + LABEL_SQL + """
+SELECT CAST(yardline_100 AS BIGINT) AS yardline_100, CAST(down AS BIGINT) AS down, round(ep, 6) AS ep, n_plays FROM ept""")
+def q_expected_points(spark, sf):
+    """I8 (empirical model): EP by game state = sum(points x P(next score))."""
+    return finish(empirical_ep(labelled_plays(spark, sf), ["yardline_100", "down"]))
+
+
+GRID_SQL = f"""
+g AS (SELECT range AS grid_index, 1800 - (range // 200) AS half_seconds_remaining, 99 - ((range // 2) % 100) AS yardline_100,
+             CASE range % 2 WHEN 0 THEN 'SEA' ELSE 'KC' END AS posteam
+      FROM range(0, {len(SECONDS) * len(YARDS) * len(SIDES)}))"""
+
+
+@register("scenario_cross", "WITH " + LABEL_SQL + "," + GRID_SQL + """
+SELECT g.grid_index, CAST(2019 AS BIGINT) AS season, 'SEA' AS home_team, 'outdoors' AS roof, g.half_seconds_remaining, g.yardline_100,
+       g.posteam, CAST(1 AS BIGINT) AS down, CASE WHEN g.yardline_100 < 10 THEN g.yardline_100 ELSE 10 END AS ydstogo,
+       CAST(3 AS BIGINT) AS posteam_timeouts_remaining, CAST(3 AS BIGINT) AS defteam_timeouts_remaining,
+       round(e.ep * g.half_seconds_remaining / 1800.0, 6) AS ep
+FROM g LEFT JOIN ept e ON e.yardline_100 = g.yardline_100 AND e.down = 1""", headline=True)
+def q_scenario_cross(spark, sf):
+    """J6 + J7 + I7 + X24: baseline minus the varied columns x the
+    1,801 x 100 x 2 grid (360,200 rows, generated from one range, no join),
+    goal-to-go clamp, scored with the empirical EP of the plays, scaled by
+    the share of the half left."""
+    grid = scenario(spark, BASELINE, {"half_seconds_remaining": SECONDS, "yardline_100": YARDS, "posteam": SIDES})
+    grid = grid.withColumn("ydstogo", goal_to_go("yardline_100", F.lit(10)))
+    ep = empirical_ep(labelled_plays(spark, sf), ["yardline_100", "down"])
+    out = grid.join(ep.drop("n_plays"), ["yardline_100", "down"], "left")
+    out = out.withColumn("ep", F.col("ep") * F.col("half_seconds_remaining") / 1800.0)
+    return finish(out.select("grid_index", "season", "home_team", "roof", "half_seconds_remaining", "yardline_100",
+                             "posteam", "down", "ydstogo", "posteam_timeouts_remaining",
+                             "defteam_timeouts_remaining", "ep"))
+
+
+# The downs figure (downs 1-3 at five yard lines).
+DOWN_LEVELS, DOWN_LABELS = [1, 2, 3], ["1st down", "2nd down", "3rd down"]
+FIVE_YARDS = [10, 25, 50, 75, 90]
+
+
+@register("grid_slice", "WITH " + LABEL_SQL + """,
+g AS (SELECT 1 + (range // 5) AS down, [90, 75, 50, 25, 10][1 + (range % 5)] AS yardline_100 FROM range(0, 15))
+SELECT CAST(g.down AS BIGINT) AS down, CAST(g.yardline_100 AS BIGINT) AS yardline_100,
+       CASE g.down WHEN 1 THEN '1st down' WHEN 2 THEN '2nd down' WHEN 3 THEN '3rd down' END AS down_label,
+       CAST(g.down AS BIGINT) AS down_ord, round(e.ep, 6) AS ep
+FROM g LEFT JOIN ept e ON e.yardline_100 = g.yardline_100 AND e.down = g.down""")
+def q_grid_slice(spark, sf):
+    """The downs figure slice: downs x five yard lines, factor labels,
+    scored with the empirical EP."""
+    grid = scenario(spark, {}, {"down": DOWN_LEVELS, "yardline_100": sorted(FIVE_YARDS, reverse=True)}, None)
+    ep = empirical_ep(labelled_plays(spark, sf), ["yardline_100", "down"]).drop("n_plays")
+    out = slice_grid(grid.join(ep, ["yardline_100", "down"], "left"), {"down": DOWN_LEVELS},
+                     {"down": (DOWN_LEVELS, DOWN_LABELS)})
+    return finish(out.select("down", "yardline_100", "down_label", "down_ord", "ep"))
+
+
+@register("tooltip", "WITH " + LABEL_SQL + """
+SELECT CAST(yardline_100 AS BIGINT) AS yardline_100,
+       'Yardline: ' || CAST(yardline_100 AS VARCHAR) || '<br>' || 'Down: ' || CAST(down AS VARCHAR) || '<br>'
+       || 'EP: ' || printf('%.2f', round(ep, 2)) AS text
+FROM ept WHERE yardline_100 IN (10, 25, 50, 75, 90)""")
+def q_tooltip(spark, sf):
+    """Hover text per scored state."""
+    ep = empirical_ep(labelled_plays(spark, sf), ["yardline_100", "down"])
+    ep = slice_grid(ep, {"yardline_100": FIVE_YARDS})
+    txt = tooltip([("Yardline", F.col("yardline_100")), ("Down", F.col("down")),
+                   ("EP", F.format_string("%.2f", F.round("ep", 2)))])
+    return finish(ep.select("yardline_100", txt.alias("text")))
+
+
+@register("ep_model")
+def q_ep_model(spark, sf):
+    """I8 (model): multinomial logistic regression of the next score on the
+    play state, then EP = sum(points x probability) over the downs x yards
+    slice.  Rows-only (model fit)."""
+    lab = labelled_plays(spark, sf).withColumn("ydstogo", goal_to_go("yardline_100", F.lit(10)))
+    feats = ["yardline_100", "down", "ydstogo"]
+    model, labels = fit_ep_model(lab.select(*feats, "next_score"), feats)
+    grid = scenario(spark, {"ydstogo": 10}, {"down": DOWN_LEVELS, "yardline_100": YARDS}, None)
+    grid = grid.withColumn("ydstogo", goal_to_go("yardline_100", F.lit(10)))
+    return finish(score_ep_model(model, labels, grid).select("down", "yardline_100", "ep"))
+
+
+_ = SCORE_POINTS
