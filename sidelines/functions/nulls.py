@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = ["col_", "if_na", "is_in", "sum0", "count_where", "count_present", "max_na",
-           "n_distinct_na", "first_by", "rate", "pct_diff", "fill_value"]
+           "n_distinct_na", "first_by", "rate", "pct_diff", "fill_value", "safe_corr"]
 
 
 def col_(c) -> Column:
@@ -79,3 +79,12 @@ def fill_value(c, cond: Column, value) -> Column:
     """Fill a NULL with ``value`` only where ``cond`` holds."""
     c = col_(c)
     return F.when(c.isNull() & cond, F.lit(value)).otherwise(c)
+
+
+def safe_corr(a, b) -> Column:
+    """Pearson correlation over pairwise-complete rows that is NULL (not an
+    ANSI divide-by-zero error) when either side is constant."""
+    a, b = col_(a), col_(b)
+    both = a.isNotNull() & b.isNotNull()
+    a2, b2 = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_samp(a2, b2), F.sqrt(F.var_samp(a2) * F.var_samp(b2)))

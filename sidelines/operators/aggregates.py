@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sidelines.functions.nulls import col_
+from sidelines.functions.nulls import col_, safe_corr
 
 __all__ = ["summarise", "distinct_keys", "frequency", "two_level", "with_scalar", "scalar",
            "corr_pairwise", "null_profile", "median", "iqr", "quantiles", "hexbin",
@@ -56,7 +56,7 @@ def with_scalar(df: DataFrame, agg_df: DataFrame) -> DataFrame:
 
 def corr_pairwise(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), name: str = "corr") -> DataFrame:
     """Pearson correlation over pairwise-complete rows."""
-    return summarise(df, keys, **{name: F.corr(a, b)})
+    return summarise(df, keys, **{name: safe_corr(a, b)})
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

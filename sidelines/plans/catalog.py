@@ -46,9 +46,8 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def _load():
-    # import for registration side effects
-    from sidelines.plans import q_plays, q_tables, q_impact, q_scenario, q_ml  # noqa: F401
-
-
-_load()
+def load_all() -> tuple[dict, dict]:
+    """Import every query module (registration side effect); return the
+    query and oracle registries."""
+    from sidelines.plans import q_impact, q_ml, q_plays, q_scenario, q_tables  # noqa: F401
+    return QUERIES, ORACLE

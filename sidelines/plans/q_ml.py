@@ -1 +1,330 @@
-"""placeholder"""
+"""Feature, model and evaluation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sidelines.ml.features import FEATURE_SETS, stratified_folds
+from sidelines.ml.importance import coefficient_importance, permutation_importance
+from sidelines.ml.knn import knn_regression
+from sidelines.ml.metrics import compare_models, regression_metrics, univariate_table
+from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt, fit_lasso, fit_rff_svr)
+from sidelines.ml.recipe import corr_matrix, recipe, spline_basis, zero_variance
+from sidelines.ml.smoother import local_smooth
+from sidelines.ml.stack import fit_stack, oof_predictions, penalty_path
+from sidelines.ml.tune import tune
+from sidelines.operators.aggregates import scalar
+from sidelines.operators.joins import enrich
+from sidelines.operators.windows import lagged_cum
+from sidelines.plans.catalog import finish, register
+from sidelines.session import cut_lineage
+from sidelines.plans.kicker import KICKER_KEYS, kicker_features, kicker_games
+from sidelines.plans.q_plays import BASE, GAMES, MIN_ATTEMPTS, MIN_GAMES, plays, with_
+from sidelines.sources.io import table
+
+TEST_FROM = "2024-01-22"  # last full week of events is the test season
+LABEL = "y"
+KEY = ["season", "game_id", "posteam"]
+
+
+def model_frame(spark, sf):
+    """Modelling rows: one per kicker-game, season-to-date features only
+    (no leakage), NULL features imputed by the column mean, label = points."""
+    p = plays(spark, sf)
+    g = kicker_games(p)
+    f = kicker_features(p, MIN_GAMES, MIN_ATTEMPTS).drop("n_kkrszn_mv")
+    frame = enrich(g, f, [*KICKER_KEYS, "season", "game_id"], null_safe=True)
+    overall = scalar(g.agg(F.avg("total_points")))
+    frame = frame.withColumn("szn_kkr_mean_pts", F.coalesce(
+        lagged_cum("total_points", "mean", ["season", "posteam", *KICKER_KEYS], ["game_id"]), overall))
+    frame = frame.withColumn("n_kkrszn_mv", lagged_cum("kicker_name", "count", [*KICKER_KEYS, "season"], ["game_id"]))
+    feats = sorted({c for v in FEATURE_SETS.values() for c in v})
+    frame = frame.withColumns({c: F.col(c).cast("double") for c in feats})
+    frame = frame.withColumn(LABEL, F.col("total_points").cast("double")) \
+                 .withColumn("split", F.when(F.col("season") < F.lit(TEST_FROM).cast("date"), "train").otherwise("test"))
+    # iterative fits re-read their input many times: materialise it once in the
+    # shared checkpoint folder (reliable, survives executor loss)
+    frame = cut_lineage(frame.select(*KEY, *KICKER_KEYS, *feats, LABEL, "split"))
+    # NULL features -> column mean: one struct-valued scalar subquery, reused
+    means = frame.agg(F.struct(*[F.avg(c).alias(c) for c in feats]).alias("m")).scalar()
+    return frame.withColumns({c: F.coalesce(F.col(c), means[c]) for c in feats})
+
+
+def split(frame):
+    return frame.where(F.col("split") == "train"), frame.where(F.col("split") == "test")
+
+
+# ---------------------------------------------------------------- SQL-checked
+
+@register("stratified_folds", """
+SELECT o_orderkey, o_orderstatus,
+       CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 10 AS BIGINT) AS fold
+FROM orders""")
+def q_stratified_folds(spark, sf):
+    """M2: 10 folds stratified on status (3 levels, so levels are the strata)."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return finish(stratified_folds(o, "o_orderstatus", 10, "o_orderkey"))
+
+
+RECIPE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@register("recipe_filters", """
+SELECT 'l_quantity' AS column, round(min(l_quantity), 6) AS min, round(max(l_quantity), 6) AS max,
+       coalesce(min(l_quantity) = max(l_quantity), true) AS zero_var FROM lineitem
+UNION ALL SELECT 'l_extendedprice', round(min(l_extendedprice), 6), round(max(l_extendedprice), 6),
+       coalesce(min(l_extendedprice) = max(l_extendedprice), true) FROM lineitem
+UNION ALL SELECT 'l_discount', round(min(l_discount), 6), round(max(l_discount), 6),
+       coalesce(min(l_discount) = max(l_discount), true) FROM lineitem
+UNION ALL SELECT 'l_tax', round(min(l_tax), 6), round(max(l_tax), 6), coalesce(min(l_tax) = max(l_tax), true) FROM lineitem
+UNION ALL SELECT 'l_linenumber', round(min(l_linenumber), 6), round(max(l_linenumber), 6),
+       coalesce(min(l_linenumber) = max(l_linenumber), true) FROM lineitem
+UNION ALL SELECT 'const_one', 1.0, 1.0, true FROM lineitem LIMIT 6""")
+def q_recipe_filters(spark, sf):
+    """M3: zero-variance filter statistics in one pass (a constant column
+    included to show the filter firing)."""
+    li = table(spark, sf, "lineitem").withColumn("const_one", F.lit(1.0))
+    return finish(zero_variance(li, RECIPE_COLS + ["const_one"]))
+
+
+@register("standardize", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_samp(l_quantity) FROM lineitem), 6)
+    AS l_quantity,
+  round((l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem))
+        / (SELECT stddev_samp(l_extendedprice) FROM lineitem), 6) AS l_extendedprice
+FROM lineitem""")
+def q_standardize(spark, sf):
+    """M7: centre and scale (sample standard deviation)."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    rm = recipe(li, ["l_quantity", "l_extendedprice"], zv=False, corr=None, lincomb=False, scale=True)
+    return finish(rm.transform(li))
+
+
+@register("univariate_regression", """
+WITH l AS (UNPIVOT (SELECT l_extendedprice AS y, l_quantity, l_discount, l_tax FROM lineitem)
+           ON l_quantity, l_discount, l_tax INTO NAME term VALUE x),
+f AS (SELECT term, regr_slope(y, x) AS beta, regr_intercept(y, x) AS intercept, regr_sxx(y, x) AS sxx,
+             regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_count(y, x) AS n FROM l GROUP BY term)
+SELECT term, round(beta, 6) AS beta, round(intercept, 6) AS intercept,
+       round(sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 6) AS se,
+       round(beta / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 6) AS t_stat, CAST(n AS BIGINT) AS n FROM f""")
+def q_univariate_regression(spark, sf):
+    """M9: one-predictor Gaussian fits (beta, intercept, se, t) in one groupBy."""
+    li = table(spark, sf, "lineitem")
+    return finish(univariate_table(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], inference=False))
+
+
+@register("local_smoother", """
+WITH pts AS (SELECT l_quantity AS x, count(*) AS n, sum(l_extendedprice) AS sy FROM lineitem
+             WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY 1),
+g AS (SELECT CAST(range AS DOUBLE) AS grid_x FROM range(1, 51)),
+j AS (SELECT grid_x, x, n, sy, x - grid_x AS dx, pow(1 - pow(abs(x - grid_x) / 5.0, 3), 3) * n AS w
+      FROM g JOIN pts ON abs(x - grid_x) < 5.0),
+s AS (SELECT grid_x, sum(w) AS s0, sum(w * dx) AS s1, sum(w * dx * dx) AS s2, sum(w * sy / n) AS t0,
+             sum(w * dx * sy / n) AS t1, count(*) AS n_x FROM j GROUP BY grid_x)
+SELECT grid_x, round(CASE WHEN n_x >= 2 AND s0 * s2 - s1 * s1 <> 0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) END, 6)
+       AS fit, round(s0, 6) AS n_eff FROM s""")
+def q_local_smoother(spark, sf):
+    """Tricube local-linear curve of price on quantity at 50 grid points."""
+    li = table(spark, sf, "lineitem")
+    return finish(local_smooth(li, "l_quantity", "l_extendedprice", list(range(1, 51)), 5.0))
+
+
+MODEL_SQL = with_(*BASE, GAMES, f"""
+fr AS (
+  SELECT season, game_id, posteam, CAST(total_points AS DOUBLE) AS y,
+    coalesce(avg(total_points) OVER (PARTITION BY season, posteam, kicker_name, kicker_id ORDER BY game_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), (SELECT avg(total_points) FROM games))
+      AS szn_kkr_mean_pts,
+    (SELECT avg(total_points) FROM games) AS overall_mean,
+    CASE WHEN season < DATE '{TEST_FROM}' THEN 'train' ELSE 'test' END AS split
+  FROM games)""")
+
+
+@register("metrics_table", MODEL_SQL + """
+SELECT split, model, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(rsq, 6) AS rsq FROM (
+  SELECT split, 'szn_kkr_mean_pts' AS model, sqrt(avg((szn_kkr_mean_pts - y) ** 2)) AS rmse,
+         avg(abs(szn_kkr_mean_pts - y)) AS mae, corr(szn_kkr_mean_pts, y) ** 2 AS rsq FROM fr GROUP BY split
+  UNION ALL
+  SELECT split, 'overall_mean', sqrt(avg((overall_mean - y) ** 2)), avg(abs(overall_mean - y)),
+         corr(overall_mean, y) ** 2 FROM fr GROUP BY split)""")
+def q_metrics_table(spark, sf):
+    """M8 + M23: rmse / mae / squared correlation of the baseline predictors
+    (season-to-date mean with overall fallback; the overall mean) by split."""
+    g = kicker_games(plays(spark, sf))
+    overall = scalar(g.agg(F.avg("total_points")))
+    fr = g.select("season", "game_id", "posteam", F.col("total_points").cast("double").alias("y"),
+                  F.coalesce(lagged_cum("total_points", "mean", ["season", "posteam", *KICKER_KEYS], ["game_id"]),
+                             overall).alias("szn_kkr_mean_pts"),
+                  overall.alias("overall_mean"),
+                  F.when(F.col("season") < F.lit(TEST_FROM).cast("date"), "train").otherwise("test").alias("split"))
+    m = regression_metrics(fr, "y", ["szn_kkr_mean_pts", "overall_mean"], keys=["split"])
+    return finish(m.select("split", "model", "rmse", "mae", "rsq"))
+
+
+@register("model_comparison", MODEL_SQL + """
+SELECT model, round(max(rmse) FILTER (WHERE split = 'train'), 6) AS rmse_train,
+       round(max(rmse) FILTER (WHERE split = 'test'), 6) AS rmse_test,
+       CASE model WHEN 'szn_kkr_mean_pts' THEN 'Season-to-date mean' ELSE 'Overall mean' END AS label
+FROM (SELECT split, 'szn_kkr_mean_pts' AS model, sqrt(avg((szn_kkr_mean_pts - y) ** 2)) AS rmse FROM fr GROUP BY split
+      UNION ALL SELECT split, 'overall_mean', sqrt(avg((overall_mean - y) ** 2)) FROM fr GROUP BY split)
+GROUP BY model""")
+def q_model_comparison(spark, sf):
+    """Train and test RMSE side by side with display labels."""
+    m = q_metrics_table(spark, sf)
+    tr, te = m.where(F.col("split") == "train").drop("split"), m.where(F.col("split") == "test").drop("split")
+    out = compare_models(tr, te, "rmse", {"szn_kkr_mean_pts": "Season-to-date mean", "overall_mean": "Overall mean"})
+    return finish(out.select("model", "rmse_train", "rmse_test", "label"))
+
+
+@register("knn_regression", """
+WITH d AS (SELECT a.vec_id, b.vec_id AS nid, b.label AS nlabel,
+                  list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist
+           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nid) AS rn FROM d),
+p AS (SELECT vec_id, avg(nlabel) AS pred, count(*) AS n_neighbors FROM r WHERE rn <= 5 GROUP BY vec_id)
+SELECT e.vec_id, CAST(e.label AS BIGINT) AS label, round(p.pred, 6) AS pred, p.n_neighbors
+FROM embeddings e LEFT JOIN p ON e.vec_id = p.vec_id""")
+def q_knn_regression(spark, sf):
+    """Exact leave-one-out 5-NN regression of the label on the embedding
+    (projection bound + bucketed band join; the oracle is brute force)."""
+    e = table(spark, sf, "embeddings")
+    return finish(knn_regression(e, "vec_id", "embedding", "label", k=5))
+
+
+# ---------------------------------------------------------------- rows-only (model fits)
+
+FEATS = FEATURE_SETS["season_to_date"]
+
+
+def _test_metrics(model, test, name):
+    return regression_metrics(model.transform(test).withColumnRenamed("prediction", name), LABEL, [name])
+
+
+@register("gbt")
+def q_gbt(spark, sf):
+    """M11 (+M22, M8): boosted trees fitted on the training seasons, scored on the test season."""
+    tr, te = split(model_frame(spark, sf))
+    m = fit_gbt(tr, FEATS, LABEL, trees=50, tree_depth=3, min_n=5, learn_rate=0.1)
+    return finish(_test_metrics(m, te, "gbt"))
+
+
+@register("elastic_net")
+def q_elastic_net(spark, sf):
+    """Elastic net, mixture 0.5."""
+    tr, te = split(model_frame(spark, sf))
+    return finish(_test_metrics(fit_enet(tr, FEATS, LABEL, 0.01, 0.5), te, "elastic_net"))
+
+
+@register("lasso")
+def q_lasso(spark, sf):
+    """M13 + M21: the source's "ridge" (mixture 1 = lasso) and its signed
+    coefficient importance."""
+    tr, _ = split(model_frame(spark, sf))
+    m = fit_lasso(tr, FEATS, LABEL, 0.01)
+    return finish(coefficient_importance(spark, list(m.stages[-1].coefficients), FEATS))
+
+
+@register("forest")
+def q_forest(spark, sf):
+    """Random forest."""
+    tr, te = split(model_frame(spark, sf))
+    return finish(_test_metrics(fit_forest(tr, FEATS, LABEL, trees=50, min_n=5), te, "forest"))
+
+
+@register("rff_svr")
+def q_rff_svr(spark, sf):
+    """RBF support-vector regression re-aimed as random Fourier
+    features + Huber loss."""
+    tr, te = split(model_frame(spark, sf))
+    return finish(_test_metrics(fit_rff_svr(tr, FEATS, LABEL, n_components=32), te, "rff_svr"))
+
+
+@register("bagged_mlp")
+def q_bagged_mlp(spark, sf):
+    """Bagged MLP (Poisson bootstrap weights, distributed full-batch Adam)."""
+    tr, te = split(model_frame(spark, sf))
+    m = fit_bagged_mlp(tr, FEATS, LABEL, hidden=6, bags=5, epochs=25, key=KEY)
+    return finish(regression_metrics(m.transform(te, "bagged_mlp"), LABEL, ["bagged_mlp"]))
+
+
+@register("stack")
+def q_stack(spark, sf):
+    """M18 + M19 + X19: out-of-fold predictions of three members blended by a
+    non-negative lasso over a 20-penalty path; member and blend test RMSE."""
+    fr = model_frame(spark, sf)
+    tr, te = split(fr)
+    tr = stratified_folds(tr, "season", 5, KEY)
+    members = {
+        "enet": lambda d: fit_enet(d, FEATS, LABEL, 0.01, 0.5),
+        "lasso": lambda d: fit_lasso(d, FEATS, LABEL, 0.05),
+        "gbt": lambda d: fit_gbt(d, FEATS, LABEL, trees=20, tree_depth=3),
+    }
+    oof = oof_predictions(tr, "fold", members, [*KEY, LABEL], 5)
+    st = fit_stack(oof, list(members), LABEL, penalty_path(-3, -0.5, 20))
+    full = {n: f(tr) for n, f in members.items()}
+    scored = te.select(*KEY, LABEL)
+    for n, m in full.items():
+        scored = scored.join(m.transform(te).select(*KEY, F.col("prediction").alias(n)), KEY)
+    blended = st.transform(scored, "stack")
+    return finish(regression_metrics(blended, LABEL, [*members, "stack"]))
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """Forest permutation importance (hash-bucket shuffle, re-score)."""
+    tr, _ = split(model_frame(spark, sf))
+    m = fit_forest(tr, FEATS, LABEL, trees=30, min_n=5)
+    return finish(permutation_importance(m.transform, tr, FEATS, LABEL, KEY, seed=42))
+
+
+@register("tuning")
+def q_tuning(spark, sf):
+    """M10 + M26: Latin-hypercube search of the elastic net over 5
+    stratified folds; mean and standard error per configuration."""
+    from pyspark.ml.regression import LinearRegression
+
+    tr, _ = split(model_frame(spark, sf))
+    tr = stratified_folds(tr, "season", 5, KEY)
+    _, res = tune(LinearRegression(maxIter=100), {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0, "lin")},
+                  tr, FEATS, LABEL, "fold", n=8, seed=42, parallelism=4)
+    return finish(res)
+
+
+@register("score_with_model")
+def q_score_with_model(spark, sf):
+    """M1 + M22: every named feature set fitted (lasso) and scored on the test season."""
+    tr, te = split(model_frame(spark, sf))
+    parts = []
+    for name, cols in FEATURE_SETS.items():
+        parts.append(_test_metrics(fit_lasso(tr, cols, LABEL, 0.01), te, name))
+    from sidelines.operators.reshape import append
+    return finish(append(*parts))
+
+
+@register("spline_basis")
+def q_spline_basis(spark, sf):
+    """M6: natural-spline basis of discount (knots at exact quantiles)."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    return finish(spline_basis(li, "l_discount", 4))
+
+
+@register("univariate_inference")
+def q_univariate_inference(spark, sf):
+    """M9: p-values and 95% intervals (Student t) on the per-term table."""
+    li = table(spark, sf, "lineitem")
+    return finish(univariate_table(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]))
+
+
+@register("recipe_model")
+def q_recipe_model(spark, sf):
+    """M3-M5 + M7: fitted recipe (filters over the correlation matrix and Gram
+    matrix, then scaling) applied to the lineitem predictors."""
+    li = table(spark, sf, "lineitem").withColumn("const_one", F.lit(1.0)) \
+        .withColumn("gross", F.col("l_quantity") * 2 + F.col("l_tax"))
+    cols = RECIPE_COLS + ["const_one", "gross"]
+    rm = recipe(li, cols, zv=True, corr=0.9, lincomb=True, scale=True)
+    rows = [(c, rm.dropped.get(c, "kept")) for c in cols]
+    _ = corr_matrix
+    return spark.createDataFrame(rows, "column string, status string")

@@ -74,4 +74,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     iterations of iterative fits so that plans do not grow without bound.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if not eager:
+        return df.checkpoint(eager=False)
+    # persist first so the checkpoint write does not recompute the plan
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
