@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidelines.functions.domain import kick_points, made_distance
-from sidelines.functions.nulls import first_by, if_na, n_distinct_na, rate
+from sidelines.functions.nulls import if_na, rate
 from sidelines.operators.aggregates import median
-from sidelines.operators.joins import densify, enrich
+from sidelines.operators.joins import enrich
+from sidelines.session import cut_lineage
 from sidelines.operators.windows import (fallback_chain, fill, lagged_cum, season_lag,
                                          season_to_date_ratio, suppress_small)
 
@@ -31,27 +32,45 @@ def kicker_games(plays: DataFrame) -> DataFrame:
 
     Team-games without a kick survive with zero counts; team-games where more
     than one kicker kicked are dropped; the kicker of kick-less games is filled
-    down then up within the team-season."""
+    down then up within the team-season.
+
+    Spine and facts come from one conditional aggregation over the plays:
+    every play with a team defines its team-game (the spine), only kick plays
+    feed the kick columns, so kick-less team-games get zero counts and NULL
+    kicker columns, exactly like a spine left join.  One scan, one partially
+    aggregated shuffle; distinct kickers are a per-game set (a handful)."""
     fg, xp = F.col("field_goal_result"), F.col("extra_point_result")
-    kicks = (plays.where(fg.isNotNull() | xp.isNotNull())
-             .withColumn("kick_fp", kick_points(fg, "kick_distance", xp))
-             .withColumn("kick_made_distance", made_distance(fg, xp, "kick_distance")))
-    facts = kicks.groupBy(*GAME_KEYS).agg(
-        F.sum("kick_fp").alias("total_points"),
+    kick = fg.isNotNull() | xp.isNotNull()
+    p = plays.where(F.col("posteam").isNotNull()).select(
+        *GAME_KEYS, fg, xp, kick.alias("_kick"),
+        F.when(kick, kick_points(fg, "kick_distance", xp)).alias("kick_fp"),
+        F.when(kick, F.col("kick_distance")).alias("kdist"),
+        made_distance(fg, xp, "kick_distance").alias("kick_made_distance"),
+        F.when(kick, F.col("kicker_player_id")).alias("kid"),
+        F.when(kick, F.col("kicker_player_name")).alias("kname"),
+        F.when(kick, F.col("play_id")).alias("kord"))
+    games = p.groupBy(*GAME_KEYS).agg(
+        F.count_if("_kick").alias("_n_kick"),
+        F.coalesce(F.sum("kick_fp"), F.lit(0)).alias("total_points"),
         F.count_if(fg == "made").alias("n_fg"),
         F.count(fg).alias("n_fg_att"),
         F.count_if(xp == "good").alias("n_xp"),
         F.count(xp).alias("n_xp_att"),
-        F.max("kick_distance").alias("max_dist"),
+        F.max("kdist").alias("max_dist"),
         F.max("kick_made_distance").alias("max_made_dist"),
-        n_distinct_na("kicker_player_id").alias("kickers_per_team"),
-        first_by("kicker_player_id", "play_id").alias("kicker_id"),
-        first_by("kicker_player_name", "play_id").alias("kicker_name"),
-    ).withColumn("max_made_dist", F.when(~((F.col("n_fg") == 0) & (F.col("n_xp") == 0)), F.col("max_made_dist")))
-    spine = plays.where(F.col("posteam").isNotNull()).select(*GAME_KEYS).distinct()
-    games = densify(facts, spine, GAME_KEYS, COUNT_COLS)
+        (F.size(F.collect_set("kid")) + F.max(F.when(F.col("_kick"), F.col("kid").isNull().cast("int"))))
+        .alias("_kpt"),
+        F.min_by("kid", "kord").alias("kicker_id"),
+        F.min_by("kname", "kord").alias("kicker_name"),
+    )
+    games = games.withColumns({
+        "kickers_per_team": F.when(F.col("_n_kick") > 0, F.col("_kpt")).cast("long"),
+        "max_made_dist": F.when(~((F.col("n_fg") == 0) & (F.col("n_xp") == 0)), F.col("max_made_dist")),
+        "kicker_home": if_na(F.col("posteam") == F.col("home_team"), 1, 0),
+    }).drop("_n_kick", "_kpt")
     games = games.where((F.col("kickers_per_team") == 1) | F.col("kickers_per_team").isNull())
-    games = games.withColumn("kicker_home", if_na(F.col("posteam") == F.col("home_team"), 1, 0))
+    games = games.select(*GAME_KEYS, "total_points", "n_fg", "n_fg_att", "n_xp", "n_xp_att", "max_dist",
+                         "max_made_dist", "kickers_per_team", "kicker_id", "kicker_name", "kicker_home")
     return fill(games, ["posteam", "season"], ["game_id"], KICKER_KEYS, "downup")
 
 
@@ -167,9 +186,18 @@ def season_to_date(games: DataFrame, kicker_lags: DataFrame, league_lags: DataFr
     )
 
 
-def kicker_features(plays: DataFrame, min_games: int = 6, min_attempts: int = 20) -> DataFrame:
-    """The whole season-to-date kicker feature job."""
+def kicker_features(plays: DataFrame, min_games: int = 6, min_attempts: int = 20,
+                    materialize: bool = True) -> DataFrame:
+    """The whole season-to-date kicker feature job.
+
+    The team-game table feeds five branches (season totals, imputation,
+    kicker lags, league lags, season-to-date windows).  It is a reduction of
+    the plays by orders of magnitude, so it is written once to the shared
+    checkpoint folder and every branch reads it, instead of each branch
+    rescanning and re-aggregating the raw plays."""
     games = kicker_games(plays)
+    if materialize:
+        games = cut_lineage(games)
     kicks = kicker_season_totals(games, min_attempts)
     imputed = impute_tables(kicks)
     return season_to_date(games, kicker_season_lags(imputed, min_games), league_season_lags(imputed), min_games)

@@ -72,12 +72,13 @@ def test_knn_exact_against_brute_force(spark):
     lab = rng.integers(0, 3, size=120)
     df = spark.createDataFrame([(i, [float(v) for v in X[i]], int(lab[i])) for i in range(120)],
                                "id long, emb array<float>, label int")
-    got = {r["id"]: r["pred"] for r in knn_regression(df, "id", "emb", "label", k=4).collect()}
     Xd = X.astype(np.float64)
     D = np.sqrt(((Xd[:, None, :] - Xd[None, :, :]) ** 2).sum(-1))
-    for i in range(120):
-        order = sorted((D[i, j], j) for j in range(120) if j != i)[:4]
-        assert abs(got[i] - np.mean([lab[j] for _, j in order])) < 1e-12
+    for block_rows in (20_000, 30):          # one pass, and several checkpointed passes
+        got = {r["id"]: r["pred"] for r in knn_regression(df, "id", "emb", "label", k=4, block_rows=block_rows).collect()}
+        for i in range(120):
+            order = sorted((D[i, j], j) for j in range(120) if j != i)[:4]
+            assert abs(got[i] - np.mean([lab[j] for _, j in order])) < 1e-12
 
 
 def test_local_smoother_on_a_line(spark):
