@@ -20,7 +20,8 @@ from sidelines.operators.windows import (fallback_chain, fill, lagged_cum, seaso
                                          season_to_date_ratio, suppress_small)
 
 __all__ = ["GAME_KEYS", "KICKER_KEYS", "kicker_games", "kicker_season_totals", "impute_tables",
-           "kicker_season_lags", "league_season_lags", "season_to_date", "kicker_features"]
+           "kicker_season_lags", "league_season_lags", "season_to_date", "kicker_features",
+           "features_from_games"]
 
 GAME_KEYS = ["season", "game_id", "posteam", "home_team"]
 KICKER_KEYS = ["kicker_name", "kicker_id"]
@@ -198,6 +199,11 @@ def kicker_features(plays: DataFrame, min_games: int = 6, min_attempts: int = 20
     games = kicker_games(plays)
     if materialize:
         games = cut_lineage(games)
+    return features_from_games(games, min_games, min_attempts)
+
+
+def features_from_games(games: DataFrame, min_games: int = 6, min_attempts: int = 20) -> DataFrame:
+    """Season-to-date features from an (ideally materialised) team-game table."""
     kicks = kicker_season_totals(games, min_attempts)
     imputed = impute_tables(kicks)
     return season_to_date(games, kicker_season_lags(imputed, min_games), league_season_lags(imputed), min_games)

@@ -18,7 +18,7 @@ from sidelines.operators.joins import enrich
 from sidelines.operators.windows import lagged_cum
 from sidelines.plans.catalog import finish, register
 from sidelines.session import cut_lineage
-from sidelines.plans.kicker import KICKER_KEYS, kicker_features, kicker_games
+from sidelines.plans.kicker import KICKER_KEYS, features_from_games, kicker_games
 from sidelines.plans.q_plays import BASE, GAMES, MIN_ATTEMPTS, MIN_GAMES, plays, with_
 from sidelines.sources.io import table
 
@@ -30,9 +30,8 @@ KEY = ["season", "game_id", "posteam"]
 def model_frame(spark, sf):
     """Modelling rows: one per kicker-game, season-to-date features only
     (no leakage), NULL features imputed by the column mean, label = points."""
-    p = plays(spark, sf)
-    g = kicker_games(p)
-    f = kicker_features(p, MIN_GAMES, MIN_ATTEMPTS).drop("n_kkrszn_mv")
+    g = cut_lineage(kicker_games(plays(spark, sf)))          # read by every branch below
+    f = features_from_games(g, MIN_GAMES, MIN_ATTEMPTS).drop("n_kkrszn_mv")
     frame = enrich(g, f, [*KICKER_KEYS, "season", "game_id"], null_safe=True)
     overall = scalar(g.agg(F.avg("total_points")))
     frame = frame.withColumn("szn_kkr_mean_pts", F.coalesce(
