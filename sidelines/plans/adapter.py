@@ -13,6 +13,9 @@ The test tables carry no football plays, so events stand in for them
 * ``defteam`` = ``T<user_id xor 1>`` (users paired as opponents);
   rush = view/click, pass = purchase/signup, ``yards_gained`` = value - 35,
   ``success`` = value >= 40, ``down`` = floor(value) % 4 + 1, ``play_clock`` = text of k % 40
+* ``week`` = day of month (the game's number inside its season);
+  ``special_teams_play`` = k >= 90, ``penalty`` = 0,
+  fourth-down converted / failed = down 4 with success 1 / 0
 * kicker = ``K<user_id>`` normally, the backup ``B<user_id>`` on kicks with
   k >= 95 (so some team-games have two kickers and are dropped, F7)
 """
@@ -56,6 +59,11 @@ def plays_from_events(events: DataFrame) -> DataFrame:
         (F.col("value") >= 40).cast("int").alias("success"),
         (F.floor("value") % 4 + 1).cast("int").alias("down"),
         (k % 40).cast("string").alias("play_clock"),
+        F.dayofmonth("ts").alias("week"),
+        (k >= 90).cast("int").alias("special_teams_play"),
+        F.lit(0).alias("penalty"),
+        ((F.floor("value") % 4 + 1 == 4) & (F.col("value") >= 40)).cast("int").alias("fourth_down_converted"),
+        ((F.floor("value") % 4 + 1 == 4) & (F.col("value") < 40)).cast("int").alias("fourth_down_failed"),
         F.col("user_id"),
         F.col("event_type"),
         F.col("ts"),
@@ -90,6 +98,11 @@ plays AS (
          CAST(value >= 40 AS INTEGER) AS success,
          CAST(CAST(floor(value) AS BIGINT) % 4 + 1 AS INTEGER) AS down,
          CAST(k % 40 AS VARCHAR) AS play_clock,
+         dayofmonth(ts) AS week,
+         CAST(k >= 90 AS INTEGER) AS special_teams_play,
+         0 AS penalty,
+         CAST(CAST(floor(value) AS BIGINT) % 4 + 1 = 4 AND value >= 40 AS INTEGER) AS fourth_down_converted,
+         CAST(CAST(floor(value) AS BIGINT) % 4 + 1 = 4 AND value < 40 AS INTEGER) AS fourth_down_failed,
          user_id, event_type, ts
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
                event_type IN ('purchase', 'error', 'signup', 'click') AS is_kick

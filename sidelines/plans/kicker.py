@@ -154,13 +154,13 @@ def league_season_lags(imputed: DataFrame) -> DataFrame:
 
 
 def season_to_date(games: DataFrame, kicker_lags: DataFrame, league_lags: DataFrame,
-                   min_games: int = 6) -> DataFrame:
+                   min_games: int = 6, with_team: bool = False) -> DataFrame:
     """Season-to-date kicker rates and distances; fewer than
     ``min_games`` prior games falls back to last season's own value, then the
     league's."""
     keys = [*KICKER_KEYS, "season"]
     order = ["game_id"]
-    g = games.select(*keys, "game_id", "n_fg", "n_fg_att", "n_xp", "n_xp_att", "max_dist", "max_made_dist")
+    g = games.select(*keys, "game_id", "posteam", "n_fg", "n_fg_att", "n_xp", "n_xp_att", "max_dist", "max_made_dist")
     g = g.withColumns({
         "max_dist": F.when(F.col("max_dist").isNull() & (F.col("n_fg_att") == 0) & (F.col("n_xp_att") == 0),
                            F.lit(0.0)).otherwise(F.col("max_dist")),
@@ -177,7 +177,7 @@ def season_to_date(games: DataFrame, kicker_lags: DataFrame, league_lags: DataFr
     g = enrich(g, kicker_lags, keys, "left", null_safe=True).join(league_lags, "season", "left")
     n = F.col("n_kkrszn_mv")
     return g.select(
-        *KICKER_KEYS, "season", "game_id", "n_kkrszn_mv",
+        *KICKER_KEYS, "season", "game_id", *(["posteam"] if with_team else []), "n_kkrszn_mv",
         fallback_chain("fg_pct_mv", n, min_games, "sznlag_kicker_szn_fg_pct", "lag_szn_fg_pct").alias("fg_pct_mv"),
         fallback_chain("xp_pct_mv", n, min_games, "sznlag_kicker_szn_xp_pct", "lag_szn_xp_pct").alias("xp_pct_mv"),
         fallback_chain("max_dist_mv", n, min_games, "sznlag_kicker_szn_max_dist", "lag_szn_max_dist")

@@ -87,7 +87,7 @@ BASE = (PLAYS_SQL, KICK, FACTS)
 
 # ---------------------------------------------------------------- flagship
 
-KICKER_FEATURES_SQL = with_(*BASE, GAMES, f"""
+KICKER_CTES = [*BASE, GAMES, f"""
 tot AS (
   SELECT season, kicker_name, kicker_id, sum(n_fg) AS kfm, sum(n_fg_att) AS kfa, sum(n_xp) AS kxm,
          sum(n_xp_att) AS kxa, max(max_dist) AS kmd, max(max_made_dist) AS kmmd
@@ -142,7 +142,7 @@ ll AS (
          lag(szn_max_dist) OVER w AS lag_szn_max_dist, lag(szn_max_made_dist) OVER w AS lag_szn_max_made_dist
   FROM sz WINDOW w AS (ORDER BY season))""", """
 g2 AS (
-  SELECT kicker_name, kicker_id, season, game_id, n_fg, n_fg_att, n_xp, n_xp_att,
+  SELECT kicker_name, kicker_id, season, game_id, posteam, n_fg, n_fg_att, n_xp, n_xp_att,
     CASE WHEN max_dist IS NULL AND n_fg_att = 0 AND n_xp_att = 0 THEN 0.0 ELSE max_dist END AS max_dist,
     CASE WHEN max_made_dist IS NULL AND n_fg = 0 AND n_xp = 0 THEN 0.0 ELSE max_made_dist END AS max_made_dist
   FROM games)""", """
@@ -155,7 +155,9 @@ mv AS (
       AS max_made_dist_mv,
     CASE WHEN count(*) OVER w > 0 THEN count(kicker_name) OVER w END AS n_kkrszn_mv
   FROM g2 WINDOW w AS (PARTITION BY kicker_name, kicker_id, season ORDER BY game_id
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""") + f"""
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""]
+
+KICKER_SELECT = f"""
 SELECT mv.kicker_name, mv.kicker_id, mv.season, mv.game_id, mv.n_kkrszn_mv,
   round(CASE WHEN n_kkrszn_mv < {MIN_GAMES} OR n_kkrszn_mv IS NULL
        THEN coalesce(kl.sznlag_kicker_szn_fg_pct, ll.lag_szn_fg_pct) ELSE fg_pct_mv END, 6) AS fg_pct_mv,
@@ -172,6 +174,8 @@ LEFT JOIN kl ON mv.kicker_name IS NOT DISTINCT FROM kl.kicker_name
 LEFT JOIN ll ON mv.season = ll.season
 """
 
+KICKER_FEATURES_SQL = with_(*KICKER_CTES) + KICKER_SELECT
+
 
 @register("kicker_features", KICKER_FEATURES_SQL, headline=True)
 def q_kicker_features(spark, sf):
