@@ -45,10 +45,10 @@ def tune(estimator, space: Mapping[str, tuple], df: DataFrame, features: Sequenc
     k = df.select(fold_col).distinct().count()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
                         evaluator=RegressionEvaluator(labelCol=label, metricName=metric),
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
+                        foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=seed)
     model = cv.fit(df)
     std = list(model.stdMetrics) if getattr(model, "stdMetrics", None) else [float("nan")] * len(cands)
-    rows = [(i, *[float(c[p]) for p in space], float(m), float(s) / np.sqrt(k))
+    rows = [(i, *[float(c[p]) for p in space], float(m), float(float(s) / np.sqrt(k)))
             for i, (c, m, s) in enumerate(zip(cands, model.avgMetrics, std))]
     schema = "config int, " + ", ".join(f"{p} double" for p in space) + ", mean double, std_err double"
     return model.bestModel, df.sparkSession.createDataFrame(rows, schema)

@@ -12,7 +12,7 @@ FAST = ["kicker_features", "points_rubric", "spine_densify", "fill_downup", "sea
         "median_iqr_sd", "two_level_median", "hexbin_counts", "star_enrich", "patch_table", "fallback_row",
         "pivot_multi", "dummy_drop_mode", "ranked_board", "sorted_na_last", "weather_parse", "impact_table",
         "expected_points", "grid_slice", "stratified_folds", "local_smoother", "univariate_regression",
-        "knn_regression", "metrics_table"]
+        "knn_regression", "metrics_table", "team_week_offense", "team_week_defense", "final_data"]
 
 
 def _norm(v):
