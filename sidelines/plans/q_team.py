@@ -133,8 +133,9 @@ _ = F
 # ---------------------------------------------------------------- modelling table
 
 FIRST_SEASON = "2024-01-01"
-LAST_DAYS = [(28, "fd1.season > DATE '2024-01-15'", F.col("season") > F.lit("2024-01-15").cast("date")),
-             (21, "fd1.season = DATE '2024-01-15'", F.col("season") == F.lit("2024-01-15").cast("date"))]
+# (week, SQL condition, Spark condition built lazily: no Column before a session exists)
+LAST_DAYS = [(28, "fd1.season > DATE '2024-01-15'", lambda: F.col("season") > F.lit("2024-01-15").cast("date")),
+             (21, "fd1.season = DATE '2024-01-15'", lambda: F.col("season") == F.lit("2024-01-15").cast("date"))]
 
 
 def _final_sql():
@@ -198,4 +199,4 @@ def q_final_data(spark, sf):
     from sidelines.plans.final import final_data
     from sidelines.plans.q_plays import MIN_ATTEMPTS, MIN_GAMES
     return finish(final_data(plays(spark, sf), MIN_GAMES, MIN_ATTEMPTS, first_season=FIRST_SEASON,
-                             exclude_weeks=[(w, c) for w, _, c in LAST_DAYS], parity=True))
+                             exclude_weeks=[(w, c()) for w, _, c in LAST_DAYS], parity=True))
