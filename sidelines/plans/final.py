@@ -54,7 +54,7 @@ def final_data(plays: DataFrame, min_games: int = 6, min_attempts: int = 20, fir
                                                   ["game_id"]), overall),
         "week": F.substring("game_id", 9, 2).try_cast("int"),                                   # X5
     })
-    sl = season_level(plays)
+    sl = cut_lineage(season_level(plays))       # the team cube: one scan of plays, read by four tables
     zo, zd = zone_offense(sl), zone_defense(sl)
     om, dm = offense_mvavg(sl, parity), defense_mvavg(sl, parity)
     pick = {"off": ["off_epa"], "def": ["def_epa"], "om": ["off_epa_ma"], "dm": ["def_epa_ma"]}
