@@ -37,11 +37,10 @@ def final_data(plays: DataFrame, min_games: int = 6, min_attempts: int = 20, fir
     imputed = impute_tables(kicker_season_totals(games, min_attempts))
     feats = season_to_date(games, kicker_season_lags(imputed, min_games), league_season_lags(imputed), min_games,
                            with_team=True).drop("n_kkrszn_mv")
-    fg, xp = F.col("field_goal_result"), F.col("extra_point_result")
-    gl = (plays.where(F.col("posteam").isNotNull() & F.col("defteam").isNotNull())
-          .groupBy("season", "game_id", "posteam", "defteam")
-          .agg(F.count(F.lit(1)).alias("playcount"), F.count_if(fg == "made").alias("fg_atts"),
-               F.count_if(xp == "good").alias("xp_atts")))
+    cube = cut_lineage(season_level(plays))     # team cube: one scan of plays, read by five tables below
+    gl = (cube.where(F.col("defteam").isNotNull()).groupBy("season", "game_id", "posteam", "defteam")
+          .agg(F.sum("playcount").alias("playcount"), F.sum("fg_atts").alias("fg_atts"),
+               F.sum("xp_atts").alias("xp_atts")))
     base = imputed.select("season", "game_id", "posteam", *KICKER_KEYS, "total_points")
     fd = enrich(gl, base, ["season", "game_id", "posteam"], how="right")                       # J4
     fd = enrich(fd, feats, ["season", "game_id", "posteam", *KICKER_KEYS], null_safe=True)      # J2, N4
@@ -54,9 +53,8 @@ def final_data(plays: DataFrame, min_games: int = 6, min_attempts: int = 20, fir
                                                   ["game_id"]), overall),
         "week": F.substring("game_id", 9, 2).try_cast("int"),                                   # X5
     })
-    sl = cut_lineage(season_level(plays))       # the team cube: one scan of plays, read by four tables
-    zo, zd = zone_offense(sl), zone_defense(sl)
-    om, dm = offense_mvavg(sl, parity), defense_mvavg(sl, parity)
+    zo, zd = zone_offense(cube), zone_defense(cube)
+    om, dm = offense_mvavg(cube, parity), defense_mvavg(cube, parity)
     pick = {"off": ["off_epa"], "def": ["def_epa"], "om": ["off_epa_ma"], "dm": ["def_epa_ma"]}
     fd = fd.join(zo.select("posteam", "season", *pick["off"]), ["season", "posteam"], "left")            # 1
     fd = fd.join(zd.select("defteam", "season", *pick["def"]), ["season", "defteam"], "left")            # 2

@@ -25,7 +25,9 @@ __all__ = ["season_level", "zone_offense", "zone_defense", "offense_mvavg", "def
 
 def season_level(plays: DataFrame) -> DataFrame:
     """One pass over the plays: a cube of conditional sums and counts per
-    (season, posteam, defteam, week).  Scrimmage plays (run, pass or
+    (season, posteam, defteam, week, game_id) - the game is fixed by the
+    team-week, so the key adds no rows.  It also carries the game-level
+    counts (all plays, made field goals, good extra points).  Scrimmage plays (run, pass or
     penalty, not special teams) feed the statistics; ``fd_all`` counts
     fourth downs over *all* plays of the team, taken before that filter
     (Q19).  Every team table below re-aggregates this small cube, so the raw
@@ -36,14 +38,16 @@ def season_level(plays: DataFrame) -> DataFrame:
     bucket = play_bucket("rush", "pass")
     fourth = F.when(F.col("down") == 4, 1).when(F.col("down") != 4, 0)
     p = plays.where(F.col("posteam").isNotNull()).select(
-        "season", "posteam", "defteam", "week", keep.alias("_k"), fourth.alias("fourth_down"),
+        "season", "posteam", "defteam", "week", "game_id", keep.alias("_k"), fourth.alias("fourth_down"),
+        (F.col("field_goal_result") == "made").alias("_fgm"), (F.col("extra_point_result") == "good").alias("_xpg"),
         *[F.when(keep, F.col(c)).alias(c) for c in ("epa", "success", "yardline_100")],
         *[F.when(keep, v).alias(k) for k, v in z.items()],
         F.when(keep, bucket).alias("rushpass"),
         F.when(keep, F.col("play_clock").try_cast("double")).alias("pc"),
         F.when(keep, F.col("fourth_down_converted") + F.col("fourth_down_failed")).alias("fd_att"))
     rush, pss = F.col("rushpass") == "rush", F.col("rushpass") == "pass"
-    return p.groupBy("season", "posteam", "defteam", "week").agg(
+    return p.groupBy("season", "posteam", "defteam", "week", "game_id").agg(
+        F.count(F.lit(1)).alias("playcount"), F.count_if("_fgm").alias("fg_atts"), F.count_if("_xpg").alias("xp_atts"),
         F.count_if("_k").alias("n"), F.sum("fourth_down").alias("fd_all"),
         F.sum(F.when(F.col("_k"), F.col("fourth_down"))).alias("fd_keep"),
         F.sum("redzone_epa").alias("rz_s"), F.count("redzone_epa").alias("rz_n"),
