@@ -200,3 +200,35 @@ def q_final_data(spark, sf):
     from sidelines.plans.q_plays import MIN_ATTEMPTS, MIN_GAMES
     return finish(final_data(plays(spark, sf), MIN_GAMES, MIN_ATTEMPTS, first_season=FIRST_SEASON,
                              exclude_weeks=[(w, c()) for w, _, c in LAST_DAYS], parity=True))
+
+
+@register("final_avg", _final_sql().replace("\nSELECT fd1.season, fd1.game_id,", "\n, fdx AS (SELECT fd1.season, fd1.game_id,", 1)
+          .rstrip() + """),
+lastrow AS (
+  SELECT kicker_name, kicker_id, season, count(*) AS games_kicked,
+         arg_max_null(fg_pct_mv, (season, posteam, week)) AS fg_pct_mv,
+         arg_max_null(xp_pct_mv, (season, posteam, week)) AS xp_pct_mv
+  FROM fdx GROUP BY kicker_name, kicker_id, season)
+SELECT round(avg(fg_pct_mv), 5) AS fg_pct_mv_mean, round(stddev_samp(fg_pct_mv), 5) AS fg_pct_mv_sd,
+       round(quantile_cont(xp_pct_mv, 0.5), 5) AS xp_pct_mv_median,
+       round(quantile_cont(xp_pct_mv, 0.75) - quantile_cont(xp_pct_mv, 0.25), 5) AS xp_pct_mv_iqr,
+       count(*) AS n_kicker_seasons
+FROM lastrow WHERE games_kicked >= 3""")
+def q_final_avg(spark, sf):
+    """W12 + F5 + A8-A10 (+Q17 order): last row of each kicker-season in the
+    modelling table (by season, team, week) and its game count; qualified
+    kicker-seasons summarised by mean / sd of FG% and median / IQR of XP%."""
+    from sidelines.operators.aggregates import iqr, median
+    from sidelines.operators.windows import last_per_group
+    from sidelines.plans.final import final_data
+    from sidelines.plans.q_plays import MIN_ATTEMPTS, MIN_GAMES
+    fd = final_data(plays(spark, sf), MIN_GAMES, MIN_ATTEMPTS, first_season=FIRST_SEASON,
+                    exclude_weeks=[(w, c()) for w, _, c in LAST_DAYS], parity=True)
+    last = last_per_group(fd.select("kicker_name", "kicker_id", "season", "posteam", "week", "fg_pct_mv", "xp_pct_mv"),
+                          ["kicker_name", "kicker_id", "season"], ["season", "posteam", "week"], "games_kicked")
+    q = last.where(F.col("games_kicked") >= MIN_GAMES)
+    # 5 places: the two engines interpolate quantiles with different (equally
+    # exact) formulas, which can differ in the last bit of a difference of two
+    return finish(q.agg(F.avg("fg_pct_mv").alias("fg_pct_mv_mean"), F.stddev_samp("fg_pct_mv").alias("fg_pct_mv_sd"),
+                        median("xp_pct_mv").alias("xp_pct_mv_median"), iqr("xp_pct_mv").alias("xp_pct_mv_iqr"),
+                        F.count(F.lit(1)).alias("n_kicker_seasons")), digits=5)

@@ -34,3 +34,15 @@ def test_baseline_and_sink(spark, tmp_path):
     out = str(tmp_path / "out")
     save_table(b, out)
     assert spark.read.parquet(out).first()["posteam"] == "SEA"
+
+
+def test_load_ratings(spark, tmp_path):
+    from sidelines.sources.io import load_ratings
+    for season, team in ((2020, "JAC"), (2021, "KC")):
+        (tmp_path / f"r{season}.csv").write_text(f"rank,team,total dvoa\n1,{team},0.25\n")
+    schema = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("team", T.StringType()),
+                           T.StructField("total dvoa", T.DoubleType())])
+    df = load_ratings(spark, {2020: str(tmp_path / "r2020.csv"), 2021: str(tmp_path / "r2021.csv")}, schema,
+                      drop=["rank"], rename={"Total Dvoa": "Total.dvoa"}, fix={"JAC": "JAX"})
+    rows = sorted((r["season"], r["Team"], r["Total.dvoa"]) for r in df.collect())
+    assert rows == [(2020, "JAX", 0.25), (2021, "KC", 0.25)]
