@@ -143,7 +143,7 @@ def spline_basis(df: DataFrame, x: str, df_spline: int = 4, prefix: str | None =
     probs = {f"k{i}": i / (k - 1) for i in range(k)}
     q = quantiles(df, [], x, probs)
     knots = [q.select(f"k{i}").scalar() for i in range(k)]
-    xi_last, xi_prev = knots[-1], knots[-2]
+    xi_last = knots[-1]
 
     def d(j):
         num = F.pow(F.greatest(F.col(x) - knots[j], F.lit(0.0)), 3) - F.pow(F.greatest(F.col(x) - xi_last, F.lit(0.0)), 3)
@@ -151,5 +151,4 @@ def spline_basis(df: DataFrame, x: str, df_spline: int = 4, prefix: str | None =
     cols = {f"{prefix}1": F.col(x).cast("double")}
     for j in range(k - 2):
         cols[f"{prefix}{j + 2}"] = d(j) - d(k - 2)
-    _ = xi_prev
     return df.withColumns(cols)

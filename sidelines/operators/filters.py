@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sidelines.functions.nulls import n_distinct_na
-
 __all__ = ["keep_groups", "single_actor", "time_split"]
 
 
@@ -31,5 +29,3 @@ def time_split(df: DataFrame, c: str, cut) -> tuple[DataFrame, DataFrame]:
     """train = before ``cut``, test = at ``cut``."""
     return df.where(F.col(c) < F.lit(cut)), df.where(F.col(c) == F.lit(cut))
 
-
-_ = n_distinct_na

@@ -14,8 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidelines.functions.nulls import col_
-
 __all__ = ["enrich", "densify", "opponent_role", "override", "apply_patches",
            "with_fallback_row", "normalise_codes", "grid", "scenario", "cross_with"]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sidelines.ml.bsts import fit_counterfactual
 from sidelines.plans.catalog import finish, register
 from sidelines.plans.impact import (band, bootstrap_draws, event_window, impact_summary, impact_table,
@@ -122,5 +120,3 @@ def q_bsts_fit(spark, sf):
                                draws=1000, seed=42)
     return finish(relative_lift(impact_summary(draws, w, KEYS)))
 
-
-_ = F

@@ -9,7 +9,7 @@ from sidelines.ml.importance import coefficient_importance, permutation_importan
 from sidelines.ml.knn import knn_regression
 from sidelines.ml.metrics import compare_models, regression_metrics, univariate_table
 from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt, fit_lasso, fit_rff_svr)
-from sidelines.ml.recipe import corr_matrix, recipe, spline_basis, zero_variance
+from sidelines.ml.recipe import recipe, spline_basis, zero_variance
 from sidelines.ml.smoother import local_smooth
 from sidelines.ml.stack import fit_stack, oof_predictions, penalty_path
 from sidelines.ml.tune import tune
@@ -325,5 +325,4 @@ def q_recipe_model(spark, sf):
     cols = RECIPE_COLS + ["const_one", "gross"]
     rm = recipe(li, cols, zv=True, corr=0.9, lincomb=True, scale=True)
     rows = [(c, rm.dropped.get(c, "kept")) for c in cols]
-    _ = corr_matrix
     return spark.createDataFrame(rows, "column string, status string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sidelines.functions.domain import goal_to_go
 from sidelines.plans.adapter import PLAYS_SQL, plays_from_events
 from sidelines.plans.catalog import finish, register
-from sidelines.plans.scenario import (SCORE_OF_EVENT, SCORE_POINTS, empirical_ep, fit_ep_model, next_score,
+from sidelines.plans.scenario import (SCORE_OF_EVENT, empirical_ep, fit_ep_model, next_score,
                                       scenario, score_ep_model, slice_grid, tooltip)
 from sidelines.sources.io import table
 
@@ -129,5 +129,3 @@ def q_ep_model(spark, sf):
     grid = grid.withColumn("ydstogo", goal_to_go("yardline_100", F.lit(10)))
     return finish(score_ep_model(model, labels, grid).select("down", "yardline_100", "ep"))
 
-
-_ = SCORE_POINTS

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sidelines.functions.domain import by_role, goal_to_go, implied_totals
 from sidelines.functions.factor import factor_label, factor_ordinal

@@ -127,8 +127,6 @@ def q_team_season_zones(spark, sf):
     return finish(out)
 
 
-_ = F
-
 
 # ---------------------------------------------------------------- modelling table
 

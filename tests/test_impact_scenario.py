@@ -1,8 +1,6 @@
 import datetime as dt
 
 import numpy as np
-from pyspark.sql import functions as F
-
 from sidelines.ml.bsts import fit_counterfactual
 from sidelines.plans.impact import event_window, impact_summary, relative_lift
 from sidelines.plans.scenario import empirical_ep, next_score
@@ -36,4 +34,3 @@ def test_next_score_and_ep_range(spark):
     assert lab == {1: "Field_Goal", 2: "Field_Goal", 3: "No_Score", 4: "No_Score", -1: "Opp_Touchdown"}
     ep = empirical_ep(next_score(plays), ["yardline_100"]).collect()
     assert all(-7 <= r["ep"] <= 7 for r in ep)
-    _ = F
