@@ -20,10 +20,17 @@ PRECIP_MAYBE = r"(C|c)hance|(C|c)hange|Threat|Expected|likely|Forecasted"
 PRECIP_YES = r"(R|r)ain|(S|s)now|(S|s)hower|(D|d)rizzle|storms"
 
 
-def extract(c, pattern: str, group: int = 0) -> Column:
-    """First match of ``pattern`` or NULL when there is none."""
+def extract(c, pattern: str, group: int = 0, may_match_empty: bool = False) -> Column:
+    """First match of ``pattern`` or NULL when there is none.
+
+    ``regexp_extract`` returns '' on no match, so for patterns that cannot
+    match the empty string one evaluation plus ``nullif`` suffices; patterns
+    that can match empty pay a second evaluation (``rlike``) to tell the cases
+    apart."""
     c = col_(c)
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    if may_match_empty:
+        return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def detect(c, pattern: str) -> Column:

@@ -84,11 +84,16 @@ def pivot_longer(df: DataFrame, cols: Sequence[str], names_to: str = "name",
     return df.unpivot(ids, list(cols), names_to, values_to)
 
 
-def levels_by_frequency(df: DataFrame, c: str) -> list:
+def levels_by_frequency(df: DataFrame, c: str, max_levels: int = 1000) -> list:
     """Distinct non-NULL levels, most frequent first, ties in level order.
-    Returns a level list (metadata, bounded by the number of levels)."""
+
+    The level list is metadata that becomes column names, so its size is
+    checked: more than ``max_levels`` levels raises instead of pulling an
+    unbounded list to the driver."""
     rows = (df.where(F.col(c).isNotNull()).groupBy(c).count()
-            .orderBy(F.desc("count"), F.asc(c)).collect())
+            .orderBy(F.desc("count"), F.asc(c)).limit(max_levels + 1).collect())
+    if len(rows) > max_levels:
+        raise ValueError(f"{c} has more than {max_levels} levels; dummy columns are not a fit")
     return [r[0] for r in rows]
 
 
