@@ -15,9 +15,11 @@ from sidelines.functions.text import label
 from sidelines.operators.aggregates import scalar
 from sidelines.operators.joins import enrich, opponent_role
 from sidelines.operators.windows import lagged_cum
-from sidelines.plans.kicker import (KICKER_KEYS, impute_tables, kicker_games, kicker_season_lags,
-                                    kicker_season_totals, league_season_lags, season_to_date)
-from sidelines.plans.team import defense_mvavg, offense_mvavg, season_level, zone_defense, zone_offense
+from sidelines.plans.cube import play_cube
+from sidelines.plans.kicker import (KICKER_KEYS, impute_tables, kicker_season_lags, kicker_season_totals,
+                                    league_season_lags, season_to_date)
+from sidelines.plans.team import defense_mvavg, offense_mvavg, zone_defense, zone_offense
+from sidelines.streaming.incremental import merge_partials
 from sidelines.session import cut_lineage
 
 __all__ = ["final_data", "FINAL_COLUMNS"]
@@ -33,11 +35,12 @@ def final_data(plays: DataFrame, min_games: int = 6, min_attempts: int = 20, fir
     """``first_season`` rows feed the lags but are not modelled;
     ``exclude_weeks`` is a list of (week, season_condition Column) pairs
     dropped at the end (the last-week exclusion, NULL-safe)."""
-    games = cut_lineage(kicker_games(plays))
+    # one pass over the raw plays: kicker partials + team sums per team-game
+    cube = cut_lineage(play_cube(plays))
+    games = cut_lineage(merge_partials(cube))   # small; read by five branches
     imputed = impute_tables(kicker_season_totals(games, min_attempts))
     feats = season_to_date(games, kicker_season_lags(imputed, min_games), league_season_lags(imputed), min_games,
                            with_team=True).drop("n_kkrszn_mv")
-    cube = cut_lineage(season_level(plays))     # team cube: one scan of plays, read by five tables below
     gl = (cube.where(F.col("defteam").isNotNull()).groupBy("season", "game_id", "posteam", "defteam")
           .agg(F.sum("playcount").alias("playcount"), F.sum("fg_atts").alias("fg_atts"),
                F.sum("xp_atts").alias("xp_atts")))
