@@ -230,3 +230,30 @@ def q_final_avg(spark, sf):
     return finish(q.agg(F.avg("fg_pct_mv").alias("fg_pct_mv_mean"), F.stddev_samp("fg_pct_mv").alias("fg_pct_mv_sd"),
                         median("xp_pct_mv").alias("xp_pct_mv_median"), iqr("xp_pct_mv").alias("xp_pct_mv_iqr"),
                         F.count(F.lit(1)).alias("n_kicker_seasons")), digits=5)
+
+
+# ---------------------------------------------------------------- corrected forms (parity=False)
+
+OFF_FIX_SQL = OFF_SQL.replace(
+    "coalesce(sum(redzone_epa), 0) AS off_rush_epa, coalesce(sum(pinkzone_epa), 0) AS off_pass_epa",
+    "coalesce(sum(CASE WHEN rushpass = 'rush' THEN epa END), 0) AS off_rush_epa, "
+    "coalesce(sum(CASE WHEN rushpass = 'pass' THEN epa END), 0) AS off_pass_epa").replace(
+    "sum(success_plays) OVER w / nullif(sum(n_plays) OVER w2, 0) AS off_success_rate_ma",
+    "sum(success_plays) OVER w / nullif(sum(n_plays) OVER w, 0) AS off_success_rate_ma")
+DEF_FIX_SQL = DEF_SQL.replace(
+    "sum(success_plays) OVER w / nullif(avg(n_plays) OVER w, 0) AS def_success_rate_ma",
+    "sum(success_plays) OVER w / nullif(sum(n_plays) OVER w, 0) AS def_success_rate_ma")
+assert OFF_FIX_SQL != OFF_SQL and DEF_FIX_SQL != DEF_SQL
+
+
+@register("team_week_offense_corrected", OFF_FIX_SQL)
+def q_team_week_offense_corrected(spark, sf):
+    """W3/W4 + W9 with Q1/Q2 corrected: rush/pass numerators use rush/pass
+    EPA, the success rate is a plain season-to-date ratio."""
+    return finish(offense_mvavg(season_level(plays(spark, sf)), parity=False))
+
+
+@register("team_week_defense_corrected", DEF_FIX_SQL)
+def q_team_week_defense_corrected(spark, sf):
+    """W3/W4 + W9 with Q3 corrected: success rate over the cumulative play count."""
+    return finish(defense_mvavg(season_level(plays(spark, sf)), parity=False))
