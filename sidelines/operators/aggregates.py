@@ -95,7 +95,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Mapping[str, fl
     splits = v.groupBy(*keys).agg(
         F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], accuracy).alias("_s"),
         F.sum("_c").alias("_n"))
-    vb = v.join(splits, keys, "left") if keys else v.crossJoin(splits)
+    if keys:
+        vb = v.join(splits, keys, "left")
+    else:   # one row: attach as a scalar subquery, not a cross join
+        one = splits.select(F.struct("_s", "_n").alias("r")).scalar()
+        vb = v.withColumns({"_s": one["_s"], "_n": one["_n"]})
     # bucket = number of split points strictly below the value
     vb = vb.withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
     kb = keys + ["_b"]
