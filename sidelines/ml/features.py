@@ -12,14 +12,17 @@ from sidelines.operators.windows import global_row_number
 
 __all__ = ["FEATURE_SETS", "stratified_folds"]
 
-# Named predictor sets of the kicker model (M1), in the adapter's column names.
+# Named predictor sets of the kicker model (M1), in the modelling table's
+# column names.  "full" adds full-season team rates, which see the game being
+# predicted (kept as the labelled leaky alternative, like the source);
+# "with_final_score" adds in-game kick counts (outcome information).
+_STD = ["fg_pct_mv", "xp_pct_mv", "max_dist_mv", "max_made_dist_mv", "szn_kkr_mean_pts", "szn_def_kkr_mean_pts",
+        "off_epa_ma", "def_epa_ma", "def_off_epa_ma", "pos_def_epa_ma"]
 FEATURE_SETS = {
-    "season_to_date": ["fg_pct_mv", "xp_pct_mv", "max_dist_mv", "max_made_dist_mv", "szn_kkr_mean_pts",
-                       "kicker_home"],
-    "small": ["fg_pct_mv", "szn_kkr_mean_pts", "kicker_home"],
-    "full": ["fg_pct_mv", "xp_pct_mv", "max_dist_mv", "max_made_dist_mv", "szn_kkr_mean_pts", "kicker_home",
-             "n_kkrszn_mv"],
-    "with_final_score": ["fg_pct_mv", "xp_pct_mv", "szn_kkr_mean_pts", "kicker_home", "n_fg_att", "n_xp_att"],
+    "season_to_date": _STD,
+    "small": ["fg_pct_mv", "szn_kkr_mean_pts", "szn_def_kkr_mean_pts"],
+    "full": _STD + ["off_epa", "def_epa", "def_off_epa", "pos_def_epa"],
+    "with_final_score": _STD + ["fg_atts", "xp_atts"],
 }
 
 

@@ -18,7 +18,7 @@ from sidelines.operators.joins import enrich
 from sidelines.operators.windows import lagged_cum
 from sidelines.plans.catalog import finish, register
 from sidelines.session import cut_lineage
-from sidelines.plans.kicker import KICKER_KEYS, features_from_games, kicker_games
+from sidelines.plans.kicker import KICKER_KEYS, kicker_games
 from sidelines.plans.q_plays import BASE, GAMES, MIN_ATTEMPTS, MIN_GAMES, plays, with_
 from sidelines.sources.io import table
 
@@ -28,17 +28,15 @@ KEY = ["season", "game_id", "posteam"]
 
 
 def model_frame(spark, sf):
-    """Modelling rows: one per kicker-game, season-to-date features only
-    (no leakage), NULL features imputed by the column mean, label = points."""
-    g = cut_lineage(kicker_games(plays(spark, sf)))          # read by every branch below
-    f = features_from_games(g, MIN_GAMES, MIN_ATTEMPTS).drop("n_kkrszn_mv")
-    frame = enrich(g, f, [*KICKER_KEYS, "season", "game_id"], null_safe=True)
-    overall = scalar(g.agg(F.avg("total_points")))
-    frame = frame.withColumn("szn_kkr_mean_pts", F.coalesce(
-        lagged_cum("total_points", "mean", ["season", "posteam", *KICKER_KEYS], ["game_id"]), overall))
-    frame = frame.withColumn("n_kkrszn_mv", lagged_cum("kicker_name", "count", [*KICKER_KEYS, "season"], ["game_id"]))
+    """Modelling rows: the modelling table (one row per kicker-game, first
+    season dropped after the lags, last-day exclusion), NULL features imputed
+    by the column mean, label = kicker points."""
+    from sidelines.plans.final import final_data
+    from sidelines.plans.q_team import FIRST_SEASON, LAST_DAYS
+    fd = final_data(plays(spark, sf), MIN_GAMES, MIN_ATTEMPTS, first_season=FIRST_SEASON,
+                    exclude_weeks=[(w, c()) for w, _, c in LAST_DAYS], parity=True)
     feats = sorted({c for v in FEATURE_SETS.values() for c in v})
-    frame = frame.withColumns({c: F.col(c).cast("double") for c in feats})
+    frame = fd.withColumns({c: F.col(c).cast("double") for c in feats})
     frame = frame.withColumn(LABEL, F.col("total_points").cast("double")) \
                  .withColumn("split", F.when(F.col("season") < F.lit(TEST_FROM).cast("date"), "train").otherwise("test"))
     # iterative fits re-read their input many times: materialise it once in the
