@@ -140,7 +140,8 @@ fr AS (
 
 
 @register("metrics_table", MODEL_SQL + """
-SELECT split, model, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(rsq, 6) AS rsq FROM (
+SELECT split, model, round(rmse, 6) AS rmse, round(mae, 6) AS mae,
+       round(CASE WHEN isnan(rsq) THEN NULL ELSE rsq END, 6) AS rsq FROM (
   SELECT split, 'szn_kkr_mean_pts' AS model, sqrt(avg((szn_kkr_mean_pts - y) ** 2)) AS rmse,
          avg(abs(szn_kkr_mean_pts - y)) AS mae, corr(szn_kkr_mean_pts, y) ** 2 AS rsq FROM fr GROUP BY split
   UNION ALL

@@ -314,7 +314,7 @@ def q_lagged_cummax(spark, sf):
 @register("lagged_cummean", with_(*BASE) + """
 SELECT season, posteam, game_id,
   round(avg(total_points) OVER w, 6) AS points_cummean,
-  round(sum(n_fg) OVER w / avg(n_fg_att) OVER w, 6) AS q3_ratio
+  round(sum(n_fg) OVER w / nullif(avg(n_fg_att) OVER w, 0), 6) AS q3_ratio
 FROM facts WINDOW w AS (PARTITION BY posteam, season ORDER BY game_id
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def q_lagged_cummean(spark, sf):
