@@ -107,7 +107,9 @@ def apply_patches(df: DataFrame, patches: DataFrame, key: str, cols: Mapping[str
 def with_fallback_row(df: DataFrame, dim: DataFrame, on: str, fallback_key: str,
                       cols: Sequence[str], dim_key: str | None = None) -> DataFrame:
     """Left-join ``dim``; entities without a row take the ``fallback_key``
-    row's values (e.g. the ``Other`` kicker).  The fallback row is a scalar
+    row's values (e.g. the ``Other`` kicker).  The fallback comes from the
+    table passed in, not a constant, since its value differs between saved
+    tables (Q16).  The fallback row is a scalar
     subquery per column, so it is computed once and shipped as a literal."""
     dim_key = dim_key or on
     fb = {c: dim.where(F.col(dim_key) == fallback_key).agg(F.max(c)).scalar() for c in cols}

@@ -113,7 +113,8 @@ def dummies(df: DataFrame, cols: Sequence[str], drop: str | None = "most_frequen
 def design_matrix(df: DataFrame, cols: Sequence[str], out: str = "features",
                   keep: bool = True) -> DataFrame:
     """Numeric design matrix without intercept.  Booleans become
-    ``{name}TRUE`` 0/1 columns; the assembled vector keeps the column order."""
+    ``{name}TRUE`` 0/1 columns; the assembled vector keeps the column order.
+    Columns are always chosen by name, never by a positional mask (Q11)."""
     from pyspark.ml.feature import VectorAssembler
 
     types = {f.name: f.dataType for f in df.schema.fields}

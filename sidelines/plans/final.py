@@ -41,6 +41,7 @@ def final_data(plays: DataFrame, min_games: int = 6, min_attempts: int = 20, fir
     imputed = impute_tables(kicker_season_totals(games, min_attempts))
     feats = season_to_date(games, kicker_season_lags(imputed, min_games), league_season_lags(imputed), min_games,
                            with_team=True).drop("n_kkrszn_mv")
+    # Q13: fg_atts / xp_atts count *made* kicks, as in the source; names kept
     gl = (cube.where(F.col("defteam").isNotNull()).groupBy("season", "game_id", "posteam", "defteam")
           .agg(F.sum("playcount").alias("playcount"), F.sum("fg_atts").alias("fg_atts"),
                F.sum("xp_atts").alias("xp_atts")))

@@ -707,7 +707,9 @@ def weather_text(e):
 
 def clean_weather(df):
     """Wind speed and precipitation class from text;
-    closed roofs default to no precipitation and no wind."""
+    closed roofs default to no precipitation and no wind.  Branch order is
+    kept (Q15): a forecast word without "Raining" is unknown before any rain
+    word is tested."""
     w = F.col("weather")
     calm = detect(w, "Calm")
     wind = if_na(calm, F.lit("0"), extract(w, WIND_PATTERN))
