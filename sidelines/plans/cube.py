@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidelines.functions.domain import kick_points, made_distance, play_bucket, zone_masks
+from sidelines.functions.domain import play_bucket, zone_masks
+from sidelines.streaming.incremental import kicker_partial_aggs, kicker_partial_inputs
 
 __all__ = ["CUBE_KEYS", "play_cube"]
 
@@ -28,19 +29,12 @@ CUBE_KEYS = ["season", "game_id", "posteam", "home_team", "defteam", "week"]
 
 def play_cube(plays: DataFrame) -> DataFrame:
     fg, xp = F.col("field_goal_result"), F.col("extra_point_result")
-    kick = fg.isNotNull() | xp.isNotNull()
     keep = (((F.col("rush") == 1) | (F.col("pass") == 1) | (F.col("penalty") == 1))
             & (F.col("special_teams_play") == 0))
     z = zone_masks("yardline_100", "epa", "yards_gained")
     fourth = F.when(F.col("down") == 4, 1).when(F.col("down") != 4, 0)
     p = plays.where(F.col("posteam").isNotNull()).select(
-        *CUBE_KEYS, fg, xp, kick.alias("_kick"), keep.alias("_k"), fourth.alias("fourth_down"),
-        F.when(kick, kick_points(fg, "kick_distance", xp)).alias("kick_fp"),
-        F.when(kick, F.col("kick_distance")).alias("kdist"),
-        made_distance(fg, xp, "kick_distance").alias("kmd"),
-        F.when(kick, F.col("kicker_player_id")).alias("kid"),
-        F.when(kick, F.col("kicker_player_name")).alias("kname"),
-        F.when(kick, F.col("play_id")).alias("kord"),
+        *CUBE_KEYS, *kicker_partial_inputs(), keep.alias("_k"), fourth.alias("fourth_down"),
         *[F.when(keep, F.col(c)).alias(c) for c in ("epa", "success", "yardline_100")],
         *[F.when(keep, v).alias(k) for k, v in z.items()],
         F.when(keep, play_bucket("rush", "pass")).alias("rushpass"),
@@ -48,15 +42,7 @@ def play_cube(plays: DataFrame) -> DataFrame:
         F.when(keep, F.col("fourth_down_converted") + F.col("fourth_down_failed")).alias("fd_att"))
     rush, pss = F.col("rushpass") == "rush", F.col("rushpass") == "pass"
     return p.groupBy(*CUBE_KEYS).agg(
-        # kicker partials (see sidelines.streaming.incremental)
-        F.count_if("_kick").alias("n_kick"), F.sum("kick_fp").alias("points"),
-        F.count_if(fg == "made").alias("n_fg"), F.count(fg).alias("n_fg_att"),
-        F.count_if(xp == "good").alias("n_xp"), F.count(xp).alias("n_xp_att"),
-        F.max("kdist").alias("max_dist"), F.max("kmd").alias("max_made_dist"),
-        F.collect_set("kid").alias("kickers"),
-        F.max(F.when(F.col("_kick"), F.col("kid").isNull().cast("int"))).alias("null_kicker"),
-        F.min("kord").alias("first_ord"),
-        F.min_by("kid", "kord").alias("first_kid"), F.min_by("kname", "kord").alias("first_kname"),
+        *kicker_partial_aggs(),                  # shared with the streaming upkeep
         # game level
         F.count(F.lit(1)).alias("playcount"), F.count_if(fg == "made").alias("fg_atts"),
         F.count_if(xp == "good").alias("xp_atts"),

@@ -21,7 +21,8 @@ from sidelines.operators.windows import fill
 from sidelines.plans.adapter import plays_from_events
 from sidelines.plans.kicker import GAME_KEYS, KICKER_KEYS
 
-__all__ = ["EVENTS_SCHEMA", "partial_facts", "merge_partials", "start_facts_stream"]
+__all__ = ["EVENTS_SCHEMA", "kicker_partial_inputs", "kicker_partial_aggs", "partial_facts", "merge_partials",
+           "start_facts_stream"]
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -29,27 +30,37 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def partial_facts(plays: DataFrame) -> DataFrame:
-    """Mergeable per-team-game partial aggregates of a batch of plays."""
+def kicker_partial_inputs() -> list:
+    """Per-play columns the kicker partials aggregate (kick rows only)."""
     fg, xp = F.col("field_goal_result"), F.col("extra_point_result")
     kick = fg.isNotNull() | xp.isNotNull()
-    p = plays.where(F.col("posteam").isNotNull()).select(
-        *GAME_KEYS, fg, xp, kick.alias("_kick"),
-        F.when(kick, kick_points(fg, "kick_distance", xp)).alias("kick_fp"),
-        F.when(kick, F.col("kick_distance")).alias("kdist"),
-        made_distance(fg, xp, "kick_distance").alias("kmd"),
-        F.when(kick, F.col("kicker_player_id")).alias("kid"),
-        F.when(kick, F.col("kicker_player_name")).alias("kname"),
-        F.when(kick, F.col("play_id")).alias("kord"))
-    return p.groupBy(*GAME_KEYS).agg(
-        F.count_if("_kick").alias("n_kick"), F.sum("kick_fp").alias("points"),
-        F.count_if(fg == "made").alias("n_fg"), F.count(fg).alias("n_fg_att"),
-        F.count_if(xp == "good").alias("n_xp"), F.count(xp).alias("n_xp_att"),
-        F.max("kdist").alias("max_dist"), F.max("kmd").alias("max_made_dist"),
-        F.collect_set("kid").alias("kickers"),
-        F.max(F.when(F.col("_kick"), F.col("kid").isNull().cast("int"))).alias("null_kicker"),
-        F.min("kord").alias("first_ord"),
-        F.min_by("kid", "kord").alias("first_kid"), F.min_by("kname", "kord").alias("first_kname"))
+    return [fg, xp, kick.alias("_kick"),
+            F.when(kick, kick_points(fg, "kick_distance", xp)).alias("kick_fp"),
+            F.when(kick, F.col("kick_distance")).alias("kdist"),
+            made_distance(fg, xp, "kick_distance").alias("kmd"),
+            F.when(kick, F.col("kicker_player_id")).alias("kid"),
+            F.when(kick, F.col("kicker_player_name")).alias("kname"),
+            F.when(kick, F.col("play_id")).alias("kord")]
+
+
+def kicker_partial_aggs() -> list:
+    """Mergeable aggregates over ``kicker_partial_inputs`` (sums, maxima,
+    the kicker set and the earliest kick with its kicker)."""
+    fg, xp = F.col("field_goal_result"), F.col("extra_point_result")
+    return [F.count_if("_kick").alias("n_kick"), F.sum("kick_fp").alias("points"),
+            F.count_if(fg == "made").alias("n_fg"), F.count(fg).alias("n_fg_att"),
+            F.count_if(xp == "good").alias("n_xp"), F.count(xp).alias("n_xp_att"),
+            F.max("kdist").alias("max_dist"), F.max("kmd").alias("max_made_dist"),
+            F.collect_set("kid").alias("kickers"),
+            F.max(F.when(F.col("_kick"), F.col("kid").isNull().cast("int"))).alias("null_kicker"),
+            F.min("kord").alias("first_ord"),
+            F.min_by("kid", "kord").alias("first_kid"), F.min_by("kname", "kord").alias("first_kname")]
+
+
+def partial_facts(plays: DataFrame) -> DataFrame:
+    """Mergeable per-team-game partial aggregates of a batch of plays."""
+    p = plays.where(F.col("posteam").isNotNull()).select(*GAME_KEYS, *kicker_partial_inputs())
+    return p.groupBy(*GAME_KEYS).agg(*kicker_partial_aggs())
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
