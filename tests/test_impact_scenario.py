@@ -1,6 +1,8 @@
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from sidelines.ml.bsts import fit_counterfactual
 from sidelines.plans.impact import event_window, impact_summary, relative_lift
 from sidelines.plans.scenario import empirical_ep, next_score
@@ -34,3 +36,14 @@ def test_next_score_and_ep_range(spark):
     assert lab == {1: "Field_Goal", 2: "Field_Goal", 3: "No_Score", 4: "No_Score", -1: "Opp_Touchdown"}
     ep = empirical_ep(next_score(plays), ["yardline_100"]).collect()
     assert all(-7 <= r["ep"] <= 7 for r in ep)
+
+
+def test_next_score_chunked_scan_equals_single_chunk(spark):
+    from sidelines.plans.adapter import plays_from_events
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    p = plays_from_events(ev).withColumn(
+        "score_type", F.when(F.col("event_type") == "purchase", "Touchdown").when(F.col("event_type") == "signup",
+                                                                                   "Field_Goal"))
+    a = {r["play_id"]: r["next_score"] for r in next_score(p).select("play_id", "next_score").collect()}
+    b = {r["play_id"]: r["next_score"] for r in next_score(p, chunk_rows=2).select("play_id", "next_score").collect()}
+    assert a == b and len(a) == ev.count()
