@@ -34,6 +34,12 @@ def next_score(plays: DataFrame, keys: Sequence[str] = ("game_id", "posteam"), o
     table (one row per chunk) finds the first score after the chunk.  A
     group larger than one chunk is never held by one task."""
     keys, order = list(keys), list(order)
+    # size check first (one partially aggregated count): when every group fits
+    # in one chunk a plain window is already bounded by ``chunk_rows``
+    largest = plays.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= chunk_rows:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+        return plays.withColumn(out, F.coalesce(F.first(score_col, ignorenulls=True).over(w), F.lit("No_Score")))
     rn = global_row_number(plays, order, "_rn", keys=keys)
     rn = rn.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
     inner = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(0, Window.unboundedFollowing)
