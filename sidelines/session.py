@@ -7,7 +7,9 @@ is unset (local tests) do we pick a scratch folder ourselves.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,22 +28,38 @@ DEFAULT_CONF = {
 }
 
 
+def _submitted_master(conf_cls) -> bool:
+    """Whether the launcher already chose a master.
+
+    ``SparkConf`` sees it once the JVM runs (spark-submit starts the JVM before
+    Python); before that only the submit arguments can carry one.
+    """
+    from pyspark import SparkContext
+    if SparkContext._jvm is not None or "PYSPARK_GATEWAY_PORT" in os.environ:
+        return conf_cls().contains("spark.master")
+    args = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    return "--master" in args or "spark.master" in args or "MASTER" in os.environ
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "sidelines", extra: dict | None = None) -> SparkSession:
     """Return (or create) a session with the engine's defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` only when no master is
-    configured by spark-submit.
+    A master set by spark-submit, spark-defaults or a running session is never
+    overridden: ``local[$BENCH_CPUS or *]`` and the local driver memory apply
+    only when ``SparkConf`` names no master and the caller names none.
     """
+    from pyspark import SparkConf, SparkContext
     b = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ:
+    conf = dict(DEFAULT_CONF)
+    if master is None and SparkContext._active_spark_context is None and not _submitted_master(SparkConf):
         master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
+        if master.startswith("local"):
+            conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -85,13 +103,17 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Falls back to a fresh scratch folder only when the setting is absent, which
-    is the local-test case; on a cluster the setting is always present.
+    Where it is unset a scratch folder is made only for a one-machine master
+    (``local[...]``, as in tests); on a cluster executors could not share such
+    a folder, so the call fails and says what to set.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sidelines-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(d)
