@@ -38,6 +38,7 @@ from sidelines.llm.common import n_words, table
 from sidelines.session import cut_lineage
 
 SLICE = 3
+SALTS = 64
 
 
 def _weight(key: Column, weights: Mapping[str, int]) -> Column:
@@ -94,7 +95,9 @@ def mix(docs: DataFrame, keys: Mapping[str, Column], weights: Sequence[Mapping[s
     leaves = cut_lineage(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
     plan = (leaf_shares(leaves, names, weights, budget_num, budget_den, max_epochs)
             .select(*names, F.expr("share div tokens").alias("whole"), F.expr("share % tokens").alias("part")))
-    placed = rows.join(plan, names)
+    # a leaf may hold a third of all rows: each leaf's plan is repeated for ``SALTS`` parts of its rows
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*names, "salt"]).drop("salt")
     whole = placed.filter("whole > 0").select(
         "id", *names, "tokens", F.explode(F.expr("sequence(0L, whole - 1)")).alias("epoch"))
     rank = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))
