@@ -46,7 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = hashed.join(counts.filter("n > 1").select("h"), "h")
     ids = shared.select(F.col("id").alias("shared_id")).distinct()
     raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    again = (raw.join(ids, F.col("id").eqNullSafe(F.col("shared_id")), "left_semi")
+    again = (raw.join(ids.hint("merge"), F.col("id").eqNullSafe(F.col("shared_id")), "left_semi")
              .select("id", lower_az(text_or_empty(F.col("t"))).alias("norm"))
              .withColumn("h", content_hash(F.col("norm"))))
     best = {"min": F.min, "max": F.max}[keep]
