@@ -38,4 +38,4 @@ def load() -> tuple[dict, dict]:
     return QUERIES, ORACLE
 
 
-MODULES = ("exact_dedup", "url_filter", "mixing", "fingerprints")
+MODULES = ("pii", "fingerprints", "exact_dedup", "url_filter", "mixing")

@@ -28,7 +28,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sidelines.llm.catalog import register
@@ -36,6 +36,7 @@ from sidelines.llm.common import table, text_or_empty
 
 #: Draws of a fingerprint (a multiple of BLOCK): a likeness has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES, BLOCK = 16, 4
+CELL_BITS = 14
 _SEP = r"[\x20\x09-\x0D]+"
 
 
@@ -73,24 +74,52 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataF
     return both.select("part", F.row_number().over(w).alias("rn"), "ghost", "id", "text", F.lead("text").over(w).alias("next_text"))
 
 
-def _draws(h: Column, block: Column, weights: list[str]) -> tuple[list[Column], list[Column]]:
-    """r, ln c, b of the draws of one block; and the packed sample of every draw and weight column."""
+def gamma_quantiles(spark: SparkSession) -> DataFrame:
+    """One row, one array: quantiles of Gamma(2, 1) in the middles of 2 ** CELL_BITS equal cells.
+
+    Newton's method on 1 - exp(-x) (1 + x) = p from the inflection point
+    x = 1, whence it converges monotonically for every p.
+    """
+    cells = 1 << CELL_BITS
+
+    def step(x, p):
+        return x - (1 - F.exp(-x) * (1 + x) - p) / (x * F.exp(-x))
+
+    def quantile(i):
+        p = (i + F.lit(0.5)) / float(cells)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(1.0), lambda x, _: step(x, p))
+
+    return spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), quantile).alias("x"))
+
+
+def _draws(h: Column, block: Column, weights: list[str], spark: SparkSession) -> tuple[list[Column], list[Column]]:
+    """r, ln c, b of the draws of one block; and the packed sample of every draw and weight column.
+
+    r and c come from the quantile table by bits of the hash (a table look-up
+    costs a fraction of a logarithm); the lowest cell of c, which decides
+    among very many terms, is refined by 16 more bits (there x is close to sqrt(2 p) (1 + sqrt(2 p) / 3)).
+    """
+    cells = 1 << CELL_BITS
+    table_r = gamma_quantiles(spark).scalar()
+    table_c = gamma_quantiles(spark).select(F.transform("x", lambda x: F.log(x))).scalar()
+
     def bits(g, shift, n):
-        return F.shiftrightunsigned(g, shift).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
+        return F.shiftrightunsigned(g, shift).bitwiseAND(F.lit((1 << n) - 1).cast("bigint")).cast("int")
 
     first, packed = [], []
     for k in range(BLOCK):
-        g1, g2 = (F.xxhash64(h, block * (2 * BLOCK) + i) for i in (2 * k, 2 * k + 1))
-        u = [(bits(g, s, 26) + 0.5) / float(1 << 26) for g in (g1, g2) for s in (0, 26)]
-        b = (F.shiftleft(bits(g1, 52, 12), 12).bitwiseOR(bits(g2, 52, 12)) + 0.5) / float(1 << 24)
-        first += [(-F.log(u[0] * u[1])).alias(f"r{k}"), F.log(-F.log(u[2] * u[3])).alias(f"c{k}"), b.alias(f"b{k}")]
+        g = F.xxhash64(h, block * BLOCK + k)
+        ci = bits(g, CELL_BITS, CELL_BITS)
+        tail = F.sqrt(2.0 * (bits(g, 2 * CELL_BITS, 16) + 0.5) / float(cells << 16))
+        first += [F.get(table_r, bits(g, 0, CELL_BITS)).alias(f"r{k}"),
+                  F.when(ci == 0, F.log(tail) + tail / 3.0).otherwise(F.get(table_c, ci)).alias(f"c{k}"),
+                  ((bits(g, 2 * CELL_BITS + 16, 20) + 0.5) / float(1 << 20)).alias(f"b{k}")]
         r, c, beta = F.col(f"r{k}"), F.col(f"c{k}"), F.col(f"b{k}")
         for x in weights:
             t = F.floor(F.col(f"ln_{x}") / r + beta)
-            a = F.least(F.greatest((c - r * (t - beta) - r + 64) * float(1 << 24), F.lit(0.0)), F.lit(float((1 << 31) - 1)))
-            both = F.shiftleft(a.cast("bigint"), 32).bitwiseOR(
-                F.hash(h, t).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
-            packed.append(F.when(F.col(f"ln_{x}").isNotNull(), both).alias(f"{x}{k}"))   # least() skips NULL
+            a = (c - r * (t - beta) - r + 64) * float(1 << 24)       # ln a lies within (-64, 64)
+            packed.append(F.shiftleft(a.cast("bigint"), 32).bitwiseOR(
+                F.hash(h, t).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))).alias(f"{x}{k}"))
     return first, packed
 
 
@@ -103,7 +132,7 @@ def signatures(terms: DataFrame, keys: list[str], weights: list[str], samples: i
     """
     lns = [F.when(F.col(x) > 0, F.log(F.col(x).cast("double"))).alias(f"ln_{x}") for x in weights]
     blocks = F.explode(F.lit(list(range(samples // BLOCK)))).alias("block")
-    first, packed = _draws(F.col("h"), F.col("block"), weights)
+    first, packed = _draws(F.col("h"), F.col("block"), weights, terms.sparkSession)
     drawn = (terms.select(*keys, "h", *lns, blocks)
              .select(*keys, "h", "block", *[f"ln_{x}" for x in weights], *first).select(*keys, "block", *packed))
     mins = drawn.groupBy(*keys, "block").agg(*[F.min(f"{x}{k}").alias(f"{x}{k}") for x in weights for k in range(BLOCK)])
