@@ -38,4 +38,4 @@ def load() -> tuple[dict, dict]:
     return QUERIES, ORACLE
 
 
-MODULES = ("pii", "fingerprints", "exact_dedup", "url_filter", "mixing")
+MODULES = ("pii", "fingerprints", "licenses", "exact_dedup", "url_filter", "mixing")
