@@ -38,4 +38,4 @@ def load() -> tuple[dict, dict]:
     return QUERIES, ORACLE
 
 
-MODULES = ("pii", "fingerprints", "licenses", "exact_dedup", "url_filter", "packing", "language", "mixing")
+MODULES = ("pii", "ngram_lm", "fingerprints", "licenses", "exact_dedup", "url_filter", "packing", "language", "mixing")
