@@ -19,10 +19,8 @@ values (n-gram -> discounted count; context -> 1 / sum, gamma), written to the
 folder in spark.checkpoint.dir, which all executors share.  Nothing passes
 through the driver but bucket numbers and a handful of sums.
 
-Scoring: workers memory-map the files (``np.load(mmap_mode)``), look up sorted
-batches of hashes in them, and add up log10 probabilities.  Files in a store
-that cannot be mapped are copied to a temporary file of the worker that is unlinked as soon
-as it is mapped.
+Scoring: workers memory-map the files, look up sorted batches of hashes in
+them, and add up log10 probabilities.
 
 A model's memory in a worker is what the page cache holds; its disk grows with
 the distinct n-grams of the corpus.  Nothing is pruned, capped or sampled.
@@ -37,22 +35,19 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidelines.llm import arrays as A
+from sidelines.llm import files
 from sidelines.llm.catalog import register
 from sidelines.llm.common import crc_mod, table
-from sidelines.session import checkpoint_dir, cut_lineage
+from sidelines.session import cut_lineage
 
 U64 = np.uint64
 START, END = U64(0x5354415254), U64(0x454E44)
@@ -127,37 +122,6 @@ class Model:
     train_tokens: int
 
 
-def _store(uri: str):
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
-
-
-def _save(uri: str, name: str, hashes: np.ndarray, values: np.ndarray) -> None:
-    """Write under a name of this attempt, then rename: a repeated or speculative task replaces equal content."""
-    fs, root = _store(uri)
-    for part, x in (("h", hashes), ("v", values)):
-        tmp = f"{root}/{name}.{part}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(tmp) as f:
-            np.save(f, np.ascontiguousarray(x), allow_pickle=False)
-        fs.move(tmp, f"{root}/{name}.{part}.npy")
-
-
-def _map(uri: str, name: str) -> tuple[np.ndarray, np.ndarray]:
-    fs, root = _store(uri)
-    out = []
-    for part in "hv":
-        path = f"{root}/{name}.{part}.npy"
-        if isinstance(fs, pafs.LocalFileSystem):
-            out.append(np.load(path, mmap_mode="r", allow_pickle=False))
-        else:
-            with tempfile.NamedTemporaryFile() as local:
-                with fs.open_input_stream(path) as f:
-                    while block := f.read(1 << 22):
-                        local.write(block)
-                local.flush()
-                out.append(np.load(local.name, mmap_mode="r", allow_pickle=False))
-    return out[0], out[1]
-
-
 def _discounts(n: list[float]) -> np.ndarray:
     """D(1), D(2), D(3+) from the numbers of n-grams that occur once, twice, three and four times."""
     n1, n2, n3, n4 = (max(float(x), 0.0) for x in n)
@@ -169,9 +133,7 @@ def _discounts(n: list[float]) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int | None = None) -> Model:
     """Count ``docs`` and write the model's files; returns where they are."""
     spark = docs.sparkSession
-    uri = f"{checkpoint_dir(spark).rstrip('/')}/ngram_lm/{uuid.uuid4().hex}"
-    fs, root = _store(uri)
-    fs.create_dir(root)
+    uri = files.new_folder(spark, "ngram_lm")
     buckets = buckets or max(8, 2 * docs.rdd.getNumPartitions())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +163,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
             bucket = group.column("bucket")[0].as_py()
             w, v = _unpack(group, n, np.uint32 if width == 1 else np.int64, width)
             w, h, v = _merge(w, v.astype(np.int64))
-            _save(uri, f"raw{n}-{bucket}", h, np.concatenate([w.view(np.int64), v], 1))
+            files.save(uri, f"raw{n}-{bucket}", h, np.concatenate([w.view(np.int64), v], 1))
             c = v[:, 0]
             seen = [int((c == k).sum()) for k in (1, 2, 3, 4)]
             # per context: sum, and how many n-grams occur once, twice, more often
@@ -236,16 +198,16 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
             w, h, v = _merge(w, v)
             total = v[:, 0].astype(np.float64)
             gamma = (v[:, 1:] * discount[1:]).sum(1) / total
-            _save(uri, f"ctx{n}-{bucket}", h, np.stack([1.0 / total, gamma], 1))
+            files.save(uri, f"ctx{n}-{bucket}", h, np.stack([1.0 / total, gamma], 1))
             return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
         def discounted(group: pa.Table) -> pa.Table:
             bucket = group.column("bucket")[0].as_py()
-            h, v = _map(uri, f"raw{n}-{bucket}")
+            h, v = files.load(uri, f"raw{n}-{bucket}")
             c = np.asarray(v[:, n])
             d = (c - discount[np.minimum(c, 3)]).astype(np.float32)
             # unigrams also keep the number of occurrences, which the base score needs
-            _save(uri, f"gram{n}-{bucket}", np.asarray(h), np.stack([d, v[:, -1]], 1) if n == 1 else d[:, None])
+            files.save(uri, f"gram{n}-{bucket}", np.asarray(h), np.stack([d, v[:, -1]], 1) if n == 1 else d[:, None])
             return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
         out.filter("kind = 0").drop("kind").groupBy("bucket").applyInArrow(context, "bucket int").write.format("noop").mode("overwrite").save()
@@ -258,39 +220,14 @@ class Reader:
     """Memory-mapped files of a model."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, {}
-        fs, root = _store(model.uri)
-        self.names = {f.base_name for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))}
-
-    def get(self, kind: str, hashes: np.ndarray, width: int) -> np.ndarray:
-        """Values of the hashes, 0 where absent; each bucket is read once, in order of its hashes."""
-        m = self.model
-        distinct, back = np.unique(hashes, return_inverse=True)
-        out = np.zeros((len(distinct), width))
-        bucket = (distinct % U64(m.buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[by], np.arange(m.buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            name = f"{kind}-{b}"
-            if f"{name}.h.npy" not in self.names:
-                continue
-            if name not in self.files:
-                self.files[name] = _map(m.uri, name)
-            known, values = self.files[name]
-            rows = by[cut[b]:cut[b + 1]]
-            if not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, distinct[rows]), len(known) - 1)
-            hit = known[at] == distinct[rows]
-            out[rows[hit]] = values[at[hit]]
-        return out[back]
+        self.model, self.files = model, files.Lookup(model.uri, model.buckets)
 
     def probabilities(self, grams: np.ndarray) -> np.ndarray:
         p = np.full(len(grams), 1.0 / (self.model.vocabulary + 1))
         for n in range(1, self.model.order + 1):
             w = grams[:, grams.shape[1] - n:]
-            ctx = self.get(f"ctx{n}", gram_hash(w[:, :-1]), 2)
-            gram = self.get(f"gram{n}", gram_hash(w), 2 if n == 1 else 1)
+            ctx = self.files.get(f"ctx{n}", gram_hash(w[:, :-1]), 2)
+            gram = self.files.get(f"gram{n}", gram_hash(w), 2 if n == 1 else 1)
             if n == 1:
                 self.occurs = gram[:, 1]
             seen = ctx[:, 0] > 0
