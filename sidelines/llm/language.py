@@ -183,23 +183,28 @@ def _label(texts: pa.Array, langs: list[str], score: np.ndarray, used: np.ndarra
 SCHEMA = "id bigint, lang_pred string, score double, spans string"
 
 
-def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
-    """One row per input row: id, lang_pred, score, spans (``lang:first word:last word + 1``)."""
+def _predict(texts: pa.Array, model, penalty: float) -> list[tuple]:
+    """(language, score, spans) of each text of a batch."""
     langs, score, used = model
+    if not langs:
+        return [("und", 0.0, "")] * len(texts)
+    out = list(_label(texts, langs, score, used, penalty))
+    # bytes above ASCII count as letters until here; texts without an ASCII letter are looked at exactly
+    plain = np.zeros(len(texts), bool)
+    for at, data, off in A.slices(texts):
+        total = np.concatenate([[0], np.cumsum(LETTER[data] & (data < 0x80))])
+        plain[at:at + len(off) - 1] = total[off[1:]] > total[off[:-1]]
+    for i in np.flatnonzero(~plain):
+        if not any(map(str.isalpha, texts[int(i)].as_py() or "")):
+            out[i] = ("und", 0.0, "")
+    return out
+
 
+def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
+    """One row per input row: id, lang_pred, score, spans (``lang:first word:last word + 1``)."""
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
-            out = list(_label(texts, langs, score, used, penalty)) if langs else [("und", 0.0, "")] * b.num_rows
-            # bytes above ASCII count as letters until here; texts without an ASCII letter are looked at exactly
-            plain = np.zeros(b.num_rows, bool)
-            for at, data, off in A.slices(texts):
-                total = np.concatenate([[0], np.cumsum(LETTER[data] & (data < 0x80))])
-                plain[at:at + len(off) - 1] = total[off[1:]] > total[off[:-1]]
-            for i in np.flatnonzero(~plain):
-                if not any(map(str.isalpha, texts[int(i)].as_py() or "")):
-                    out[i] = ("und", 0.0, "")
-            cols = list(zip(*out)) or [(), (), ()]
+            cols = list(zip(*_predict(b.column(1), model, penalty))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()),
                                               pa.array(cols[2], pa.string())], names=["id", "lang_pred", "score", "spans"])
 
@@ -207,6 +212,22 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     return d.mapInArrow(predict, SCHEMA)
 
 
+def keep_identified(docs: DataFrame, model, min_score: float, text_col: str = "text", penalty: float = 12.0) -> DataFrame:
+    """The rows of ``docs``, unchanged, that have a language with at least ``min_score`` of the letters.
+
+    All rows when the model has no language."""
+    if not model[0]:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [lang != "und" and score >= min_score for lang, score, _ in _predict(b.column(at), model, penalty)]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows kept from training: crc32 of the id modulo 4 is 2 (a NULL id is not)."""
     return F.coalesce(crc_mod(F.col(id_col), 4) == 2, F.lit(False))
