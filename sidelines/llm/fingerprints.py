@@ -52,8 +52,8 @@ def _range_number(col: Column, bounds: list) -> Column:
     return block * step + F.size(F.filter(inside, lambda x: x < col))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
-    """(part, rn, ghost, id, text, next_text): hash-partitioned by ``part``, ``rn`` in descending id."""
+def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int, tasks: int) -> DataFrame:
+    """(part, rn, ghost, id, text, next_text): dealt to ``tasks`` partitions by ``part``, ``rn`` in descending id."""
     d = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     probs = [(i + 1) / ranges for i in range(ranges - 1)]
     found = d.agg(F.percentile_approx("id", probs, 10000).alias("b")).first()["b"] if probs else None
@@ -69,7 +69,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataF
         "part", F.lag("own").over(in_order).alias("below"),
         F.last("own").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
     ghosts = ghosts.select(F.coalesce("below", "top").alias("g"), "part").select("g.id", "g.text", "part")
-    both = d.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
+    both = d.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True))).repartition(tasks, "part")
     w = Window.partitionBy("part").orderBy("ghost", F.col("id").desc_nulls_last(), F.col("text").desc())
     return both.select("part", F.row_number().over(w).alias("rn"), "ghost", "id", "text", F.lead("text").over(w).alias("next_text"))
 
@@ -157,8 +157,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  ranges: int | None = None) -> DataFrame:
     """Per row: id, n_chars, edited_sha256, signatures (own, edited, next) as arrays."""
     spark = docs.sparkSession
-    ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(docs, id_col, text_col, ranges)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(tasks, min(16 * tasks, 4096))     # many small ranges spread evenly over the tasks
+    rows = with_next(docs, id_col, text_col, ranges, 2 * tasks)
     n = F.char_length("text").cast("bigint")
     half = F.expr("cast(char_length(text) div 2 as int)")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(char_length(text) div 2 as int))"),
