@@ -35,7 +35,7 @@ from sidelines.llm.catalog import register
 from sidelines.llm.common import table, text_or_empty
 
 #: Draws of a fingerprint (a multiple of BLOCK): a likeness has a standard error of at most 0.5 / sqrt(SAMPLES).
-SAMPLES, BLOCK = 16, 4
+SAMPLES, BLOCK = 32, 4
 CELL_BITS = 14
 _SEP = r"[\x20\x09-\x0D]+"
 
