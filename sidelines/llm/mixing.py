@@ -69,7 +69,11 @@ def leaf_shares(leaves: DataFrame, keys: Sequence[str], weights: Sequence[Mappin
                 max_epochs: int) -> DataFrame:
     """(keys.., tokens, share) per leaf.  ``leaves``: one row per leaf with its tokens."""
     top = "root"
-    level = (leaves.withColumn(top, F.lit(0)).withColumn("cap", F.col("tokens") * max_epochs)
+    wanted = F.lit(True)
+    for k, w in zip(keys, weights):
+        wanted = wanted & (_weight(F.col(k), w) > 0)
+    level = (leaves.withColumn(top, F.lit(0))
+             .withColumn("cap", F.when(wanted, F.col("tokens") * max_epochs).otherwise(F.lit(0).cast("bigint")))
              .withColumn("budget", F.expr(f"sum(tokens) OVER (PARTITION BY {top}) * {budget_num} div {budget_den}")))
     out = level
     for i, k in enumerate(keys):
