@@ -27,25 +27,23 @@ FEATURE_SETS = {
 
 
 def stratified_folds(df: DataFrame, strata: str, v: int = 10, key: str | Sequence[str] = "id",
-                     seed: int | None = None, fold_col: str = "fold", max_levels: int = 5) -> DataFrame:
+                     seed: int | None = None, fold_col: str = "fold", quartiles: bool = False) -> DataFrame:
     """M2: v-fold assignment stratified on ``strata``.
 
-    Strata are the distinct values when there are at most ``max_levels`` of
-    them, else quartile bins (exact quartiles, skew-safe operator).  Within a
-    stratum rows are numbered in ``key`` order (or a seeded hash order) and
+    Strata are the distinct values (NULL is one), or with ``quartiles=True``
+    the exact quartile bins of a numeric column (skew-safe operator).  Within
+    a stratum rows are numbered in ``key`` order (or a seeded hash order) and
     dealt round-robin, so fold sizes differ by at most one per stratum.  The
     numbering is range-partitioned: a stratum holding a large share of all
     rows is never funnelled through one task.  Folds are 0-based (as
     ``CrossValidator(foldCol=...)`` expects)."""
     keys = [key] if isinstance(key, str) else list(key)
-    n_levels = df.select(strata).distinct().limit(max_levels + 1).count()
-    if n_levels <= max_levels:
+    if not quartiles:
         s = df.withColumn("_stratum", F.col(strata).cast("string"))
     else:
-        q = quantiles(df, [], strata, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-        cuts = [q.select(c).scalar() for c in ("q1", "q2", "q3")]
-        b = (F.when(F.col(strata) <= cuts[0], 1).when(F.col(strata) <= cuts[1], 2)
-             .when(F.col(strata) <= cuts[2], 3).otherwise(4))
+        q = quantiles(df, [], strata, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(F.struct("q1", "q2", "q3")).scalar()
+        b = (F.when(F.col(strata).isNull(), F.lit(None)).when(F.col(strata) <= q["q1"], 1).when(F.col(strata) <= q["q2"], 2)
+             .when(F.col(strata) <= q["q3"], 3).otherwise(4))
         s = df.withColumn("_stratum", b.cast("string"))
     order = keys if seed is None else ["_h", *keys]
     if seed is not None:

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sidelines.operators.nullsafe import join_on
+
 __all__ = ["keep_groups", "single_actor", "time_split"]
 
 
 def keep_groups(df: DataFrame, keys: Sequence[str], agg_cond: Column) -> DataFrame:
     """keep the rows of groups whose aggregate condition is true
-    (aggregate map-side, then a semi join)."""
+    (aggregate map-side, then a semi join); a NULL key is a group."""
     ok = df.groupBy(*keys).agg(agg_cond.alias("__ok")).where("__ok").drop("__ok")
-    return df.join(ok, list(keys), "left_semi")
+    return join_on(df, ok, list(keys), "left_semi")
 
 
 def single_actor(df: DataFrame, keys: Sequence[str], actor: str, keep_empty: bool = True,

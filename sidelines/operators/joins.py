@@ -2,8 +2,8 @@
 
 No join here broadcasts a side whose size is not bounded by construction:
 1-row aggregates are scalar subqueries, user patch/alias tables are small
-literal tables, everything else is left to AQE, which switches to a broadcast
-join only after measuring the real size at runtime.
+literal tables, everything else (patch and alias tables too) is left to AQE,
+which switches to a broadcast join only after measuring the real size at runtime.
 """
 
 from __future__ import annotations
@@ -14,19 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["bounded_broadcast", "enrich", "densify", "opponent_role", "override", "apply_patches",
-           "with_fallback_row", "normalise_codes", "grid", "scenario", "cross_with"]
-
-
-MAX_BROADCAST_ROWS = 1_000_000
+from sidelines.operators.nullsafe import join_on
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the size: the side is counted up to
-    ``max_rows + 1`` rows (a cheap bounded job); beyond the bound it is left
-    to a shuffle join (AQE may still broadcast it if it measures small)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+__all__ = ["enrich", "densify", "opponent_role", "override", "apply_patches",
+           "with_fallback_row", "normalise_codes", "grid", "scenario", "cross_with"]
 
 
 def _pairs(on) -> list[tuple[str, str]]:
@@ -37,15 +28,13 @@ def _pairs(on) -> list[tuple[str, str]]:
     return [(k, k) for k in on]
 
 
-def enrich(df: DataFrame, dim: DataFrame, on, how: str = "left", null_safe: bool = False,
-           broadcast: bool = False) -> DataFrame:
+def enrich(df: DataFrame, dim: DataFrame, on, how: str = "left", null_safe: bool = False) -> DataFrame:
     """Equi-join on same- or differently-named keys.
 
     ``null_safe`` matches NULL to NULL (N4).  Right-side key columns that
-    duplicate left names are dropped.  ``broadcast=True`` asks for a
-    broadcast join, granted only after the side's size is checked."""
+    duplicate left names are dropped."""
     pairs = _pairs(on)
-    right = bounded_broadcast(dim) if broadcast else dim
+    right = dim
     if not null_safe and all(l == r for l, r in pairs):
         return df.join(right, [l for l, _ in pairs], how)
     ren = {r: f"__r_{r}" for _, r in pairs}
@@ -67,8 +56,9 @@ def densify(facts: DataFrame, spine: DataFrame, on: Sequence[str],
             zero_cols: Sequence[str] = ()) -> DataFrame:
     """Every spine row survives; fact columns in ``zero_cols`` become 0
     where the spine row had no facts.  Both sides aggregated on ``on`` share
-    their hash partitioning, so the join adds no exchange of its own."""
-    out = spine.join(facts, list(on), "left")
+    their hash partitioning, so the join adds no exchange of its own.  NULL
+    keys match NULL keys."""
+    out = join_on(spine, facts, list(on), "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero_cols}) if zero_cols else out
 
 
@@ -93,12 +83,11 @@ def apply_patches(df: DataFrame, patches: DataFrame, key: str, cols: Mapping[str
     The patch table is pivoted to one row per key (the highest ``patch_no``
     wins for a cell) and left-joined; patched cells take the patch value cast
     to the column type, others keep their value.  ``cols`` maps column name
-    to Spark type.  Patch tables are hand-written and small: broadcast after
-    a size check."""
+    to Spark type."""
     wide = (patches.groupBy(key).pivot("column", list(cols))
             .agg(F.max_by(F.struct(F.lit(True).alias("set"), F.col("value").alias("value")), order_col)))
     wide = wide.select(key, *[F.col(c).alias(f"__p_{c}") for c in cols])
-    j = df.join(bounded_broadcast(wide), key, "left")
+    j = df.join(wide, key, "left")
     return j.withColumns({
         c: F.when(F.col(f"__p_{c}.set"), F.col(f"__p_{c}.value").cast(t)).otherwise(F.col(c))
         for c, t in cols.items()}).drop(*[f"__p_{c}" for c in cols])
@@ -122,9 +111,8 @@ def with_fallback_row(df: DataFrame, dim: DataFrame, on: str, fallback_key: str,
 
 def normalise_codes(df: DataFrame, c: str, alias_df: DataFrame, src: str = "alias",
                     dst: str = "code") -> DataFrame:
-    """Map aliases to canonical codes; unknown codes pass through.
-    Alias tables are user-supplied and small: broadcast after a size check."""
-    a = bounded_broadcast(alias_df.select(F.col(src).alias("__a"), F.col(dst).alias("__c")))
+    """Map aliases to canonical codes; unknown codes pass through."""
+    a = alias_df.select(F.col(src).alias("__a"), F.col(dst).alias("__c"))
     return df.join(a, df[c] == a["__a"], "left") \
              .withColumn(c, F.coalesce(F.col("__c"), F.col(c))).drop("__a", "__c")
 

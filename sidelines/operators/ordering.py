@@ -48,7 +48,6 @@ def ranked_board(df: DataFrame, score: str, keys: Sequence[str] = (), rank_col:
     """Every row with its descending-score rank inside ``keys``.
 
     Uses the range-partitioned global numbering, so a large board is ranked
-    in parallel rather than in one window task."""
-    tmp = df.withColumn("__neg", -F.col(score))
-    out = global_row_number(tmp, ["__neg", *tiebreak], name=rank_col, keys=keys)
-    return out.drop("__neg")
+    in parallel rather than in one window task.  NULL scores rank last; NULL
+    keys are a board of their own."""
+    return global_row_number(df, [F.col(score).desc_nulls_last(), *tiebreak], name=rank_col, keys=keys)

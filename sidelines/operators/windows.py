@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidelines.functions.nulls import col_
+from sidelines.operators.nullsafe import join_on
+from sidelines.session import cut_lineage
 
 __all__ = ["spec", "with_totals", "season_lag", "lagged_cum", "season_to_date_ratio",
            "fill", "row_index", "last_per_group", "group_id", "global_row_number",
@@ -26,6 +28,13 @@ def _order(o) -> Column:
     return c.asc_nulls_last() if isinstance(o, str) else c
 
 
+def _reversed(o) -> Column:
+    """The opposite of :func:`_order` for a column name (NULLs first)."""
+    if not isinstance(o, str):
+        raise TypeError("filling upwards needs column names as its order")
+    return F.col(o).desc_nulls_first()
+
+
 def spec(keys: Sequence[str], order: Sequence = ()):
     w = Window.partitionBy(*keys) if keys else Window.partitionBy()
     return w.orderBy(*[_order(o) for o in order]) if order else w
@@ -36,9 +45,10 @@ def with_totals(df: DataFrame, keys: Sequence[str], **exprs: Column) -> DataFram
 
     Planned as aggregate + join rather than an unordered window: the aggregate
     is combined map-side and the join streams the big side, so a hot key is
-    never buffered in one task (AQE splits skewed join partitions)."""
+    never buffered in one task (AQE splits skewed join partitions).  Rows with
+    a NULL key are a group of their own and get its totals."""
     tot = df.groupBy(*keys).agg(*[e.alias(k) for k, e in exprs.items()])
-    return df.join(tot, list(keys), "left")
+    return join_on(df, tot, list(keys), "left")
 
 
 def season_lag(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],
@@ -72,19 +82,21 @@ def season_to_date_ratio(num, den, keys: Sequence[str], order: Sequence, na: str
 
 def fill(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],
          direction: str = "down") -> DataFrame:
-    """Carry the last non-NULL value down (then the next one up)."""
-    w = spec(keys, order)
-    down = w.rowsBetween(UP, 0)
-    up = w.rowsBetween(0, UF)
+    """Carry the last non-NULL value down (then the next one up).
+
+    Upward filling runs down the reversed order: a frame that only grows is
+    linear, one that shrinks from the front is aggregated anew for each row."""
+    down = spec(keys, order).rowsBetween(UP, 0)
+    up = spec(keys, [_reversed(o) for o in order]).rowsBetween(UP, 0)
     out = {}
     for c in cols:
         d = F.last(c, ignorenulls=True).over(down)
         if direction == "down":
             out[c] = d
         elif direction == "downup":
-            out[c] = F.coalesce(d, F.first(c, ignorenulls=True).over(up))
+            out[c] = F.coalesce(d, F.last(c, ignorenulls=True).over(up))
         elif direction == "up":
-            out[c] = F.first(c, ignorenulls=True).over(up)
+            out[c] = F.last(c, ignorenulls=True).over(up)
         else:
             raise ValueError(direction)
     return df.withColumns(out)
@@ -110,35 +122,34 @@ def last_per_group(df: DataFrame, keys: Sequence[str], order: Sequence,
     return out
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], name: str = "rn",
+def global_row_number(df: DataFrame, order: Sequence, name: str = "rn",
                       keys: Sequence[str] = (), dense: bool = False) -> DataFrame:
     """Row number (or dense rank over distinct ``order`` values) by a total
     order, computed without funnelling a group through one task.
 
-    Rows are range-partitioned on ``keys + order`` and sorted inside each
-    partition; a local index comes from ``monotonically_increasing_id``
-    (partition id in the high bits, position in the low bits).  Per-partition
-    row counts (partitions x keys rows) give each partition its offset, which
-    is joined back.  ``order`` must be unique within ``keys`` unless ``dense``.
+    Rows are range-partitioned on ``keys + order``, sorted inside each
+    partition and given the partition's number and a local index.  That result
+    is materialised once (``cut_lineage``), because a range partitioning that
+    is computed twice need not cut at the same places: the per-partition
+    counts and the rows must come from one and the same dealing-out.  The
+    counts (partitions x keys rows) give each partition its offset.  NULL keys
+    are one group.  ``order`` (names, NULLs last, or sort expressions) must be
+    unique within ``keys`` unless ``dense``.
     """
-    keys, order = list(keys), list(order)
+    keys = list(keys)
+    by = [_order(o) for o in order]
     src = df.select(*keys, *order).distinct() if dense else df
-    part = (src.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-            .withColumn("_mid", F.monotonically_increasing_id()))
+    part = cut_lineage(src.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by)
+                       .withColumn("_mid", F.monotonically_increasing_id()))
     part = part.withColumn("_pid", F.shiftright("_mid", 33)) \
                .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
     cnt = part.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_pc"), F.min("_loc").alias("_first"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid")
     cnt = cnt.withColumn("_off", F.coalesce(F.sum("_pc").over(w.rowsBetween(UP, -1)), F.lit(0)))
-    offsets = cnt.select("_pid", *keys, "_off", "_first")
-    if not keys:  # one row per partition: a proven bound, safe to broadcast
-        offsets = F.broadcast(offsets)
-    ranked = part.join(offsets, ["_pid", *keys]) \
+    ranked = join_on(part, cnt.select("_pid", *keys, "_off", "_first"), ["_pid", *keys]) \
         .withColumn(name, F.col("_off") + F.col("_loc") - F.col("_first") + 1) \
         .drop("_mid", "_pid", "_loc", "_off", "_first")
-    if dense:
-        return df.join(ranked, keys + order, "left")
-    return ranked
+    return join_on(df, ranked, [*keys, *order], "left") if dense else ranked
 
 
 def group_id(df: DataFrame, keys: Sequence[str], name: str = "group_id") -> DataFrame:

@@ -186,7 +186,7 @@ SELECT e.vec_id, CAST(e.label AS BIGINT) AS label, round(p.pred, 6) AS pred, p.n
 FROM embeddings e LEFT JOIN p ON e.vec_id = p.vec_id""")
 def q_knn_regression(spark, sf):
     """Exact leave-one-out 5-NN regression of the label on the embedding
-    (projection bound + bucketed band join; the oracle is brute force)."""
+    (pairs of blocks compared on the executors; the oracle is brute force)."""
     e = table(spark, sf, "embeddings")
     return finish(knn_regression(e, "vec_id", "embedding", "label", k=5))
 

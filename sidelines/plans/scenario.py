@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sidelines.functions.nulls import col_
 from sidelines.functions.text import label
 from sidelines.operators.joins import scenario
+from sidelines.operators.nullsafe import join_on
 from sidelines.operators.windows import global_row_number
 
 __all__ = ["SCORE_POINTS", "SCORE_OF_EVENT", "next_score", "empirical_ep", "expected_points", "scenario",
@@ -24,31 +25,26 @@ SCORE_OF_EVENT = {"purchase": "Touchdown", "signup": "Field_Goal", "error": "Opp
 
 
 def next_score(plays: DataFrame, keys: Sequence[str] = ("game_id", "posteam"), order: Sequence[str] = ("play_id",),
-               score_col: str = "score_type", out: str = "next_score", chunk_rows: int = 1_000_000) -> DataFrame:
+               score_col: str = "score_type", out: str = "next_score", chunk_rows: int = 100_000) -> DataFrame:
     """The first score at or after each play within its game half;
     ``No_Score`` when none follows.  ``order`` must be unique within ``keys``.
 
-    Skew-safe scan: rows are numbered within their group (range-partitioned)
-    and cut into chunks of at most ``chunk_rows``; a window inside each chunk
-    finds the next score in the chunk, and a window over the small chunk
-    table (one row per chunk) finds the first score after the chunk.  A
-    group larger than one chunk is never held by one task."""
+    Skew-safe scan, the same at every size: rows are numbered within their
+    group (range-partitioned) and cut into chunks of ``chunk_rows``; a window
+    inside each chunk, in reversed order so that its frame only grows, finds
+    the next score in the chunk, and one over the chunk table (one row per
+    chunk) the first score after the chunk.  A group larger than one chunk is
+    never held by one task."""
     keys, order = list(keys), list(order)
-    # size check first (one partially aggregated count): when every group fits
-    # in one chunk a plain window is already bounded by ``chunk_rows``
-    largest = plays.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= chunk_rows:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        return plays.withColumn(out, F.coalesce(F.first(score_col, ignorenulls=True).over(w), F.lit("No_Score")))
     rn = global_row_number(plays, order, "_rn", keys=keys)
     rn = rn.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(0, Window.unboundedFollowing)
-    rn = rn.withColumn("_local", F.first(score_col, ignorenulls=True).over(inner))
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
+    rn = rn.withColumn("_local", F.last(score_col, ignorenulls=True).over(inner))
     chunks = rn.groupBy(*keys, "_chunk").agg(F.min_by(score_col, F.when(F.col(score_col).isNotNull(), F.col("_rn")))
                                              .alias("_first"))
-    later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    chunks = chunks.withColumn("_after", F.first("_first", ignorenulls=True).over(later)).drop("_first")
-    res = rn.join(chunks, [*keys, "_chunk"], "left")
+    later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_after", F.last("_first", ignorenulls=True).over(later)).drop("_first")
+    res = join_on(rn, chunks, [*keys, "_chunk"], "left")
     return res.withColumn(out, F.coalesce("_local", "_after", F.lit("No_Score"))) \
               .drop("_rn", "_chunk", "_local", "_after")
 

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sidelines.ml.features import stratified_folds
-from sidelines.ml.knn import knn_regression
+from sidelines.ml.knn import knn_regression, knn_state
 from sidelines.ml.metrics import regression_metrics, t_cdf, t_quantile, univariate_table
 from sidelines.ml.models import fit_lasso, fit_rff_svr
 from sidelines.ml.recipe import recipe
@@ -74,7 +74,7 @@ def test_knn_exact_against_brute_force(spark):
                                "id long, emb array<float>, label int")
     Xd = X.astype(np.float64)
     D = np.sqrt(((Xd[:, None, :] - Xd[None, :, :]) ** 2).sum(-1))
-    for block_rows in (20_000, 30):          # one pass, and several checkpointed passes
+    for block_rows in (20_000, 30):          # one block, and several
         got = {r["id"]: r["pred"] for r in knn_regression(df, "id", "emb", "label", k=4, block_rows=block_rows).collect()}
         for i in range(120):
             order = sorted((D[i, j], j) for j in range(120) if j != i)[:4]
@@ -96,3 +96,10 @@ def test_recipe_filters(spark):
     assert rm.dropped["c"] == "zero_variance"
     assert "a" in rm.dropped or "b" in rm.dropped            # perfectly correlated pair
     assert rm.dropped.get("f") == "linear_combination"        # f = e - d
+
+
+def test_knn_ties_go_to_the_smallest_ids(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0], i % 7) for i in range(400)], "id long, emb array<double>, label int")
+    for block_rows in (4096, 64):
+        got = {r["qid"]: r["nb_id"] for r in knn_state(df, "id", "emb", "label", k=5, block_rows=block_rows).collect()}
+        assert all(got[i] == [j for j in range(6) if j != i][:5] for i in range(400))

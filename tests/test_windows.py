@@ -1,8 +1,13 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sidelines.operators.filters import keep_groups
+from sidelines.operators.ordering import ranked_board
 from sidelines.operators.windows import (fallback_chain, fill, global_row_number, group_id, lagged_cum,
                                          last_per_group, season_to_date_ratio, suppress_small, with_totals)
 
+from sidelines.plans.scenario import next_score
+
 GAMES = [("k", 1, "g1", 2, 3, 40.0), ("k", 1, "g2", 1, 1, None), ("k", 1, "g3", 0, 0, 55.0), ("k", 1, "g4", 3, 3, 30.0),
          ("k", 2, "g5", 1, 2, 20.0)]
 SCHEMA = "kicker string, season int, game string, made int, att int, dist double"
@@ -67,3 +72,43 @@ def test_global_row_number_matches_window(spark):
     exp = {r["id"]: r["rn"] for r in df.withColumn(
         "rn", F.row_number().over(Window.partitionBy("k").orderBy("v", "id"))).collect()}
     assert got == exp
+
+
+def test_numbering_keeps_every_row(spark):
+    """Wide rows, small advisory partitions: n rows, n ranks, in order."""
+    n = 1_000_000
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(n).select(F.col("id"), (F.xxhash64("id") % 1000).alias("score"), (F.col("id") % 3).alias("board"),
+                                   F.repeat(F.col("id").cast("string"), 5).alias("extra"))
+        for keys in ([], ["board"]):
+            out = global_row_number(df, [F.col("score").desc_nulls_last(), "id"], "rk", keys=keys)
+            wrong = F.lag(F.struct(-F.col("score"), "id")).over(Window.partitionBy("board").orderBy("rk")) > F.struct(-F.col("score"), "id")
+            rows, ranks, top = out.agg(F.count("*"), F.count_distinct("rk", *keys), F.max("rk")).first()
+            assert rows == n and ranks == n and top == (n if not keys else -(-n // 3))
+            assert out.select(wrong.alias("w")).where("w").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), (None, 2, None), (None, 3, 7.0), ("a", 4, None)], "g string, o int, v double")
+    rn = {r["o"]: r["rn"] for r in global_row_number(df, ["o"], "rn", keys=["g"]).collect()}
+    assert rn == {1: 1, 4: 2, 2: 1, 3: 2}
+    assert {r["o"]: r["group_id"] for r in group_id(df, ["g"]).collect()} == {1: 1, 4: 1, 2: 2, 3: 2}      # NULLs last
+    assert {r["o"]: r["n"] for r in with_totals(df, ["g"], n=F.count("*")).collect()} == {1: 2, 2: 2, 3: 2, 4: 2}
+    board = ranked_board(df, "v", ["g"], tiebreak=["o"])
+    assert {r["o"]: r["rank"] for r in board.collect()} == {1: 1, 4: 2, 3: 1, 2: 2}
+    assert sorted(r["o"] for r in keep_groups(df, ["g"], F.count("*") > 1).collect()) == [1, 2, 3, 4]
+
+
+def test_scans_are_linear_in_a_group(spark):
+    df = spark.range(1_000_000).select(F.lit("g").alias("game_id"), F.lit("t").alias("posteam"), F.col("id").alias("play_id"),
+                                       F.when(F.col("id") % 70_000 == 69_999, F.lit("Field_Goal")).alias("score_type"))
+    out = next_score(df, chunk_rows=30_000)
+    assert {r[0]: r[1] for r in out.groupBy("next_score").count().collect()} == {"Field_Goal": 980_000, "No_Score": 20_000}
+    up = fill(df.limit(200_000), ["game_id"], ["play_id"], ["score_type"], "up")
+    assert up.where("score_type is null").count() == up.where("play_id >= 140000").count()
