@@ -75,6 +75,7 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_ded
 
 
 def run(spark, sf_dir):
+    """All stages over the documents of ``sf_dir``; returns the packed rows."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -68,5 +68,6 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d""")
 def op5_exact_dedup(spark, sf_dir):
+    """Exact duplicates of all documents; the largest doc_id of a group stays."""
     g = exact_groups(table(spark, sf_dir, "documents"), keep="max")
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", _hex("sha").alias("text_sha256"))

@@ -182,6 +182,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 @register("op3_fingerprints")
 def op3_fingerprints(spark, sf_dir):
+    """Weighted-sampling fingerprints of every text, its edited text, and their likeness."""
     f = fingerprints(table(spark, sf_dir, "documents"))
     own, edit, nxt = F.col("sig_own"), F.col("sig_edit"), F.col("sig_next")
     return f.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text(own).alias("fingerprint"),

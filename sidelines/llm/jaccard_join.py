@@ -390,4 +390,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 @register("op8_jaccard_join")
 def op8_jaccard_join(spark, sf_dir):
+    """Components of all documents linked by 4-word shingles at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85).withColumnRenamed("id", "doc_id")

@@ -239,6 +239,7 @@ def corpus_model(docs: DataFrame):
 
 @register("op9_language_id")
 def op9_language_id(spark, sf_dir):
+    """Language of every document, learned from three quarters of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, corpus_model(docs)).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")

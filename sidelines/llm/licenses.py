@@ -199,4 +199,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 @register("op4_license_scan")
 def op4_license_scan(spark, sf_dir):
+    """Licence phrases and notices in every whole text."""
     return license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -166,4 +166,5 @@ SELECT doc_id, domain, language, origin, tokens, CAST(whole AS BIGINT) AS epoch
 
 @register("op10_source_mixing", ORACLE)
 def op10_source_mixing(spark, sf_dir):
+    """Documents (with epochs) that the domain-language-source budget selects."""
     return mix(table(spark, sf_dir, "documents"), corpus_keys(), WEIGHTS, *BUDGET, max_epochs=EPOCHS, seed=SEED).withColumnRenamed("id", "doc_id")

@@ -277,6 +277,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 @register("op2_ngram_lm")
 def op2_ngram_lm(spark, sf_dir):
+    """Bigram Kneser-Ney and unigram base scores of every text, learned from four fifths of them."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
     model = train(docs.filter(~held))

@@ -106,4 +106,5 @@ def pack(docs: DataFrame, budget: int = 65536, buckets: int = 16, seed: int = 7,
 
 @register("op7_length_packing")
 def op7_length_packing(spark, sf_dir):
+    """Length bucket, batch and place of every document."""
     return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

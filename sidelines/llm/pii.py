@@ -197,4 +197,5 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 @register("op1_pii")
 def op1_pii(spark, sf_dir):
+    """Personal data in every whole text."""
     return pii_spans(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -123,6 +123,7 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM f""")
 def op6_url_filter(spark, sf_dir):
+    """Verdict of every page url under the listed rules."""
     rows = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)")
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
