@@ -19,15 +19,11 @@ __all__ = ["regression_metrics", "compare_models", "univariate_table", "t_cdf",
 def regression_metrics(df: DataFrame, truth: str, preds: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """M8: one aggregation pass; rows (keys, model, rmse, mae, rsq) where
     ``rsq`` is the squared Pearson correlation (not 1 - SSE/SST)."""
-    parts = []
     y = F.col(truth)
-    for p in preds:
-        e = F.col(p) - y
-        agg = [F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-               F.pow(safe_corr(p, truth), 2).alias("rsq")]
-        m = df.groupBy(*keys).agg(*agg) if keys else df.agg(*agg)
-        parts.append(m.withColumn("model", F.lit(p)))
-    return append(*parts)
+    found = [F.struct((F.sqrt(F.avg((F.col(p) - y) * (F.col(p) - y)))).alias("rmse"), F.avg(F.abs(F.col(p) - y)).alias("mae"),
+                      F.pow(safe_corr(p, truth), 2).alias("rsq"), F.lit(p).alias("model")) for p in preds]
+    m = (df.groupBy(*keys) if keys else df.groupBy()).agg(F.array(*found).alias("m"))
+    return m.select(*keys, F.inline("m"))
 
 
 def compare_models(train_metrics: DataFrame, test_metrics: DataFrame, metric: str = "rmse",

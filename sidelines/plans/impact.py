@@ -32,14 +32,17 @@ def weekly_series(df: DataFrame, series: str, ts: str, value: str, scale: float
     return out.withColumn("event_flag", F.col("week").isin([F.lit(d).cast("date") for d in event_weeks]).cast("int"))
 
 
-def event_window(df: DataFrame, keys: Sequence[str], time: str, y: str, pre_end: int, post_end: int) -> DataFrame:
-    """I1 + P13: index the series, keep weeks 1..post_end, mark pre/post and
-    mask the outcome in the post period (``y_actual`` keeps it)."""
-    idx = row_index(df, keys, [time], "idx").where(F.col("idx") <= post_end)
+def event_window(df: DataFrame, keys: Sequence[str], time: str, y: str, pre_end: int, post_end: int | None = None) -> DataFrame:
+    """I1 + P13: index the series, mark pre/post and mask the outcome in the
+    post period (``y_actual`` keeps it).  The post period runs to the end of
+    each series unless ``post_end`` names the event's last week."""
+    idx = row_index(df, keys, [time], "idx")
+    if post_end is not None:
+        idx = idx.where(F.col("idx") <= post_end)
     return idx.withColumns({
         "phase": F.when(F.col("idx") <= pre_end, "pre").otherwise("post"),
         "y_actual": F.col(y),
-        y: mask_between(y, "idx", pre_end + 1, post_end),
+        y: mask_between(y, "idx", pre_end + 1, (1 << 31) - 1 if post_end is None else post_end),
     })
 
 

@@ -8,14 +8,14 @@ from sidelines.plans.impact import (band, bootstrap_draws, event_window, impact_
                                     relative_lift, weekly_series)
 from sidelines.sources.io import table
 
-PRE_END, POST_END, DRAWS, STRIDE = 300, 340, 201, 7
+PRE_END, DRAWS, STRIDE = 300, 1000, 7
 KEYS = ["series_id"]
 
 
 def window(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ws = weekly_series(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice")
-    return event_window(ws, KEYS, "week", "y", PRE_END, POST_END)
+    return event_window(ws, KEYS, "week", "y", PRE_END)
 
 
 WIN_SQL = f"""
@@ -23,9 +23,8 @@ ws AS (SELECT o_orderpriority AS series_id, CAST(date_trunc('week', o_orderdate)
               sum(o_totalprice) / 1000.0 AS y FROM orders GROUP BY 1, 2),
 win AS (
   SELECT series_id, week, idx, CASE WHEN idx <= {PRE_END} THEN 'pre' ELSE 'post' END AS phase, y AS y_actual,
-         CASE WHEN NOT (idx BETWEEN {PRE_END + 1} AND {POST_END}) THEN y END AS y
-  FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY week) AS idx FROM ws)
-  WHERE idx <= {POST_END}),
+         CASE WHEN idx <= {PRE_END} THEN y END AS y
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY week) AS idx FROM ws)),
 post AS (SELECT series_id, idx, d.draw FROM win CROSS JOIN range(1, {DRAWS + 1}) AS d(draw) WHERE phase = 'post'),
 dr AS (SELECT p.series_id, p.draw, p.idx, w.y_actual AS y_hat FROM post p JOIN win w
        ON p.series_id = w.series_id AND w.phase = 'pre' AND w.idx = (p.draw * {STRIDE} + p.idx) % {PRE_END} + 1)"""
@@ -115,7 +114,7 @@ def q_bsts_fit(spark, sf):
     from sidelines.plans.q_tables import EVENT_WEEKS
     ws = weekly_series(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice",
                        event_weeks=EVENT_WEEKS)
-    w = event_window(ws, KEYS, "week", "y", PRE_END, POST_END)
+    w = event_window(ws, KEYS, "week", "y", PRE_END)
     draws = fit_counterfactual(w, KEYS, "idx", "y", ["event_flag"], pre_end=PRE_END, nseasons=52,
                                draws=1000, seed=42)
     return finish(relative_lift(impact_summary(draws, w, KEYS)))

@@ -30,7 +30,7 @@ KEY = ["season", "game_id", "posteam"]
 def model_frame(spark, sf):
     """Modelling rows: the modelling table (one row per kicker-game, first
     season dropped after the lags, last-day exclusion), NULL features imputed
-    by the column mean, label = kicker points."""
+    by the training rows' mean, label = kicker points."""
     from sidelines.plans.final import final_data
     from sidelines.plans.q_team import FIRST_SEASON, LAST_DAYS
     fd = final_data(plays(spark, sf), MIN_GAMES, MIN_ATTEMPTS, first_season=FIRST_SEASON,
@@ -42,8 +42,8 @@ def model_frame(spark, sf):
     # iterative fits re-read their input many times: materialise it once in the
     # shared checkpoint folder (reliable, survives executor loss)
     frame = cut_lineage(frame.select(*KEY, *KICKER_KEYS, *feats, LABEL, "split"))
-    # NULL features -> column mean: one struct-valued scalar subquery, reused
-    means = frame.agg(F.struct(*[F.avg(c).alias(c) for c in feats]).alias("m")).scalar()
+    # NULL features -> mean over the training rows: one struct-valued scalar subquery, reused
+    means = frame.where("split = 'train'").agg(F.struct(*[F.avg(c).alias(c) for c in feats]).alias("m")).scalar()
     return frame.withColumns({c: F.coalesce(F.col(c), means[c]) for c in feats})
 
 
