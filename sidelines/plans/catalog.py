@@ -56,5 +56,5 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def load_all() -> tuple[dict, dict]:
     """Import every query module (registration side effect); return the
     query and oracle registries."""
-    from sidelines.plans import q_impact, q_ml, q_plays, q_scenario, q_tables, q_team  # noqa: F401
+    from sidelines.plans import q_impact, q_ml, q_plays, q_scenario, q_sources, q_tables, q_team  # noqa: F401
     return QUERIES, ORACLE
