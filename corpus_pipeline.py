@@ -5,7 +5,7 @@ last return the columns of ``docs``, whatever further columns it has.  ``run``
 writes each stage to the shared checkpoint folder and reads it again.
 
 Defined results, besides those of the operators: rows without any letter, and
-rows of which no language has half of the letters, go in the first stage (all
+rows of which no language has two fifths of the letters, go in the first stage (all
 rows stay when nothing has a label to learn from).  Of equal texts the smallest
 id stays; rows with one id and one text are one document, of which one row
 stays.  Of each near-duplicate group the smallest id stays.  Rows that share an
@@ -42,7 +42,7 @@ def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language_id(spark, docs, sf_dir):
     ship_package(spark)
-    return keep_identified(docs, corpus_model(docs), min_score=0.5)
+    return keep_identified(docs, corpus_model(docs), min_score=0.4)
 
 
 def exact_dedup(spark, docs, sf_dir):
