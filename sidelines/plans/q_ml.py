@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sidelines.ml.features import FEATURE_SETS, stratified_folds
 from sidelines.ml.importance import coefficient_importance, permutation_importance
 from sidelines.ml.knn import knn_regression
-from sidelines.ml.metrics import compare_models, regression_metrics, univariate_table
+from sidelines.ml.metrics import compare_models, fold_summary, regression_metrics, univariate_table
 from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt, fit_lasso, fit_rff_svr)
-from sidelines.ml.recipe import recipe, spline_basis, zero_variance
+from sidelines.ml.recipe import gram_matrix, recipe, spline_basis, zero_variance
 from sidelines.ml.smoother import local_smooth
-from sidelines.ml.stack import fit_stack, oof_predictions, penalty_path
+from sidelines.ml.stack import StackModel, fit_stack, oof_predictions, penalty_path
 from sidelines.ml.tune import tune
 from sidelines.operators.aggregates import scalar
 from sidelines.operators.joins import enrich
@@ -301,13 +302,66 @@ def q_score_with_model(spark, sf):
     return finish(append(*parts))
 
 
-@register("spline_basis")
+_D = "(greatest(l_discount - k[{0}], 0) ** 3 - greatest(l_discount - k[5], 0) ** 3) / (k[5] - k[{0}])"
+
+
+@register("spline_basis", """
+WITH q AS (SELECT quantile_cont(CAST(l_discount AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]) AS k FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_discount, 6) AS l_discount, round(l_discount, 6) AS l_discount_ns1,
+""" + ",\n".join(f"round({_D.format(j + 1)} - {_D.format(4)}, 6) AS l_discount_ns{j + 2}" for j in range(3)) + """
+FROM lineitem, q""")
 def q_spline_basis(spark, sf):
     """M6: natural-spline basis of discount (knots at exact quantiles)."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
     return finish(spline_basis(li, "l_discount", 4))
 
 
+@register("fold_metrics", """
+WITH f AS (SELECT o_totalprice AS y, o_orderstatus, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) % 5 AS fold FROM orders),
+m AS (SELECT f.fold, f.y, (SELECT avg(g.y) FROM f g WHERE g.fold <> f.fold) AS p FROM f),
+r AS (SELECT fold, sqrt(avg((y - p) ** 2)) AS rmse FROM m GROUP BY 1)
+SELECT 'mean' AS model, round(avg(rmse), 6) AS mean, round(stddev_samp(rmse) / sqrt(count(*)), 6) AS std_err, count(*) AS n FROM r""")
+def q_fold_metrics(spark, sf):
+    """M2 + M26: mean and standard error over five stratified folds of the
+    RMSE of the training folds' mean."""
+    o = stratified_folds(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("y")),
+                         "o_orderstatus", 5, "o_orderkey")
+    by = o.groupBy("fold").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    whole = Window.partitionBy()                       # one row per fold
+    means = by.select("fold", ((F.sum("s").over(whole) - F.col("s")) / (F.sum("n").over(whole) - F.col("n"))).alias("p"))
+    rmse = (o.join(means, "fold").groupBy("fold").agg(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)).alias("rmse"))
+            .withColumn("model", F.lit("mean")))
+    return finish(fold_summary(rmse, ["model"]))
+
+
+@register("blend_scoring", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS y, l_quantity * 1500 AS by_quantity, (1 - l_discount) * 40000 AS by_discount FROM lineitem),
+s AS (SELECT *, 100 + 0.75 * by_quantity + 0.25 * by_discount AS blend FROM l)
+SELECT model, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(rsq, 6) AS rsq FROM (
+  SELECT 'by_quantity' AS model, sqrt(avg((by_quantity - y) ** 2)) AS rmse, avg(abs(by_quantity - y)) AS mae, corr(by_quantity, y) ** 2 AS rsq FROM s
+  UNION ALL SELECT 'by_discount', sqrt(avg((by_discount - y) ** 2)), avg(abs(by_discount - y)), corr(by_discount, y) ** 2 FROM s
+  UNION ALL SELECT 'blend', sqrt(avg((blend - y) ** 2)), avg(abs(blend - y)), corr(blend, y) ** 2 FROM s)""")
+def q_blend_scoring(spark, sf):
+    """M18 + M19 + M22: a stack with given weights scores rows; errors of the members and the blend."""
+    li = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("by_quantity"),
+                                             ((1 - F.col("l_discount")) * 40000).alias("by_discount"))
+    blend = StackModel(["by_quantity", "by_discount"], [0.75, 0.25], 100.0, 0.0, [])
+    return finish(regression_metrics(blend.transform(li, "blend"), "y", ["by_quantity", "by_discount", "blend"]))
+
+
+@register("gram_matrix", """
+WITH l AS (SELECT CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, CAST(l_tax AS DOUBLE) AS c FROM lineitem)
+SELECT pair, round(value, 6) AS value FROM (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc,
+       CAST(count(*) AS DOUBLE) AS n FROM l) UNPIVOT (value FOR pair IN (aa, ab, ac, bb, bc, cc, n))""")
+def q_gram_matrix(spark, sf):
+    """M5 + M18: cross products of three predictors in one pass (what the
+    linear-combination filter and the blend solve)."""
+    g, _, n = gram_matrix(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    names = [(i, j, "abc"[i] + "abc"[j]) for i in range(3) for j in range(i, 3)]
+    rows = [(k, float(g[i, j])) for i, j, k in names] + [("n", float(n))]
+    return finish(spark.createDataFrame(rows, "pair string, value double"))
+
+
 @register("univariate_inference")
 def q_univariate_inference(spark, sf):
     """M9: p-values and 95% intervals (Student t) on the per-term table."""

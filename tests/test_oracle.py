@@ -12,6 +12,9 @@ FAST = ["kicker_features", "points_rubric", "spine_densify", "fill_downup", "sea
         "median_iqr_sd", "two_level_median", "hexbin_counts", "star_enrich", "patch_table", "fallback_row",
         "pivot_multi", "dummy_drop_mode", "ranked_board", "sorted_na_last", "weather_parse", "impact_table",
         "expected_points", "grid_slice", "stratified_folds", "local_smoother", "univariate_regression",
+        "season_range_load", "snapshot_load", "override_csv", "preamble_csv", "many_csv", "indexed_csv", "baseline_row",
+        "rating_files", "power_sequence", "grid_timeouts", "grid_eras", "grid_roofs", "grid_home", "spline_basis", "fold_metrics",
+        "blend_scoring", "gram_matrix", "event_window", "impact_summary", "group_id",
         "knn_regression", "metrics_table", "team_week_offense", "team_week_defense", "final_data"]
 
 
