@@ -52,7 +52,7 @@ from sidelines.session import cut_lineage
 U64 = np.uint64
 START, END = U64(0x5354415254), U64(0x454E44)
 #: Tokens that a task counts before it sends them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 
 def _token_arrays(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
