@@ -66,11 +66,13 @@ class Lookup:
         fs, root = _store(uri)
         self.names = {f.base_name for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))}
 
-    def get(self, kind: str, hashes: np.ndarray, width: int) -> np.ndarray:
-        """[hashes, width] values, 0 where absent; each bucket is read once, in order of its hashes."""
-        distinct, back = np.unique(hashes, return_inverse=True)
+    def get(self, kind: str, hashes: np.ndarray, width: int, deal: np.ndarray | None = None) -> np.ndarray:
+        """[hashes, width] values, 0 where absent; each bucket is read once, in order of its hashes.
+
+        ``deal``: the hashes that choose the buckets, where they are not ``hashes``."""
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         out = np.zeros((len(distinct), width))
-        bucket = (distinct % U64(self.buckets)).astype(np.int64)
+        bucket = ((distinct if deal is None else deal[first]) % U64(self.buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cut)):

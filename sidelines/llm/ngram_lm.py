@@ -1,11 +1,13 @@
 """Interpolated modified Kneser-Ney n-gram model.
 
-Counting (Spark): every task hashes the words of its texts, sorts their
-n-grams and sends each distinct one once per block of about ``FLUSH`` tokens to
-the bucket of its hash, packed with its count.  Bucket tasks merge the blocks.
-As every n-gram is pre-counted, a frequent one costs a bucket no more than a
-rare one, and contexts are summed by a second, smaller shuffle: no task
-holds a whole context or word.
+Counting (Spark): every task hashes the words of its texts, counts their
+n-grams in blocks of about ``FLUSH`` tokens and sends each distinct one of a
+block, packed behind its context, to the bucket of its context; so a bucket
+sees whole contexts.  Contexts that hold a large share of all tokens (found
+first, by counts of what is frequent in a block; at most ``8 x buckets`` and
+4,096 of them) are spread over all buckets by the whole n-gram instead, and the
+sums of their parts are added up at the end.  From each bucket the next lower
+order's counts go on the same way.
 
     top order:    p(w | h) = max(c(hw) - D(c), 0) / c(h.) + gamma(h) p(w | h')
     lower orders: the same with the number of different words before in place of counts
@@ -14,10 +16,11 @@ holds a whole context or word.
 with D1, D2, D3+ per order from the counts of counts (modified Kneser-Ney) and
 gamma(h) = (D1 N1(h.) + D2 N2(h.) + D3 N3+(h.)) / c(h.).
 
-Storage: per order and bucket two files of sorted 64-bit hashes with their
-values (n-gram -> discounted count; context -> 1 / sum, gamma), written to the
-folder in spark.checkpoint.dir, which all executors share.  Nothing passes
-through the driver but bucket numbers and a handful of sums.
+Storage: per order and bucket, files of sorted 64-bit hashes (n-gram -> count,
+one byte, with a second file for counts of 255 and more; context -> sum and
+how many n-grams occur once, twice, more often), in the folder in
+spark.checkpoint.dir, which all executors share.  Only bucket sums and the frequent contexts
+pass through the driver.
 
 Scoring: workers memory-map the files, look up sorted batches of hashes in
 them, and add up log10 probabilities.
@@ -47,7 +50,6 @@ from sidelines.llm import arrays as A
 from sidelines.llm import files
 from sidelines.llm.catalog import register
 from sidelines.llm.common import crc_mod, table
-from sidelines.session import cut_lineage
 
 U64 = np.uint64
 START, END = U64(0x5354415254), U64(0x454E44)
@@ -91,26 +93,54 @@ def _merge(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words[by[first]], h[first], sums
 
 
-def _blobs(words: np.ndarray, values: np.ndarray, buckets: int, hashes: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row per bucket: its n-grams and their values, packed."""
-    h = gram_hash(words) if hashes is None else hashes
-    bucket = (h % U64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    w, v = np.ascontiguousarray(words[by]), np.ascontiguousarray(values[by])
-    used = np.flatnonzero(np.diff(cut))
-    return pa.RecordBatch.from_arrays([
-        pa.array(used, pa.int32()), pa.array([w[cut[b]:cut[b + 1]].tobytes() for b in used], pa.binary()),
-        pa.array([v[cut[b]:cut[b + 1]].tobytes() for b in used], pa.binary())], names=["bucket", "words", "vals"])
+def _context(words: np.ndarray) -> np.ndarray:
+    return gram_hash(words[:, :-1])
+
 
+def _deal(words: np.ndarray, full: np.ndarray, context: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The hash that chooses an n-gram's bucket: its context's, or its own if the context is frequent."""
+    if not len(heavy):
+        return context
+    at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1)
+    return np.where(heavy[at] == context, full, context)
 
-BLOBS = "bucket int, words binary, vals binary"
+
+COLUMNS = ("contexts", "runs", "last", "vals")
+BLOBS = "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS) + ", kind int"
+_BLOBS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in COLUMNS], ("kind", pa.int32())])
+
+
+def _blobs(words: np.ndarray, full: np.ndarray, values: np.ndarray, buckets: int, heavy: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket: its n-grams, each context once with the words after it, and their values."""
+    context = _context(words)
+    bucket = (_deal(words, full, context, heavy) % U64(buckets)).astype(np.int64)
+    by = np.lexsort((context, bucket))
+    w, v, bucket, context = words[by], np.ascontiguousarray(values[by]), bucket[by], context[by]
+    new = np.ones(len(w), bool)
+    new[1:] = (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])
+    first = np.flatnonzero(new)
+    runs = np.diff(np.append(first, len(w))).astype(np.uint32)
+    heads, last = np.ascontiguousarray(w[first, :-1]), np.ascontiguousarray(w[:, -1])
+    cut, cut_heads = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[first], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cut))
+    cols = [[heads[cut_heads[b]:cut_heads[b + 1]].tobytes() for b in used], [runs[cut_heads[b]:cut_heads[b + 1]].tobytes() for b in used],
+            [last[cut[b]:cut[b + 1]].tobytes() for b in used], [v[cut[b]:cut[b + 1]].tobytes() for b in used]]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(c, pa.binary()) for c in cols],
+                                       pa.array(np.ones(len(used)), pa.int32())], schema=_BLOBS)
 
 
 def _unpack(group: pa.Table, order: int, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
-    words = np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in group.column("words")]).reshape(-1, order)
-    values = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column("vals")]).reshape(-1, width)
-    return words, values
+    def whole(name, dtype):
+        parts = [np.frombuffer(x.as_buffer(), dtype) for x in group.column(name)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype)
+    runs = whole("runs", np.uint32)
+    heads = whole("contexts", U64).reshape(len(runs), order - 1)
+    return np.column_stack([np.repeat(heads, runs, axis=0), whole("last", U64)]), whole("vals", kind).reshape(-1, width)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
 
 
 @dataclass(frozen=True)
@@ -120,6 +150,9 @@ class Model:
     buckets: int
     vocabulary: int
     train_tokens: int
+    discounts: dict       # order -> [0, D1, D2, D3+]
+    heavy: dict           # order -> sorted hashes of its frequent contexts
+    sums: dict            # order -> their sums, like those in the files
 
 
 def _discounts(n: list[float]) -> np.ndarray:
@@ -130,90 +163,96 @@ def _discounts(n: list[float]) -> np.ndarray:
     return np.array([0.0] + [min(max(x, 0.0), float(k)) for k, x in enumerate(d, 1)])
 
 
+def heavy_contexts(docs: DataFrame, text_col: str, order: int, share: int) -> dict[int, np.ndarray]:
+    """For each order, the contexts that may hold 1 / ``share`` of all tokens, at most 2 x ``share``.
+
+    A block sends what makes up half that share of it: what a context loses in
+    the blocks where it is rarer is at most half the share.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, _, grams in _token_arrays(b.column(0), order):
+                out = [(0, 0, len(grams))]
+                for n in range(2, order + 1):
+                    h, c = np.unique(_context(grams[:, order - n:]), return_counts=True)
+                    many = c * 2 * share >= len(grams)
+                    out += zip([n] * int(many.sum()), h[many].view(np.int64).tolist(), c[many].tolist())
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
+                                                 names=["order", "h", "n"])
+
+    sums = docs.select(text_col).mapInArrow(count, "order int, h bigint, n bigint").groupBy("order", "h").agg(F.sum("n").alias("n"))
+    total = sums.filter("order = 0").agg(F.sum("n")).first()[0] or 0
+    rows = sums.filter((F.col("order") > 0) & (F.col("n") * (2 * share) >= total)).collect()
+    found = {n: np.sort(np.array([r["h"] for r in rows if r["order"] == n], np.int64).view(U64)) for n in range(2, order + 1)}
+    return found | {1: gram_hash(np.zeros((1, 0), U64))}          # single words have one, empty, context
+
+
 def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int | None = None) -> Model:
     """Count ``docs`` and write the model's files; returns where they are."""
-    spark = docs.sparkSession
-    uri = files.new_folder(spark, "ngram_lm")
+    uri = files.new_folder(docs.sparkSession, "ngram_lm")
     buckets = buckets or max(8, 2 * docs.rdd.getNumPartitions())
+    heavy = heavy_contexts(docs, text_col, order, min(4 * buckets, 2048))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
+
+        def block():
+            g = np.concatenate(held)
+            w, h, c = _merge(g, np.ones((len(g), 1), np.uint32))
+            return _blobs(w, h, c.astype(np.uint32), buckets, heavy[order])
+
         for b in batches:
             for _, _, _, grams in _token_arrays(b.column(0), order):
                 held.append(grams)
                 size += len(grams)
                 if size >= FLUSH:
-                    g = np.concatenate(held)
-                    w, h, c = _merge(g, np.ones((len(g), 1), np.uint32))
-                    yield _blobs(w, c.astype(np.uint32), buckets, h)
+                    yield block()
                     held, size = [], 0
         if size:
-            g = np.concatenate(held)
-            w, h, c = _merge(g, np.ones((len(g), 1), np.uint32))
-            yield _blobs(w, c.astype(np.uint32), buckets, h)
+            yield block()
 
-    # The top order's merged n-grams, in files next to the model; every lower order comes from the order above.
-    level = docs.select(text_col).mapInArrow(count, BLOBS)
-    vocabulary = tokens = 0
-    for n in range(order, 0, -1):
+    def merged(n: int):
         width = 1 if n == order else 2               # count; below: different words before, occurrences
 
-        def merged(group: pa.Table) -> pa.Table:
+        def run(group: pa.Table) -> pa.Table:
             bucket = group.column("bucket")[0].as_py()
-            w, v = _unpack(group, n, np.uint32 if width == 1 else np.int64, width)
+            kind = group.column("kind").to_numpy()
+            passed = group.filter(pa.array(kind == 2))               # sums of the order above
+            w, v = _unpack(group.filter(pa.array(kind == 1)), n, np.uint32 if width == 1 else np.int64, width)
             w, h, v = _merge(w, v.astype(np.int64))
-            files.save(uri, f"raw{n}-{bucket}", h, np.concatenate([w.view(np.int64), v], 1))
             c = v[:, 0]
-            seen = [int((c == k).sum()) for k in (1, 2, 3, 4)]
+            if n == 1:
+                files.save(uri, f"gram1-{bucket}", h, _small(v))
+            else:
+                files.save(uri, f"gram{n}-{bucket}", h, np.minimum(c, 255).astype(np.uint8)[:, None])
+                files.save(uri, f"large{n}-{bucket}", h[c >= 255], c[c >= 255][:, None])
             # per context: sum, and how many n-grams occur once, twice, more often
-            facts = np.stack([c, c == 1, c == 2, c >= 3], 1).astype(np.int64)
-            cw, ch, cv = _merge(w[:, :-1], facts)
-            rows = [_blobs(cw, cv, buckets, ch)]
-            kinds = [np.full(rows[0].num_rows, 0)]
+            cw, ch, facts = _merge(w[:, :-1], np.stack([c, c == 1, c == 2, c >= 3], 1).astype(np.int64))
+            hot = np.isin(ch, heavy[n])
+            files.save(uri, f"ctx{n}-{bucket}", ch[~hot], _small(facts[~hot]))
+            rows = [passed.to_batches()[0]] if passed.num_rows else []
             if n > 1:
-                occurs = v[:, -1]
-                sw, sh, sv = _merge(w[:, 1:], np.stack([np.ones(len(w), np.int64), occurs], 1))
-                rows.append(_blobs(sw, sv, buckets, sh))
-                kinds.append(np.full(rows[1].num_rows, 1))
-            rows.append(pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([b""], pa.binary()),
-                                                    pa.array([np.array([*seen, len(w), int(v[:, -1].sum())], np.int64).tobytes()], pa.binary())],
-                                                   names=["bucket", "words", "vals"]))
-            kinds.append(np.array([2]))
-            t = pa.Table.from_batches(rows)
-            return t.append_column("kind", pa.array(np.concatenate(kinds), pa.int32()))
-
-        out = cut_lineage(level.groupBy("bucket").applyInArrow(merged, BLOBS + ", kind int"))
-        sums = np.zeros(6, np.int64)
-        for r in out.filter("kind = 2").select("vals").toLocalIterator():
-            sums += np.frombuffer(r["vals"], np.int64)
-        discount = _discounts(sums[:4].tolist())
-        if n == 1:
-            vocabulary, tokens = int(sums[4]), int(sums[5])
-
-        def context(group: pa.Table) -> pa.Table:
-            bucket = group.column("bucket")[0].as_py()
-            w, v = _unpack(group, n - 1, np.int64, 4) if n > 1 else (np.zeros((sum(len(x.as_buffer()) // 32 for x in group.column("vals")), 0), U64),
-                                                                     _unpack(group, 1, np.int64, 4)[1])
-            w, h, v = _merge(w, v)
-            total = v[:, 0].astype(np.float64)
-            gamma = (v[:, 1:] * discount[1:]).sum(1) / total
-            files.save(uri, f"ctx{n}-{bucket}", h, np.stack([1.0 / total, gamma], 1))
-            return pa.table({"bucket": pa.array([bucket], pa.int32())})
-
-        def discounted(group: pa.Table) -> pa.Table:
-            bucket = group.column("bucket")[0].as_py()
-            h, v = files.load(uri, f"raw{n}-{bucket}")
-            c = np.asarray(v[:, n])
-            d = (c - discount[np.minimum(c, 3)]).astype(np.float32)
-            # unigrams also keep the number of occurrences, which the base score needs
-            files.save(uri, f"gram{n}-{bucket}", np.asarray(h), np.stack([d, v[:, -1]], 1) if n == 1 else d[:, None])
-            return pa.table({"bucket": pa.array([bucket], pa.int32())})
+                sw, sh, sv = _merge(w[:, 1:], np.stack([np.ones(len(w), np.int64), v[:, -1]], 1))
+                rows.append(_blobs(sw, sh, sv, buckets, heavy[n - 1]))
+            seen = np.array([n, *[int((c == k).sum()) for k in (1, 2, 3, 4)], len(w), int(v[:, -1].sum())], np.int64)
+            rows.append(pa.RecordBatch.from_arrays([
+                pa.array([bucket], pa.int32()), pa.array([ch[hot].tobytes()], pa.binary()), pa.array([b""], pa.binary()),
+                pa.array([facts[hot].tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([2], pa.int32())], schema=_BLOBS))
+            return pa.Table.from_batches([r.cast(_BLOBS) for r in rows])
+        return run
 
-        out.filter("kind = 0").drop("kind").groupBy("bucket").applyInArrow(context, "bucket int").write.format("noop").mode("overwrite").save()
-        out.filter("kind = 2").drop("kind").groupBy("bucket").applyInArrow(discounted, "bucket int").write.format("noop").mode("overwrite").save()
-        level = out.filter("kind = 1").drop("kind")
-    return Model(uri, order, buckets, vocabulary, tokens)
+    level = docs.select(text_col).mapInArrow(count, BLOBS)
+    for n in range(order, 0, -1):
+        level = level.groupBy("bucket").applyInArrow(merged(n), BLOBS)
+    seen = {n: np.zeros(6, np.int64) for n in range(1, order + 1)}
+    sums = {n: np.zeros((len(heavy[n]), 4), np.int64) for n in range(1, order + 1)}
+    for r in level.select("contexts", "last", "vals").toLocalIterator():
+        n, *counts = np.frombuffer(r["vals"], np.int64).tolist()
+        seen[n] += np.array(counts)
+        np.add.at(sums[n], np.searchsorted(heavy[n], np.frombuffer(r["contexts"], U64)), np.frombuffer(r["last"], np.int64).reshape(-1, 4))
+    return Model(uri, order, buckets, int(seen[1][4]), int(seen[1][5]), {n: _discounts(x[:4].tolist()) for n, x in seen.items()}, heavy, sums)
 
 
 class Reader:
@@ -223,15 +262,27 @@ class Reader:
         self.model, self.files = model, files.Lookup(model.uri, model.buckets)
 
     def probabilities(self, grams: np.ndarray) -> np.ndarray:
-        p = np.full(len(grams), 1.0 / (self.model.vocabulary + 1))
-        for n in range(1, self.model.order + 1):
+        m = self.model
+        p = np.full(len(grams), 1.0 / (m.vocabulary + 1))
+        for n in range(1, m.order + 1):
             w = grams[:, grams.shape[1] - n:]
-            ctx = self.files.get(f"ctx{n}", gram_hash(w[:, :-1]), 2)
-            gram = self.files.get(f"gram{n}", gram_hash(w), 2 if n == 1 else 1)
+            full, context, heavy, d = gram_hash(w), _context(w), m.heavy[n], m.discounts[n]
+            deal = _deal(w, full, context, heavy)
+            found = self.files.get(f"gram{n}", full, 2 if n == 1 else 1, deal)
+            c = found[:, 0]
             if n == 1:
-                self.occurs = gram[:, 1]
-            seen = ctx[:, 0] > 0
-            p = np.where(seen, gram[:, 0] * ctx[:, 0] + ctx[:, 1] * p, p)
+                self.occurs = found[:, 1]
+            elif (c == 255).any():
+                large = np.flatnonzero(c == 255)
+                c[large] = self.files.get(f"large{n}", full[large], 1, deal[large])[:, 0]
+            at = np.minimum(np.searchsorted(heavy, context), max(len(heavy) - 1, 0))
+            hot = heavy[at] == context if len(heavy) else np.zeros(len(w), bool)
+            facts = np.zeros((len(w), 4))
+            facts[hot] = m.sums[n][at[hot]]
+            facts[~hot] = self.files.get(f"ctx{n}", context[~hot], 4)
+            total = np.maximum(facts[:, 0], 1)
+            left = c - d[np.minimum(c, 3).astype(np.int64)]
+            p = np.where(facts[:, 0] > 0, left / total + (facts[:, 1:] @ d[1:]) / total * p, p)
         return p
 
 
