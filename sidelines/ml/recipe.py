@@ -141,8 +141,8 @@ def spline_basis(df: DataFrame, x: str, df_spline: int = 4, prefix: str | None =
     prefix = prefix or f"{x}_ns"
     k = df_spline + 1                       # knots incl. boundaries
     probs = {f"k{i}": i / (k - 1) for i in range(k)}
-    q = quantiles(df, [], x, probs)
-    knots = [q.select(f"k{i}").scalar() for i in range(k)]
+    q = quantiles(df, [], x, probs).select(F.struct(*probs)).scalar()
+    knots = [q[f"k{i}"] for i in range(k)]
     xi_last = knots[-1]
 
     def d(j):

@@ -98,10 +98,10 @@ def with_fallback_row(df: DataFrame, dim: DataFrame, on: str, fallback_key: str,
     """Left-join ``dim``; entities without a row take the ``fallback_key``
     row's values (e.g. the ``Other`` kicker).  The fallback comes from the
     table passed in, not a constant, since its value differs between saved
-    tables (Q16).  The fallback row is a scalar
-    subquery per column, so it is computed once and shipped as a literal."""
+    tables (Q16).  The fallback row is one struct-valued scalar subquery, so
+    it is computed once and shipped as a literal."""
     dim_key = dim_key or on
-    fb = {c: dim.where(F.col(dim_key) == fallback_key).agg(F.max(c)).scalar() for c in cols}
+    fb = dim.where(F.col(dim_key) == fallback_key).agg(F.struct(*[F.max(c).alias(c) for c in cols])).scalar()
     right = dim.where(F.col(dim_key) != fallback_key).select(
         F.col(dim_key).alias("__k"), *[F.col(c).alias(f"__d_{c}") for c in cols])
     j = df.join(right, df[on] == right["__k"], "left")
@@ -147,8 +147,11 @@ def scenario(spark: SparkSession, base: Mapping[str, object], values: Mapping[st
 
 
 def cross_with(base: DataFrame, grid_df: DataFrame) -> DataFrame:
-    """J6 for a baseline held as a one-row DataFrame: its columns become
-    scalar subqueries (computed once) on the grid rows.  Columns of the
+    """J6 for a baseline held as a one-row DataFrame: it becomes one
+    struct-valued scalar subquery (computed once) on the grid rows.  Columns of the
     baseline that the grid varies are dropped, as in the source."""
     keep = [c for c in base.columns if c not in grid_df.columns]
-    return grid_df.select(*[base.select(F.max(c)).scalar().alias(c) for c in keep], *grid_df.columns)
+    if not keep:
+        return grid_df
+    row = base.agg(F.struct(*[F.max(c).alias(c) for c in keep])).scalar()
+    return grid_df.select(*[row[c].alias(c) for c in keep], *grid_df.columns)
