@@ -15,10 +15,18 @@ Documents link when the Jaccard similarity of their sets reaches
    nothing; the others keep their shared shingles in a global order (rare
    before common, then by hash).
 4. *Prefix components.*  Linked sets share a shingle in the first
-   ``n - ceil(t n) + 1`` places of the order; unshared ones come first.  Sets that
-   share a prefix shingle form components (stars, then label propagation).
-5. *Prefix trees.*  A component's sets, in blocks of about ``CELL`` and one
-   task group per pair of blocks, are stored in a radix trie of their ordered
+   ``n - ceil(t n) + 1`` places of the order; unshared ones come first.  The
+   first shingle that two linked sets share, at place p of a set of n, leaves n - p for their
+   overlap, which bounds the partner's size (its *reach*); places whose reach no set
+   of that shingle has are dropped.  Sets that share a place that is left form
+   components (stars, then label propagation).
+5. *Prefix trees.*  A component of up to ``CELL`` sets is one cell and is compared
+   whole.  A larger one is dealt at random to blocks of about ``CELL``,
+   ``PASSES`` times; a block is a cell, so these passes take each set ``PASSES``
+   times, however large the component.  What is left are prefix shingles
+   whose sets still carry several labels: their sets are compared by shingle, those outside the
+   most frequent label among themselves and with that label's sets, but these not with each other.
+   The sets of a cell are stored in a radix trie of their ordered
    shingles.  For a set, the trie is walked level by level: overlap is counted
    once for all sets below a node, and a subtree is pruned when the overlap so
    far plus the most that can still come cannot reach the threshold, or its
@@ -50,6 +58,8 @@ from sidelines.session import cut_lineage
 
 U64 = np.uint64
 FLUSH, TOGETHER, CELL = 1 << 21, 1 << 19, 1000
+#: Times that a component of more than CELL sets is dealt to blocks at random.
+PASSES = 3
 
 
 def needed(n: int, percent: int) -> int:
@@ -355,6 +365,49 @@ def _cells(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
+def prefix_places(cand: DataFrame, percent: int) -> DataFrame:
+    """(key, sid, n) of the prefix shingles at which a set can have its first shingle in common with a linked one."""
+    need = F.expr(f"(n * {percent} + 99) div 100")
+    heads = (cand.select("sid", "n", F.size("keys").alias("m"), F.posexplode(F.slice("keys", F.lit(1), (F.size("keys") - need + 1).cast("int"))).alias("at", "key"))
+             .select("key", "sid", "n", F.expr(f"(m - at) * {100 + percent} div {percent} - n").alias("reach")))
+    # the smaller of two linked sets reaches one of its own size or more
+    least = heads.groupBy("key").agg(F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).alias("least"),
+                                     F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z and least is not null")
+    return heads.join(least.select("key", "least"), "key").filter("reach >= least").select("key", "sid", "n")
+
+
+def block_cells(near: DataFrame, large: DataFrame) -> DataFrame:
+    """(c, i, j, sid): the blocks of the prefix components; i is the pass, j the block."""
+    return (near.join(large, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            .withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("blocks") > 1, PASSES - 1).otherwise(0))))
+            .withColumn("j", F.pmod(F.xxhash64("v", "i"), F.col("blocks")).cast("int"))
+            .select("c", "i", "j", F.col("v").alias("sid")))
+
+
+def shingle_cells(places: DataFrame) -> DataFrame:
+    """(c, i, j, sid): cells of the prefix shingles (c) whose sets have several labels.
+
+    Blocks 0, 1.. hold the sets outside the most frequent label, -1, -2.. those of it."""
+    by_label = places.groupBy("key", "label").agg(F.count("*").alias("count"))
+    keys = (by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("count").alias("m"), F.max(F.struct("count", "label")).alias("top"))
+            .filter("labels > 1").select("key", "m", F.col("top.label").alias("top"), F.col("top.count").alias("most")))
+    def blocks(n):
+        return F.ceil(n / CELL).cast("int")
+    p = (places.join(keys, "key").withColumn("one", F.col("m") <= CELL).withColumn("others", blocks(F.col("m") - F.col("most"))).withColumn("tops", blocks(F.col("most")))
+         .withColumn("block", F.when(F.col("label") == F.col("top"), -1 - F.pmod(F.xxhash64("sid"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("sid"), F.col("others"))).cast("int")))
+    partner = (F.when(F.col("one"), F.array(F.lit(0))).when(F.col("block") < 0, F.sequence(F.lit(0), F.col("others") - 1))
+               .otherwise(F.concat(F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(-1), -F.col("tops"), F.lit(-1)))))
+    p = p.withColumn("block", F.when(F.col("one"), 0).otherwise(F.col("block"))).withColumn("other", F.explode(partner))
+    return p.select(F.col("key").alias("c"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid")
+
+
+def cell_links(cells: DataFrame, rows: int, cand: DataFrame, percent: int) -> DataFrame:
+    """Links within the cells, dealt to groups of about 2 x ``CELL`` of the cells' rows."""
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // (2 * CELL))
+    dealt = cells.join(cand, "sid").withColumn("bucket", F.pmod(F.xxhash64("c", "i", "j"), F.lit(parts)).cast("int"))
+    return cut_lineage(dealt.groupBy("bucket").applyInArrow(lambda t: _cells(t, percent), "a bigint, b bigint"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     buckets: int | None = None) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id that links reach)."""
@@ -365,21 +418,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     cand = cut_lineage(candidate_sets(docs, uri, buckets, k, percent, text_col))
 
     # sets that share a prefix shingle, as stars; prefixes of one set only say nothing
-    need = F.expr(f"(n * {percent} + 99) div 100")
-    heads = cand.select("sid", F.explode(F.slice("keys", F.lit(1), (F.size("keys") - need + 1).cast("int"))).alias("key"))
-    first = heads.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z")
-    stars = heads.join(first, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    places = prefix_places(cand, percent)
+    first = places.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z")
+    stars = places.join(first, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
     near = components(stars)
 
-    size = near.groupBy("c").count().select("c", F.ceil(F.col("count") / CELL).cast("int").alias("blocks"))
-    total = near.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * CELL))
-    member = (near.join(size, "c").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("v").alias("sid")))
-    rows = (member.join(cand, "sid").withColumn("bucket", F.pmod(F.xxhash64("c", "i", "j"), F.lit(parts)).cast("int")))
-    links = cut_lineage(rows.groupBy("bucket").applyInArrow(lambda t: _cells(t, percent), "a bigint, b bigint"))
+    size = near.groupBy("c").count()
+    large = cut_lineage(size.filter(F.col("count") > CELL).select("c", "count", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")))
+    many = large.agg(F.sum("count")).first()[0] or 0
+    links = cell_links(block_cells(near, large.select("c", "blocks")), near.count() + (PASSES - 1) * many, cand, percent)
     comp = components(links)
+    if many:
+        # only components of more than CELL sets have pairs that no block held
+        label = near.join(large, "c", "left_semi").select(F.col("v").alias("sid")).join(comp.select(F.col("v").alias("sid"), F.col("c").alias("label")), "sid", "left")
+        cells = cut_lineage(shingle_cells(places.join(label, "sid").select("key", "sid", F.coalesce("label", "sid").alias("label"))))
+        rows = cells.count()
+        if rows:
+            comp = components(links.unionByName(cell_links(cells, rows, cand, percent)))
 
     named = sets.join(comp.select(F.col("v").alias("sid"), "c"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     some = named.filter("n > 0")

@@ -3,7 +3,10 @@ import re
 
 import numpy as np
 
-from sidelines.llm.jaccard_join import components, near_duplicates, trie_links
+from pyspark.sql import functions as F
+
+from sidelines.llm import jaccard_join
+from sidelines.llm.jaccard_join import components, near_duplicates, prefix_places, trie_links
 
 
 def shingles(text, k):
@@ -103,3 +106,47 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (95, 100), (7, 3)]
     out = {r["v"]: r["c"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90}
+
+
+def edited(n, words, passage, share, seed):
+    """``n`` different copies of a passage with a share of its words altered."""
+    rng = random.Random(seed)
+    p = rng.choices(words, k=passage)
+    out = []
+    for _ in range(n):
+        t = list(p)
+        for _ in range(rng.randrange(1, max(2, int(share * passage)))):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        out.append(" ".join(t))
+    return out
+
+
+def test_component_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL", 20)
+    words = [f"w{i}" for i in range(40)]
+    texts = edited(320, words, 40, 0.12, 3) + edited(120, words, 25, 0.3, 4) + edited(60, words, 12, 0.3, 5)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k, percent in ((2, 80), (1, 70)):
+        assert got(df, k=k, percent=percent, buckets=4) == brute(rows, k, percent)
+
+
+def test_cells_grow_with_the_sets(spark, monkeypatch):
+    """1,200 near copies in cells of 20: each is dealt three times (60 times, were all pairs of blocks cells)."""
+    monkeypatch.setattr(jaccard_join, "CELL", 20)
+    dealt = []
+    real = jaccard_join.cell_links
+    monkeypatch.setattr(jaccard_join, "cell_links", lambda cells, rows, *a: (dealt.append((cells.count(), rows, cells.groupBy("c", "i", "j").count().agg(F.max("count")).first()[0])), real(cells, rows, *a))[1])
+    texts = edited(1200, [f"w{i}" for i in range(500)], 120, 0.03, 7)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = got(df, k=1, percent=80, buckets=4)
+    assert {c for _, _, c in out} == {0}
+    assert sum(n for n, _, _ in dealt) <= 4 * len(set(texts)) and all(n == rows for n, rows, _ in dealt) and max(b for _, _, b in dealt) <= 4 * 20
+
+
+def test_places_of_templated_pages(spark):
+    """Pages that share a template but are not similar enough have no place left to meet at."""
+    rows = [(i, 100, list(range(1000, 1086))) for i in range(50)]
+    cand = spark.createDataFrame(rows, "sid long, n long, keys array<long>")
+    assert prefix_places(cand, 85).count() == 0
+    assert prefix_places(spark.createDataFrame([(i, 100, list(range(1000, 1095))) for i in range(50)], "sid long, n long, keys array<long>"), 85).count() > 0
