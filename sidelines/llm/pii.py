@@ -15,9 +15,10 @@ Kinds, in the order of the output:
   punctuation.
 * ``street``: a house number before and a street cue (``street``, ``avenue``..) after
   one to three capitalised words.
-* ``iban``: two capital letters, two digits and 11 to 30 letters or digits that pass mod 97.
+* ``iban``: two capital letters, two digits and 11 to 30 letters or digits that pass mod 97: of the
+  country's length, else the longest that ends a word.
 * ``account``: 6 to 34 letters, digits or hyphens with at least 6 digits after
-  an account cue (``account``, ``acct``, ``passport``, ``ssn``..).
+  an account cue (``account``, ``acct``, ``passport``, ``ssn``..) and up to three words without a digit.
 
 Offsets are code points, end exclusive.  Defined results: a NULL or empty text
 has no spans; rows are independent, so repeated rows get equal answers and an
@@ -51,7 +52,11 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
-_ACCOUNT = re.compile(r"(?:\x20?(?:number|no|nr|id|No|Nr|ID))?[.:#\x20=]{0,4}([A-Za-z0-9-]{6,34})")
+_ACCOUNT = re.compile(r"(?:\x20?(?i:number|nummer|no|nr|id))?[.:#\x20=]{0,4}([A-Za-z0-9-]{6,34})")
+_FILLER = re.compile(r"(?:(?i:number|nummer|no|nr|id)|[.:#\x20=]{1,4}[A-Za-z-]+)(?![A-Za-z0-9-])")
+#: Lengths of the countries' IBANs (fixed values); of other countries, lengths are tried.
+IBAN_LENGTHS = dict(zip("AD AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split(),
+                        (24, 20, 16, 22, 21, 28, 24, 22, 18, 20, 24, 18, 27, 22, 27, 21, 28, 22, 26, 27, 21, 20, 20, 21, 27, 31, 18, 15, 28, 25, 24, 24, 19, 24, 27, 26)))
 _STREET = re.compile(r"(?<![0-9])[0-9]{1,5}(?:\x20[A-Z][^\W\d_]+){1,3}$")
 
 
@@ -92,6 +97,28 @@ def _byte_number(part: str) -> bool:
     return len(part) <= 3 and int(part or "0") <= 255
 
 
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN at ``start`` ends, at most at ``end``."""
+    ends = [i + 1 for i in range(start, end) if text[i] != " "]          # by number of letters and digits
+    own = IBAN_LENGTHS.get(text[start:start + 2], 0)
+    whole = text[start:end].replace(" ", "")
+    lengths = [n for n in range(len(whole), 14, -1) if n == len(whole) or not text[ends[n - 1]].isalnum()]
+    return next((ends[n - 1] for n in ([own] if 15 <= own <= len(whole) else []) + lengths if _mod97(whole[:n])), None)
+
+
+def _account_span(text: str, at: int) -> tuple[int, int] | None:
+    """The number after an account cue that ends at ``at``."""
+    for _ in range(4):
+        m = _ACCOUNT.match(text, at)
+        if m and sum("0" <= c <= "9" for c in m[1]) >= 6:
+            return m.span(1)
+        word = _FILLER.match(text, at)
+        if not word:
+            return None
+        at = word.end()
+    return None
+
+
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind; per kind in order and without overlaps."""
     out: dict[str, list[tuple[int, int]]] = {}
@@ -127,9 +154,9 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tupl
             if at >= 3 and at >= done["iban"] and "A" <= text[at - 1] <= "Z" and "A" <= text[at - 2] <= "Z" and not text[at - 3].isalnum() or at == 2:
                 m = _IBAN.match(text, at - 2)
                 if m:
-                    whole = m[0].replace(" ", "")
-                    if 15 <= len(whole) <= 34 and _mod97(whole):
-                        put("iban", at - 2, m.end())
+                    end = _iban_end(text, at - 2, m.end())
+                    if end:
+                        put("iban", at - 2, end)
         elif what == "at":
             start, floor = at, done["email"]
             while start > floor and text[start - 1] in _LOCAL:
@@ -161,9 +188,9 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tupl
             if m and not text[last + 1:last + 2].isalpha():
                 put("street", m.start(), last + 1)
         elif at >= done["account"]:
-            m = _ACCOUNT.match(text, last + 1)
-            if m and sum("0" <= c <= "9" for c in m[1]) >= 6:
-                put("account", m.start(1), m.end(1))
+            span = _account_span(text, last + 1)
+            if span:
+                put("account", *span)
     return out
 
 

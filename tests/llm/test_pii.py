@@ -56,3 +56,18 @@ def test_corpus_equals_the_patterns(spark):
     for r in pii_spans(d).collect():
         want = ",".join(f"{k}:{s}:{e}" for k in PATTERNS for s, e in base_spans(texts[r["id"]]).get(k, []))
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_boundaries_before_further_words():
+    a = _automaton()
+    for text, kind, want in (
+            ("pay DE89 3704 0044 0532 0130 00 Please pay", "iban", ["DE89 3704 0044 0532 0130 00"]),
+            ("GB82WEST12345698765432 Contact us", "iban", ["GB82WEST12345698765432"]),
+            ("GB82 WEST 1234 5698 7654 32 CONTACT 24 HOURS", "iban", ["GB82 WEST 1234 5698 7654 32"]),
+            ("DE89370400440532013001 Please", "iban", []),
+            ("Account Number: 12345678 is mine", "account", ["12345678"]),
+            ("the account number is 12345678 as agreed", "account", ["12345678"]),
+            ("Passport No is C01X00478 and", "account", ["C01X00478"]),
+            ("Kontonummer lautet 12345678 bei", "account", ["12345678"]),
+            ("account statement without any number at all 12345678", "account", [])):
+        assert [text[s:e] for s, e in find_spans(text, a).get(kind, [])] == want, text
