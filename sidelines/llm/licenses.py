@@ -1,21 +1,21 @@
-"""Licence scan with a positional rare-token index.
+"""Licence scan by the rarest word of each key phrase.
 
 Templates (notices of a licence) are word sequences with a label and one or
-more mandatory key phrases.  The index maps each template word to its
-(template, position) postings.
+more mandatory key phrases.
 
 1. One scan counts, over all documents, in how many each template word
    occurs; IDF follows (a few hundred numbers go to the driver, as many as
    the templates have words).
-2. In a file, every template is looked up by its highest-IDF word: each
-   occurrence places the template at ``position in file - position in
-   template``.  The other words' postings are intersected at that relative
+2. In a file, every template is looked up by the highest-IDF word of its key
+   phrase: each occurrence places the template at ``position in file - position in
+   template``.  All its words are compared at that relative
    position; the share of IDF weight that agrees is the score of the place.
 3. A place counts when its score reaches the template's threshold and the
    template's key phrase stands, word by word, at its place.
 
-Base phrases are templates whose key phrase is the whole template: each of
-their places holds their rarest word, so none is missed.
+The key phrase is mandatory, so each place that counts holds its rarest word and
+none is missed, whichever words outside the key phrase are altered.  Base phrases are
+templates whose key phrase is the whole template.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z in lower
 case, of the whole text.  Defined results: a NULL or text without words has 0
@@ -160,7 +160,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prepared = []
     for t in templates:
         ids = np.array([index[w] for w in t.words])
-        prepared.append((t, ids, idf[ids], int(np.argmax(idf[ids]))))
+        prepared.append((t, ids, idf[ids], t.key[0] + int(np.argmax(idf[ids[t.key[0]:t.key[1]]]))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,6 +1,6 @@
 import re
 
-from sidelines.llm.licenses import license_scan
+from sidelines.llm.licenses import TEMPLATES, license_scan
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -49,3 +49,16 @@ def test_corpus(spark):
     texts = dict(d.select("doc_id", "text").collect())
     got = rows_of(license_scan(d))
     assert len(got) == len(texts) and all(r == base(texts[i]) for i, r in got)
+
+
+def test_any_word_outside_the_key_phrase_altered(spark):
+    """Longer notices with one word altered, also the rarest one of the template (here: in no document)."""
+    cases = [(t, i) for t in TEMPLATES for i in range(len(t.words)) if len(t.words) >= 10 and not t.key[0] <= i < t.key[1]]
+    texts = [" ".join("xx" if j == i else w for j, w in enumerate(t.words)) for t, i in cases]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r["id"]: r["labels"].split(",") for r in license_scan(df).collect()}
+    assert all(t.label in labels[n] for n, (t, _) in enumerate(cases))
+    one = spark.createDataFrame([(1, "redistributions and use in source and binary forms with or without modification are permitted")]
+                                + [(i, "other words") for i in range(2, 60)], "doc_id long, text string")
+    bsd = TEMPLATES[[t.label for t in TEMPLATES].index("bsd")]
+    assert license_scan(one).filter("id = 1").first()["labels"] == bsd.label
