@@ -53,6 +53,8 @@ from sidelines.llm.common import crc_mod, table
 
 U64 = np.uint64
 START, END = U64(0x5354415254), U64(0x454E44)
+#: Order of the registered query's model.
+ORDER = 3
 #: Tokens that a task counts before it sends them on.
 FLUSH = 1 << 19
 
@@ -328,9 +330,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 @register("op2_ngram_lm")
 def op2_ngram_lm(spark, sf_dir):
-    """Bigram Kneser-Ney and unigram base scores of every text, learned from four fifths of them."""
+    """Kneser-Ney of ``ORDER`` words and unigram base scores of every text, learned from four fifths of them."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
-    model = train(docs.filter(~held))
+    model = train(docs.filter(~held), order=ORDER)
     return (score(docs, model).withColumnRenamed("id", "doc_id")
             .select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"))

@@ -3,7 +3,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from sidelines.llm import ngram_lm
+from sidelines.llm.common import crc_mod
 from sidelines.llm.ngram_lm import score, train
 
 TEXTS = ["The cat sat on the mat", "the cat ate", None, "", "a dog sat on a log", "the dog the dog the cat sat", "The cat sat on the mat", "été İ ß x", "the the the the",
@@ -78,3 +81,11 @@ def test_nothing_to_learn(spark):
     assert (model.vocabulary, model.train_tokens) == (0, 0) and score(none, model).count() == 0
     r = score(spark.createDataFrame([(None, "a b")], "doc_id long, text string"), model).first()
     assert r["n_tokens"] == 3 and r["n_known"] == 0 and r["score"] == 0
+
+
+def test_query_depends_on_two_words_before(spark):
+    out = {r["doc_id"]: r["score"] for r in ngram_lm.op2_ngram_lm(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = ngram_lm.train(docs.filter(~F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))), order=3)
+    want = {r["id"]: r["score"] for r in ngram_lm.score(docs, model).collect()}
+    assert out.keys() == want.keys() and all(abs(out[d] - want[d]) < 1e-6 for d in want)
