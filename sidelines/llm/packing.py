@@ -1,8 +1,7 @@
 """Packing into optimal length buckets.
 
-The lengths of all documents form one histogram (a length above 4096 is
-rounded up to 12 significant bits, so that it has at most some 45,000 keys
-whatever the corpus).  Dynamic programming over it chooses at most ``buckets`` upper
+The lengths of all documents form one histogram with the exact lengths as keys (no
+more of them than the longest text has words).  Dynamic programming over it chooses at most ``buckets`` upper
 bounds that minimise the total padding (sum of bound - length); the best last
 boundary moves monotonically, so each bucket takes O(keys log keys).
 
@@ -32,7 +31,7 @@ EXACT_TO, SLICES = 4096, 1024
 
 
 def histogram_key(n: Column) -> Column:
-    """``n`` itself up to 4096, else ``n`` rounded up to 12 significant bits."""
+    """``n`` itself up to 4096, else ``n`` rounded up to 12 significant bits (``pack`` uses exact lengths)."""
     bits = F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double") + 0.5)) - 11
     unit = F.pow(F.lit(2.0), F.greatest(bits, F.lit(0)))
     return F.when(n <= EXACT_TO, n).otherwise(F.ceil(n / unit) * unit).cast("bigint")
@@ -84,12 +83,12 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 def pack(docs: DataFrame, budget: int = 65536, buckets: int = 16, seed: int = 7, id_col: str = "doc_id", tokens: Column | None = None) -> DataFrame:
     """One row per input row: id, n_tokens, bound, batch (per bound, from 0), place (in the batch, from 0)."""
     length = (n_words(F.col("text")) if tokens is None else tokens).alias("n_tokens")
-    d = cut_lineage(docs.select(F.col(id_col).alias("id"), length)).withColumn("key", histogram_key(F.col("n_tokens")))
-    hist = np.array(sorted(tuple(r) for r in d.groupBy("key").count().collect()), np.int64).reshape(-1, 2)
+    d = cut_lineage(docs.select(F.col(id_col).alias("id"), length))
+    hist = np.array(sorted(tuple(r) for r in d.groupBy("n_tokens").count().collect()), np.int64).reshape(-1, 2)
     bounds = best_bounds(hist[:, 0], hist[:, 1], buckets)
     bound = F.lit(None).cast("bigint")
     for b in reversed(bounds):
-        bound = F.when(F.col("key") <= b, F.lit(b).cast("bigint")).otherwise(bound)
+        bound = F.when(F.col("n_tokens") <= b, F.lit(b).cast("bigint")).otherwise(bound)
     rank = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))
     placed = (d.withColumn("bound", bound).withColumn("rank", rank)
               .withColumn("slice", F.shiftrightunsigned(F.col("rank"), 54).cast("int")))

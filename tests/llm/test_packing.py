@@ -47,3 +47,13 @@ def test_batches(spark):
     want = min(padding(lengths, counts, [*c, lengths[-1]]) for c in itertools.combinations(lengths[:-1], 3))
     assert sum(r["bound"] - r["n_tokens"] for r in out) == want
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_documents_have_exact_bounds(spark):
+    lengths = [3, 4097, 8195, 12345, 19997, 19999]
+    rows = [(i, n) for i, n in enumerate(lengths * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    out = pack(df, buckets=3, tokens=F.col("n")).collect()
+    bounds = {r["bound"] for r in out}
+    want = min(padding(lengths, [3] * 6, [*c, 19999]) for c in itertools.combinations(lengths[:-1], 2))
+    assert bounds <= set(lengths) and sum(r["bound"] - r["n_tokens"] for r in out) == want
