@@ -38,4 +38,5 @@ def load() -> tuple[dict, dict]:
     return QUERIES, ORACLE
 
 
-MODULES = ("pii", "ngram_lm", "fingerprints", "licenses", "exact_dedup", "url_filter", "packing", "language", "jaccard_join", "mixing")
+MODULES = ("pii", "ngram_lm", "fingerprints", "licenses", "exact_dedup", "url_filter", "packing", "language", "jaccard_join", "mixing",
+           "infill")

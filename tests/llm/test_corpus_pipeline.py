@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tests.llm.test_jaccard_join import shingles
+from tests.llm.brute import az, shingles
 
 LANGS = {"en": "the cat and dog was here with some words for that house on hill".split(), "de": "der hund und die katze war hier mit dem haus auf berg".split(),
          "fr": "le chat et la chienne dans une maison avec des mots pour que".split()}
@@ -25,10 +25,6 @@ def fixture():
     return rows
 
 
-def az(t):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-
-
 def test_stages_equal_brute_force(spark):
     rows = fixture()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sha string").repartition(3)

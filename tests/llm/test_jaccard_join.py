@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 
@@ -7,12 +6,7 @@ from pyspark.sql import functions as F
 
 from sidelines.llm import jaccard_join
 from sidelines.llm.jaccard_join import components, near_duplicates, prefix_places, trie_links
-
-
-def shingles(text, k):
-    az = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    w = re.findall(r"[^\x20\x09-\x0D]+", az)
-    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+from tests.llm.brute import shingles
 
 
 def brute(rows, k, percent):
