@@ -39,4 +39,4 @@ def load() -> tuple[dict, dict]:
 
 
 MODULES = ("pii", "ngram_lm", "fingerprints", "licenses", "exact_dedup", "url_filter", "packing", "language", "jaccard_join", "mixing",
-           "infill", "repetition")
+           "infill", "repetition", "whitening")
