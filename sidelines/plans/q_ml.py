@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sidelines.ml.features import FEATURE_SETS, stratified_folds
 from sidelines.ml.importance import coefficient_importance, permutation_importance
-from sidelines.ml.knn import knn_regression
+from sidelines.ml.knn import first_neighbours, knn_regression, knn_state, weighted_mean
 from sidelines.ml.metrics import compare_models, fold_summary, regression_metrics, univariate_table
 from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt, fit_lasso, fit_rff_svr)
 from sidelines.ml.recipe import gram_matrix, recipe, spline_basis, zero_variance
@@ -16,6 +18,7 @@ from sidelines.ml.stack import StackModel, fit_stack, oof_predictions, penalty_p
 from sidelines.ml.tune import tune
 from sidelines.operators.aggregates import scalar
 from sidelines.operators.joins import enrich
+from sidelines.operators.reshape import append
 from sidelines.operators.windows import lagged_cum
 from sidelines.plans.catalog import finish, register
 from sidelines.session import cut_lineage
@@ -187,11 +190,49 @@ SELECT e.vec_id, CAST(e.label AS BIGINT) AS label, round(p.pred, 6) AS pred, p.n
 FROM embeddings e LEFT JOIN p ON e.vec_id = p.vec_id""")
 def q_knn_regression(spark, sf):
     """Exact leave-one-out 5-NN regression of the label on the embedding
-    (pairs of blocks compared on the executors; the oracle is brute force)."""
+    (pivot cells and shells, pruned by the triangle inequality; the oracle is brute force)."""
     e = table(spark, sf, "embeddings")
     return finish(knn_regression(e, "vec_id", "embedding", "label", k=5))
 
 
+KNN_GRID = [(1, 3, "triangular"), (2, 5, "epanechnikov"), (3, 4, "inv"), (2, 7, "gaussian"), (1, 5, "rank"), (2, 4, "cos")]
+_KNN_SHAPE = {"triangular": "1 - w", "epanechnikov": "0.75 * (1 - w * w)", "inv": "1 / w", "rank": "6 - rn", "cos": "cos(w * pi() / 2)",
+              "gaussian": f"exp(-0.5 * pow(w * {abs(NormalDist().inv_cdf(1 / 16))}, 2))"}
+
+
+def _knn_sql(power, k, kernel):
+    return f"""
+SELECT vec_id, {power} AS power, {k} AS k, '{kernel}' AS kernel, sum(nlabel * x) / sum(x) AS pred, count(*) AS n_neighbors
+FROM (SELECT vec_id, nlabel, {_KNN_SHAPE[kernel]} AS x
+      FROM (SELECT *, greatest(least(dist / greatest(max(dist) OVER (PARTITION BY vec_id), 1e-6), 1 - 1e-6), 1e-6) AS w
+            FROM r WHERE power = {power} AND rn <= {k + 1}) WHERE rn <= {k}) GROUP BY vec_id"""
+
+
+@register("knn_kernels", """
+WITH d AS (SELECT a.vec_id, b.vec_id AS nid, b.label AS nlabel,
+                  [abs(CAST(x AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) for x, i in a.embedding] AS gap
+           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+p AS (SELECT vec_id, nid, nlabel, 1 AS power, list_sum(gap) AS dist FROM d
+      UNION ALL SELECT vec_id, nid, nlabel, 2, sqrt(list_sum([g * g for g in gap])) FROM d
+      UNION ALL SELECT vec_id, nid, nlabel, 3, pow(list_sum([g * g * g for g in gap]), 1.0 / 3) FROM d),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY power, vec_id ORDER BY dist, nid) AS rn FROM p) WHERE rn <= 8)
+SELECT vec_id, CAST(power AS BIGINT) AS power, CAST(k AS BIGINT) AS k, kernel, round(pred, 6) AS pred, n_neighbors FROM ("""
+          + " UNION ALL ".join(_knn_sql(*g) for g in KNN_GRID) + ")")
+def q_knn_kernels(spark, sf):
+    """The tuned settings (neighbours, weight function, distance power);
+    one exact search for each power serves all its kernels."""
+    e = table(spark, sf, "embeddings")
+    parts = []
+    for power in sorted({g[0] for g in KNN_GRID}):
+        most = max(k for p, k, _ in KNN_GRID if p == power)
+        st = cut_lineage(knn_state(e, "vec_id", "embedding", "label", most, power))
+        for _, k, kernel in (g for g in KNN_GRID if g[0] == power):
+            one = first_neighbours(st, k)
+            parts.append(one.select(F.col("qid").alias("vec_id"), F.lit(power).alias("power"), F.lit(k).alias("k"), F.lit(kernel).alias("kernel"),
+                                    weighted_mean(one, kernel, k).alias("pred"), F.size("nb_l").alias("n_neighbors")))
+    return finish(append(*parts))
+
+
 # ---------------------------------------------------------------- rows-only (model fits)
 
 FEATS = FEATURE_SETS["season_to_date"]
@@ -298,7 +339,6 @@ def q_score_with_model(spark, sf):
     parts = []
     for name, cols in FEATURE_SETS.items():
         parts.append(_test_metrics(fit_lasso(tr, cols, LABEL, 0.01), te, name))
-    from sidelines.operators.reshape import append
     return finish(append(*parts))
 
 
