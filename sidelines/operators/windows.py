@@ -17,7 +17,7 @@ from sidelines.operators.nullsafe import join_on
 from sidelines.session import cut_lineage
 
 __all__ = ["spec", "with_totals", "season_lag", "lagged_cum", "season_to_date_ratio",
-           "fill", "row_index", "last_per_group", "group_id", "global_row_number",
+           "fill", "row_index", "last_per_group", "group_id", "deal_out", "global_row_number",
            "fallback_chain", "suppress_small", "qualified_or_group"]
 
 UP, UF = Window.unboundedPreceding, Window.unboundedFollowing
@@ -122,27 +122,32 @@ def last_per_group(df: DataFrame, keys: Sequence[str], order: Sequence,
     return out
 
 
+def deal_out(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """Rows range-partitioned on ``keys + order``, sorted, with the partition's
+    number ``_pid`` and ``_mid``, which grows in that order, materialised.
+
+    A range partitioning that is computed twice need not cut at the same
+    places, so whatever is counted by partition must come from one and the
+    same dealing-out: it is written once (``cut_lineage``)."""
+    by = [_order(o) for o in order]
+    part = cut_lineage(df.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by)
+                       .withColumn("_mid", F.monotonically_increasing_id()))
+    return part.withColumn("_pid", F.shiftright("_mid", 33))
+
+
 def global_row_number(df: DataFrame, order: Sequence, name: str = "rn",
                       keys: Sequence[str] = (), dense: bool = False) -> DataFrame:
     """Row number (or dense rank over distinct ``order`` values) by a total
     order, computed without funnelling a group through one task.
 
-    Rows are range-partitioned on ``keys + order``, sorted inside each
-    partition and given the partition's number and a local index.  That result
-    is materialised once (``cut_lineage``), because a range partitioning that
-    is computed twice need not cut at the same places: the per-partition
-    counts and the rows must come from one and the same dealing-out.  The
-    counts (partitions x keys rows) give each partition its offset.  NULL keys
-    are one group.  ``order`` (names, NULLs last, or sort expressions) must be
-    unique within ``keys`` unless ``dense``.
+    Rows are dealt out by ranges (``deal_out``) and numbered by their place in
+    the partition; the counts (partitions x keys rows) give each partition its
+    offset.  NULL keys are one group.  ``order`` (names, NULLs last, or sort
+    expressions) must be unique within ``keys`` unless ``dense``.
     """
     keys = list(keys)
-    by = [_order(o) for o in order]
     src = df.select(*keys, *order).distinct() if dense else df
-    part = cut_lineage(src.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by)
-                       .withColumn("_mid", F.monotonically_increasing_id()))
-    part = part.withColumn("_pid", F.shiftright("_mid", 33)) \
-               .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
+    part = deal_out(src, keys, order).withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
     cnt = part.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_pc"), F.min("_loc").alias("_first"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid")
     cnt = cnt.withColumn("_off", F.coalesce(F.sum("_pc").over(w.rowsBetween(UP, -1)), F.lit(0)))

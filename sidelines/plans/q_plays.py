@@ -8,6 +8,7 @@ from sidelines.functions.domain import kick_points, made_distance, play_bucket,
 from sidelines.functions.nulls import first_by, n_distinct_na, rate
 from sidelines.operators.aggregates import distinct_keys, frequency, null_profile, scalar
 from sidelines.operators.joins import densify
+from sidelines.operators.scan import Scan, scan_lagged, segmented_scan
 from sidelines.operators.windows import (fill, global_row_number, group_id, lagged_cum,
                                          last_per_group, season_to_date_ratio)
 from sidelines.plans.adapter import PLAYS_SQL, plays_from_events
@@ -376,6 +377,39 @@ def q_row_index(spark, sf):
     return finish(global_row_number(e, ["ts", "event_id"], "idx", keys=["user_id"]).drop("ts"))
 
 
+@register("running_raw", """
+SELECT event_id, event_type, CAST(sum(cents) OVER w AS BIGINT) AS cents_sum, max(cents) OVER w AS cents_max, min(cents) OVER w AS cents_min,
+  round(avg(cents) OVER w, 6) AS cents_mean, CASE WHEN count(*) OVER w > 0 THEN count(big) OVER w END AS n_big,
+  CAST(CASE WHEN count(*) OVER w > 0 AND count(*) FILTER (WHERE small IS NULL) OVER w = 0 THEN sum(small) OVER w END AS BIGINT) AS small_poison,
+  round(sum(cents) OVER w / nullif(sum(big) OVER w, 0), 6) AS ratio
+FROM (SELECT *, CASE WHEN cents >= 6000 THEN cents END AS big, CASE WHEN event_id % 997 <> 500 THEN cents END AS small
+      FROM (SELECT event_id, event_type, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events))
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def q_running_raw(spark, sf):
+    """W3-W8 on raw rows: five groups hold all events, so each is scanned in
+    pieces by many tasks and the pieces' sums are carried on."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    e = table(spark, sf, "events").select(
+        "event_id", "event_type", "ts", cents.alias("cents"), F.when(cents >= 6000, cents).alias("big"),
+        F.when(F.col("event_id") % 997 != 500, cents).alias("small"))
+    out = scan_lagged(e, ["event_type"], ["ts", "event_id"], cents_sum=("cents", "sum"), cents_max=("cents", "max"), cents_min=("cents", "min"),
+                      cents_mean=("cents", "mean"), n_big=("big", "count"), small_poison=("small", "sum", "poison"), big_sum=("big", "sum"))
+    return finish(out.withColumn("ratio", F.try_divide("cents_sum", "big_sum")).drop("ts", "cents", "big", "small", "big_sum"))
+
+
+@register("fill_raw", """
+SELECT event_id, event_type,
+  last_value(k IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS down,
+  coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           first_value(k IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS downup
+FROM (SELECT *, CASE WHEN event_id % 11 = 3 THEN user_id END AS k FROM events)""")
+def q_fill_raw(spark, sf):
+    """W9 + W10 on raw rows of five large groups."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "ts", F.when(F.col("event_id") % 11 == 3, F.col("user_id")).alias("k"))
+    out = segmented_scan(e, ["event_type"], ["ts", "event_id"], {"down": Scan("last", "k"), "up": Scan("last", "k", reverse=True)})
+    return finish(out.select("event_id", "event_type", "down", F.coalesce("down", "up").alias("downup")))
+
+
 @register("last_per_group", """
 SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type,
        round(arg_max(value, (ts, event_id)), 6) AS value, count(*) AS n

@@ -20,12 +20,15 @@ YARDS = list(range(99, -1, -1))
 SIDES = ["SEA", "KC"]
 
 
-def labelled_plays(spark, sf):
+STATE = ("yardline_100", "down")
+
+
+def labelled_plays(spark, sf, columns=STATE):
+    """Plays (ids and ``columns``) with their next score."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     p = plays_from_events(table(spark, sf, "events"))
     m = F.create_map(*[F.lit(x) for kv in SCORE_OF_EVENT.items() for x in kv])
-    p = p.withColumn("score_type", F.try_element_at(m, F.col("event_type")))
-    return next_score(p)
+    return next_score(p.select("game_id", "posteam", "play_id", F.try_element_at(m, F.col("event_type")).alias("score_type"), *columns))
 
 
 LABEL_SQL = PLAYS_SQL + """,
@@ -45,7 +48,7 @@ SELECT play_id, next_score FROM lab""")
 def q_next_score_label(spark, sf):
     """Next-score class of every play (first score at or after it in the
     same game half, else No_Score)."""
-    return finish(labelled_plays(spark, sf).select("play_id", "next_score"))
+    return finish(labelled_plays(spark, sf, ()).select("play_id", "next_score"))
 
 
 @register("expected_points", "WITH " + LABEL_SQL + """
@@ -145,7 +148,7 @@ def game_states(spark, sf):
     clock, timeouts, roof or era; they are read off the event (fixed mapping):
     seconds left = 1800 - second of the day modulo 1801, timeouts = 3 - k div 25
     and event id modulo 4, roof and era by the team's number and the day of the year."""
-    p = labelled_plays(spark, sf)
+    p = labelled_plays(spark, sf, (*STATE, "ts", "user_id", "home_team"))
     sec = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     left = F.lit(1800) - sec % 1801
     return p.withColumns({

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidelines.functions.nulls import col_
 from sidelines.functions.text import label
 from sidelines.operators.joins import scenario
-from sidelines.operators.nullsafe import join_on
-from sidelines.operators.windows import global_row_number
+from sidelines.operators.scan import Scan, segmented_scan
 
 __all__ = ["SCORE_POINTS", "SCORE_OF_EVENT", "next_score", "empirical_ep", "expected_points", "scenario",
            "slice_grid", "tooltip", "fit_ep_model", "score_ep_model"]
@@ -25,28 +24,14 @@ SCORE_OF_EVENT = {"purchase": "Touchdown", "signup": "Field_Goal", "error": "Opp
 
 
 def next_score(plays: DataFrame, keys: Sequence[str] = ("game_id", "posteam"), order: Sequence[str] = ("play_id",),
-               score_col: str = "score_type", out: str = "next_score", chunk_rows: int = 100_000) -> DataFrame:
+               score_col: str = "score_type", out: str = "next_score") -> DataFrame:
     """The first score at or after each play within its game half;
     ``No_Score`` when none follows.  ``order`` must be unique within ``keys``.
 
-    Skew-safe scan, the same at every size: rows are numbered within their
-    group (range-partitioned) and cut into chunks of ``chunk_rows``; a window
-    inside each chunk, in reversed order so that its frame only grows, finds
-    the next score in the chunk, and one over the chunk table (one row per
-    chunk) the first score after the chunk.  A group larger than one chunk is
-    never held by one task."""
-    keys, order = list(keys), list(order)
-    rn = global_row_number(plays, order, "_rn", keys=keys)
-    rn = rn.withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
-    rn = rn.withColumn("_local", F.last(score_col, ignorenulls=True).over(inner))
-    chunks = rn.groupBy(*keys, "_chunk").agg(F.min_by(score_col, F.when(F.col(score_col).isNotNull(), F.col("_rn")))
-                                             .alias("_first"))
-    later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_after", F.last("_first", ignorenulls=True).over(later)).drop("_first")
-    res = join_on(rn, chunks, [*keys, "_chunk"], "left")
-    return res.withColumn(out, F.coalesce("_local", "_after", F.lit("No_Score"))) \
-              .drop("_rn", "_chunk", "_local", "_after")
+    A segmented scan from the group's end, so a group of any size is spread
+    over many tasks.  All columns of ``plays`` travel: project it first."""
+    found = segmented_scan(plays, keys, order, {out: Scan("last", score_col, reverse=True)})
+    return found.withColumn(out, F.coalesce(out, F.lit("No_Score")))
 
 
 def points_of(c) -> Column:

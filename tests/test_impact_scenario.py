@@ -38,12 +38,14 @@ def test_next_score_and_ep_range(spark):
     assert all(-7 <= r["ep"] <= 7 for r in ep)
 
 
-def test_next_score_chunked_scan_equals_single_chunk(spark):
+def test_next_score_equals_a_window(spark):
+    from pyspark.sql import Window
     from sidelines.plans.adapter import plays_from_events
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     p = plays_from_events(ev).withColumn(
         "score_type", F.when(F.col("event_type") == "purchase", "Touchdown").when(F.col("event_type") == "signup",
                                                                                    "Field_Goal"))
     a = {r["play_id"]: r["next_score"] for r in next_score(p).select("play_id", "next_score").collect()}
-    b = {r["play_id"]: r["next_score"] for r in next_score(p, chunk_rows=2).select("play_id", "next_score").collect()}
-    assert a == b and len(a) == ev.count()
+    w = Window.partitionBy("game_id", "posteam").orderBy("play_id").rowsBetween(0, Window.unboundedFollowing)
+    b = p.select("play_id", F.coalesce(F.first("score_type", ignorenulls=True).over(w), F.lit("No_Score")).alias("s"))
+    assert a == dict(b.collect()) and len(a) == ev.count()

@@ -108,7 +108,7 @@ def test_null_keys_are_a_group(spark):
 def test_scans_are_linear_in_a_group(spark):
     df = spark.range(1_000_000).select(F.lit("g").alias("game_id"), F.lit("t").alias("posteam"), F.col("id").alias("play_id"),
                                        F.when(F.col("id") % 70_000 == 69_999, F.lit("Field_Goal")).alias("score_type"))
-    out = next_score(df, chunk_rows=30_000)
+    out = next_score(df)
     assert {r[0]: r[1] for r in out.groupBy("next_score").count().collect()} == {"Field_Goal": 980_000, "No_Score": 20_000}
     up = fill(df.limit(200_000), ["game_id"], ["play_id"], ["score_type"], "up")
     assert up.where("score_type is null").count() == up.where("play_id >= 140000").count()
