@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidelines.functions.nulls import safe_corr
+from sidelines.ml.gram import moments, pairwise_correlations
 from sidelines.operators.aggregates import quantiles
 
 __all__ = ["RecipeModel", "recipe", "zero_variance", "corr_matrix", "gram_matrix", "corr_filter",
@@ -35,30 +35,17 @@ def zero_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Pearson correlations of all pairs in one aggregation (p(p-1)/2 aggs)."""
-    p = len(cols)
-    aggs = [safe_corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1, p)]
-    row = df.agg(*aggs).first() if aggs else None
-    m = np.eye(p)
-    for i in range(p):
-        for j in range(i + 1, p):
-            v = row[f"c{i}_{j}"]
-            m[i, j] = m[j, i] = np.nan if v is None else v
-    return m
+    """Pearson correlations of all pairs (rows that have both) from one scan of matrix products."""
+    return pairwise_correlations(df, cols)
 
 
 def gram_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums of cross products, column sums and n in one aggregation."""
-    p = len(cols)
-    aggs = [F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
-    aggs += [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)] + [F.count(F.lit(1)).alias("n")]
-    row = df.agg(*aggs).first()
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    s = np.array([row[f"s{i}"] or 0.0 for i in range(p)])
-    return g, s, int(row["n"])
+    """Sums of cross products, column sums and n over the complete rows, from one scan of matrix products."""
+    m = moments(df, cols)
+    if not m:
+        return np.zeros((len(cols), len(cols))), np.zeros(len(cols)), 0
+    g, s = m[0].raw
+    return g, s, int(m[0].n)
 
 
 def corr_filter(cm: np.ndarray, cols: Sequence[str], threshold: float = 0.9) -> list[str]:

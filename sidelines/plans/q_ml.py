@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sidelines.ml.features import FEATURE_SETS, stratified_folds
+from sidelines.ml.gramcv import RESULT, cross_validate
 from sidelines.ml.importance import coefficient_importance, permutation_importance
 from sidelines.ml.knn import first_neighbours, knn_regression, knn_state, weighted_mean
 from sidelines.ml.metrics import compare_models, fold_summary, regression_metrics, univariate_table
 from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt, fit_lasso, fit_rff_svr)
-from sidelines.ml.recipe import gram_matrix, recipe, spline_basis, zero_variance
+from sidelines.ml.recipe import corr_matrix, gram_matrix, recipe, spline_basis, zero_variance
 from sidelines.ml.smoother import local_smooth
 from sidelines.ml.stack import StackModel, fit_stack, oof_predictions, penalty_path
 from sidelines.ml.tune import tune
@@ -195,6 +197,44 @@ def q_knn_regression(spark, sf):
     return finish(knn_regression(e, "vec_id", "embedding", "label", k=5))
 
 
+@register("correlation_matrix", """
+WITH l AS (SELECT l_quantity AS a, l_extendedprice AS b, l_discount AS c, CASE WHEN l_linenumber < 4 THEN l_tax END AS d,
+                  CAST(l_linenumber AS DOUBLE) AS e, 1.0 AS f FROM lineitem)
+""" + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(CASE WHEN isnan(corr({x}, {y})) THEN NULL ELSE corr({x}, {y}) END, 6) AS r FROM l"
+                         for i, x in enumerate("abcdef") for y in "abcdef"[i + 1:]))
+def q_correlation_matrix(spark, sf):
+    """M4: pairwise correlations (rows that have both values) from one scan of matrix products; a constant column has none."""
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), F.col("l_discount").alias("c"),
+        F.when(F.col("l_linenumber") < 4, F.col("l_tax")).alias("d"), F.col("l_linenumber").alias("e"), F.lit(1.0).alias("f"))
+    r = corr_matrix(li, list("abcdef"))
+    rows = [("abcdef"[i], "abcdef"[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i in range(6) for j in range(i + 1, 6)]
+    return finish(spark.createDataFrame(rows, "x string, y string, r double"))
+
+
+RIDGE_PENALTIES = [0.0, 500.0, 20000.0]
+
+
+@register("ridge_cv", f"""
+WITH l AS (SELECT CAST(l_orderkey % 10 AS BIGINT) AS fold, l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem),
+p AS (SELECT unnest(CAST({RIDGE_PENALTIES} AS DOUBLE[])) AS penalty),
+t AS (SELECT f.fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
+             stddev_pop(y) AS sy, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y
+      FROM (SELECT DISTINCT fold FROM l) f JOIN l ON l.fold <> f.fold GROUP BY f.fold),
+a AS (SELECT *, 1 + penalty / sy AS d, c12 / (s1 * s2) AS r, c1y / (s1 * sy) AS g1, c2y / (s2 * sy) AS g2 FROM t, p),
+b AS (SELECT *, (d * g1 - r * g2) / (d * d - r * r) * sy / s1 AS b1, (d * g2 - r * g1) / (d * d - r * r) * sy / s2 AS b2 FROM a)
+SELECT b.penalty, CAST(b.fold AS BIGINT) AS fold, round(sqrt(avg(pow(y - (my + b1 * (x1 - m1) + b2 * (x2 - m2)), 2))), 4) AS rmse,
+       round(pow(corr(b1 * x1 + b2 * x2, y), 2), 6) AS rsq
+FROM b JOIN l ON l.fold = b.fold GROUP BY b.penalty, b.fold""")
+def q_ridge_cv(spark, sf):
+    """M10 + M13: ridge over 3 penalties and 10 folds, every fit and every
+    fold's error from the folds' cross products of one scan."""
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 10).alias("fold"), "l_quantity", "l_discount", "l_extendedprice")
+    _, res = cross_validate(li, ["l_quantity", "l_discount"], "l_extendedprice", "fold", [(x, 0.0) for x in RIDGE_PENALTIES])
+    out = finish(spark.createDataFrame(res, RESULT).select("penalty", "fold", "rmse", "rsq"))
+    return out.withColumn("rmse", F.round("rmse", 4))
+
+
 KNN_GRID = [(1, 3, "triangular"), (2, 5, "epanechnikov"), (3, 4, "inv"), (2, 7, "gaussian"), (1, 5, "rank"), (2, 4, "cos")]
 _KNN_SHAPE = {"triangular": "1 - w", "epanechnikov": "0.75 * (1 - w * w)", "inv": "1 / w", "rank": "6 - rn", "cos": "cos(w * pi() / 2)",
               "gaussian": f"exp(-0.5 * pow(w * {abs(NormalDist().inv_cdf(1 / 16))}, 2))"}
