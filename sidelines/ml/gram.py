@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["Moments", "moments", "pairwise_correlations"]
+__all__ = ["Moments", "moments", "products_of", "pairwise_correlations"]
 
 _CELL = pa.schema([("g", pa.int64()), ("m", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64())])
 
@@ -119,6 +119,16 @@ def moments(df: DataFrame, cols: Sequence[str], group: str | None = None) -> dic
     return {g: Moments(cols, shift, m[0]) for g, m in _matrices(_cells(df, cols, group, products), {0: (size, size)}).items()}
 
 
+def products_of(df: DataFrame, cols: Sequence[str], design) -> np.ndarray:
+    """Sum over rows of z'z for the matrix z = ``design(x)`` that a task makes of its rows (x: rows x columns)."""
+    found = list(_cells(df, cols, None, lambda x: [(lambda z: z.T @ z)(design(x))]).toArrow().to_pylist())
+    size = 1 + max((r["i"] for r in found), default=-1)
+    out = np.zeros((size, size))
+    for r in found:
+        out[r["i"], r["j"]] = r["v"]
+    return out
+
+
 def pairwise_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Pearson correlation of each pair over the rows that have both; NaN without variance or with fewer than two such rows."""
     shift = _shift(df, cols)

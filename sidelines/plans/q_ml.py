@@ -15,7 +15,7 @@ from sidelines.ml.knn import first_neighbours, knn_regression, knn_state, weight
 from sidelines.ml.metrics import compare_models, fold_summary, regression_metrics, univariate_table
 from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt, fit_lasso, fit_rff_svr)
 from sidelines.ml.recipe import corr_matrix, gram_matrix, recipe, spline_basis, zero_variance
-from sidelines.ml.smoother import local_smooth
+from sidelines.ml.smoother import local_smooth, loess, penalised_spline
 from sidelines.ml.stack import StackModel, fit_stack, oof_predictions, penalty_path
 from sidelines.ml.tune import tune
 from sidelines.operators.aggregates import scalar
@@ -134,6 +134,52 @@ def q_local_smoother(spark, sf):
     return finish(local_smooth(li, "l_quantity", "l_extendedprice", list(range(1, 51)), 5.0))
 
 
+LOESS_GRID = [2000.0 + 4500.0 * i for i in range(20)]
+_CRAMER = """s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)"""
+
+
+@register("loess_span", f"""
+WITH g AS (SELECT unnest(CAST({LOESS_GRID} AS DOUBLE[])) AS grid_x),
+d AS (SELECT grid_x, l_extendedprice - grid_x AS dx, l_quantity AS y, row_number() OVER (PARTITION BY grid_x ORDER BY abs(l_extendedprice - grid_x)) AS rk,
+             count(*) OVER (PARTITION BY grid_x) AS n FROM lineitem, g WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL),
+h AS (SELECT grid_x, max(abs(dx)) AS h FROM d WHERE rk <= floor(n * 0.3 + 1e-5) GROUP BY grid_x),
+w AS (SELECT grid_x, h, y, dx / h AS u, pow(1 - pow(abs(dx) / h, 3), 3) AS k FROM d JOIN h USING (grid_x) WHERE abs(dx) < h),
+s AS (SELECT grid_x, h, sum(k) AS s0, sum(k * u) AS s1, sum(k * u * u) AS s2, sum(k * pow(u, 3)) AS s3, sum(k * pow(u, 4)) AS s4,
+             sum(k * y) AS t0, sum(k * u * y) AS t1, sum(k * u * u * y) AS t2 FROM w GROUP BY grid_x, h)
+SELECT grid_x, round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / ({_CRAMER}), 6) AS fit, round(h, 6) AS h FROM s""")
+def q_loess_span(spark, sf):
+    """Local quadratic curve of quantity on price, bandwidth from the nearest three tenths of the rows."""
+    return finish(loess(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", LOESS_GRID, 0.3))
+
+
+_HAT = {0: "greatest(1 - (x - lo) / s, 0)", 1: "greatest(1 - abs(x - lo - s) / s, 0)", 2: "greatest((x - lo - s) / s, 0)"}
+
+
+@register("penalised_spline", f"""
+WITH e AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 2 AS s FROM lineitem),
+r AS (SELECT l_quantity AS y, lo, s, l_extendedprice AS x FROM lineitem, e),
+b AS (SELECT y, lo, s, {_HAT[0]} AS b0, {_HAT[1]} AS b1, {_HAT[2]} AS b2 FROM r),
+m AS (SELECT any_value(lo) AS lo, any_value(s) AS s, sum(b0 * b0) + 2000 AS s00, sum(b0 * b1) - 4000 AS s01, sum(b0 * b2) + 2000 AS s02, sum(b1 * b1) + 8000 AS s11,
+             sum(b1 * b2) - 4000 AS s12, sum(b2 * b2) + 2000 AS s22, sum(b0 * y) AS t0, sum(b1 * y) AS t1, sum(b2 * y) AS t2 FROM b),
+c AS (SELECT *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) AS det FROM m),
+f AS (SELECT lo, s, (t0 * (s11 * s22 - s12 * s12) - s01 * (t1 * s22 - s12 * t2) + s02 * (t1 * s12 - s11 * t2)) / det AS c0,
+             (s00 * (t1 * s22 - s12 * t2) - t0 * (s01 * s22 - s12 * s02) + s02 * (s01 * t2 - t1 * s02)) / det AS c1,
+             (s00 * (s11 * t2 - t1 * s12) - s01 * (s01 * t2 - t1 * s02) + t0 * (s01 * s12 - s11 * s02)) / det AS c2 FROM c),
+g AS (SELECT unnest(CAST({LOESS_GRID} AS DOUBLE[])) AS x)
+SELECT x AS grid_x, round(c0 * {_HAT[0]} + c1 * {_HAT[1]} + c2 * {_HAT[2]}, 6) AS fit FROM g, f""")
+def q_penalised_spline(spark, sf):
+    """Three linear B-splines with a fixed penalty on their second difference, from one scan."""
+    fit = penalised_spline(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", [2000.0], size=3, degree=1)
+    return finish(fit.curve(spark, LOESS_GRID))
+
+
+@register("gam_curve")
+def q_gam_curve(spark, sf):
+    """Ten cubic B-splines, smoothing by generalised cross-validation."""
+    fit = penalised_spline(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity")
+    return finish(fit.curve(spark, LOESS_GRID))
+
+
 MODEL_SQL = with_(*BASE, GAMES, f"""
 fr AS (
   SELECT season, game_id, posteam, CAST(total_points AS DOUBLE) AS y,
