@@ -4,40 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["permute_column", "permutation_importance", "coefficient_importance"]
+from sidelines.operators.windows import global_row_number
+from sidelines.session import cut_lineage
 
+__all__ = ["permuted", "permute_column", "permutation_importance", "coefficient_importance"]
 
-def permute_column(df: DataFrame, c: str, key: Sequence[str], seed: int, rows_per_bucket: int = 50_000,
-                   n_rows: int | None = None) -> DataFrame:
-    """Shuffle the values of ``c`` across rows without a global sort.
 
-    Rows go to hash buckets of about ``rows_per_bucket`` rows; inside a
-    bucket, the rows ordered by key receive the values ordered by a seeded
-    hash.  Deterministic on recomputation (hashes, not ``rand``)."""
-    n_rows = n_rows if n_rows is not None else df.count()
-    buckets = max(1, -(-n_rows // rows_per_bucket))
-    kc = [F.col(k) for k in key]
-    base = df.withColumn("_b", F.pmod(F.xxhash64(*kc, F.lit(seed)), F.lit(buckets)))
-    w_key = Window.partitionBy("_b").orderBy(*kc)
-    w_rnd = Window.partitionBy("_b").orderBy(F.xxhash64(*kc, F.lit(seed + 1)), *kc)
-    left = base.drop(c).withColumn("_rn", F.row_number().over(w_key))
-    right = base.select("_b", F.col(c), F.row_number().over(w_rnd).alias("_rn"))
-    return left.join(right, ["_b", "_rn"]).drop("_b", "_rn")
+def permuted(df: DataFrame, cols: Sequence[str], key: Sequence[str], seed: int, suffix: str = "_permuted") -> DataFrame:
+    """``df`` with ``cols`` of another row each as ``{col}{suffix}``: an exact permutation of all rows.
+
+    The row at place i by key gets the values of the row at place i by a seeded
+    hash of the key.  Both numberings are range-partitioned and exact, so the
+    permutation is the same at every size, and no task holds more than its
+    range; one join on the place brings them together.  ``key`` must be unique.
+    The hash is the MD5 of "seed:key:key..", which other engines compute alike."""
+    key = list(key)
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).cast("binary"))
+    here = global_row_number(df, key, "_place")
+    there = global_row_number(df.select(*key, *[F.col(c).alias(f"{c}{suffix}") for c in cols], text.alias("_h")), ["_h", *key], "_place")
+    return here.join(there.drop(*key, "_h"), "_place").drop("_place")
+
+
+def permute_column(df: DataFrame, c: str, key: Sequence[str], seed: int) -> DataFrame:
+    """``df`` with the values of ``c`` exactly permuted over its rows."""
+    out = permuted(df, [c], key, seed)
+    return out.withColumn(c, F.col(f"{c}_permuted")).select(*df.columns)
 
 
 def permutation_importance(predict: Callable[[DataFrame], DataFrame], df: DataFrame, cols: Sequence[str],
                            label: str, key: Sequence[str], seed: int = 42,
                            spark: SparkSession | None = None) -> DataFrame:
-    """RMSE increase when one predictor is permuted (model re-scored)."""
+    """RMSE increase when one predictor is permuted (model re-scored).
+
+    All predictors use one permutation, made and materialised once."""
     def rmse(d: DataFrame) -> float:
         e = F.col("prediction") - F.col(label)
         return predict(d).agg(F.sqrt(F.avg(e * e))).first()[0]
-    n = df.count()
-    base = rmse(df)
-    rows = [(c, float(rmse(permute_column(df, c, key, seed, n_rows=n)) - base)) for c in cols]
+    both = cut_lineage(permuted(df.select(*{*key, *cols, label}), cols, key, seed))
+    base = rmse(both)
+    rows = [(c, float(rmse(both.withColumn(c, F.col(f"{c}_permuted"))) - base)) for c in cols]
     spark = spark or df.sparkSession
     return spark.createDataFrame(rows, "variable string, importance double")
 

@@ -50,8 +50,9 @@ def scalar(agg_df: DataFrame) -> Column:
 
 
 def with_scalar(df: DataFrame, agg_df: DataFrame) -> DataFrame:
-    """Append every column of a one-row aggregate frame as constants."""
-    return df.withColumns({c: agg_df.select(c).scalar() for c in agg_df.columns})
+    """Append every column of a one-row aggregate frame as constants, from one struct-valued subquery."""
+    row = agg_df.select(F.struct(*agg_df.columns)).scalar()
+    return df.withColumns({c: row[c] for c in agg_df.columns})
 
 
 def corr_pairwise(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), name: str = "corr") -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sidelines.functions.nulls import col_
+from sidelines.operators.windows import global_row_number
+from sidelines.session import cut_lineage
 
 __all__ = ["mutate", "cast_all", "across_numeric", "separate", "mask_between", "append",
            "stack_rows", "pivot_wider", "pivot_longer", "dummies", "design_matrix",
@@ -110,6 +113,45 @@ def dummies(df: DataFrame, cols: Sequence[str], drop: str | None = "most_frequen
     return df.withColumns(out)
 
 
+def level_dictionary(df: DataFrame, c: str, name: str = "level_index") -> DataFrame:
+    """(level, n, index): non-NULL levels numbered from 0 by falling count, ties in level order, however many there are."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    numbered = global_row_number(counts, [F.col("n").desc(), "level"], name)
+    return numbered.withColumn(name, F.col(name) - 1)
+
+
+def sparse_levels(df: DataFrame, cols: Sequence[str], drop: str | None = "most_frequent") -> tuple[DataFrame, int]:
+    """R5 without a limit on the levels: one-hot codes as a sparse list in place of columns.
+
+    Adds ``hot`` (array of positions, one for each column whose level has one,
+    rising) and returns the number of positions.  Columns follow each other in the given
+    order, levels by falling count; with ``drop='most_frequent'`` the modal level has no position.  A
+    NULL value makes ``hot`` NULL, as dummies of NULL are NULL."""
+    out, size, at, missing = df, 0, [], F.lit(False)
+    first = 1 if drop == "most_frequent" else 0
+    for i, c in enumerate(cols):
+        d = cut_lineage(level_dictionary(df, c, f"_i{i}").drop("n"))
+        levels = d.count()
+        out = out.join(d.withColumnRenamed("level", f"_l{i}"), F.col(c) == F.col(f"_l{i}"), "left").drop(f"_l{i}")
+        at.append(F.when(F.col(f"_i{i}") >= first, F.col(f"_i{i}") - first + size))
+        missing = missing | F.col(c).isNull()
+        size += max(levels - first, 0)
+    hot = F.when(~missing, F.array_compact(F.array(*at)))
+    return out.withColumn("hot", hot).drop(*[f"_i{i}" for i in range(len(cols))]), size
+
+
+def sparse_vector(df: DataFrame, size: int, hot: str = "hot", out: str = "features") -> DataFrame:
+    """ML sparse vectors with ones at the positions ``hot``; NULL positions give NULL."""
+    from pyspark.ml.linalg import VectorUDT
+
+    @F.pandas_udf(VectorUDT())
+    def vector(at: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"type": 0, "size": size, "indices": at, "values": at.map(lambda x: [1.0] * len(x))})
+
+    full = F.coalesce(F.col(hot).cast("array<int>"), F.array().cast("array<int>"))
+    return df.withColumn(out, F.when(F.col(hot).isNotNull(), vector(full)))
+
+
 def design_matrix(df: DataFrame, cols: Sequence[str], out: str = "features",
                   keep: bool = True) -> DataFrame:
     """Numeric design matrix without intercept.  Booleans become

@@ -46,14 +46,16 @@ def event_window(df: DataFrame, keys: Sequence[str], time: str, y: str, pre_end:
     })
 
 
-def bootstrap_draws(win: DataFrame, keys: Sequence[str], pre_end: int, draws: int, stride: int = 7,
+def bootstrap_draws(win: DataFrame, keys: Sequence[str], pre_end: int, draws: int, seed: int = 7,
                     y: str = "y_actual") -> DataFrame:
-    """Deterministic counterfactual draws: for draw d and post week t the
-    prediction is the pre-period value at index ((d * stride + t) mod pre_end) + 1
-    (a pre-period bootstrap).  Output (keys, draw, idx, y_hat)."""
+    """Deterministic counterfactual draws, a bootstrap of the pre-period: in
+    draw d the prediction of post week t is the pre-period value at an index
+    taken from the MD5 of "seed:d:t", which other engines compute alike, so
+    draws differ from one another and do not repeat.  Output (keys, draw, idx, y_hat)."""
     post = win.where(F.col("phase") == "post").select(*keys, "idx") \
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    post = post.withColumn("src", (F.col("draw") * stride + F.col("idx")) % pre_end + 1)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("idx").cast("string")).cast("binary"))
+    post = post.withColumn("src", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % pre_end + 1)
     pre = win.where(F.col("phase") == "pre").select(*keys, F.col("idx").alias("src"), F.col(y).alias("y_hat"))
     return post.join(pre, [*keys, "src"]).drop("src")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sidelines.ml.features import FEATURE_SETS, stratified_folds
 from sidelines.ml.gramcv import RESULT, cross_validate
-from sidelines.ml.importance import coefficient_importance, permutation_importance
+from sidelines.ml.importance import coefficient_importance, permutation_importance, permute_column
 from sidelines.ml.knn import first_neighbours, knn_regression, knn_state, weighted_mean
 from sidelines.ml.metrics import compare_models, fold_summary, regression_metrics, univariate_table
 from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt, fit_lasso, fit_rff_svr)
@@ -281,6 +281,15 @@ def q_ridge_cv(spark, sf):
     return out.withColumn("rmse", F.round("rmse", 4))
 
 
+@register("permuted_column", """
+WITH k AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS here, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS there FROM orders)
+SELECT a.o_orderkey, a.o_custkey, round(b.o_totalprice, 6) AS o_totalprice FROM k a JOIN k b ON a.here = b.there""")
+def q_permuted_column(spark, sf):
+    """One column exactly permuted over all rows by two row numberings."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return finish(permute_column(o, "o_totalprice", ["o_orderkey"], 42))
+
+
 KNN_GRID = [(1, 3, "triangular"), (2, 5, "epanechnikov"), (3, 4, "inv"), (2, 7, "gaussian"), (1, 5, "rank"), (2, 4, "cos")]
 _KNN_SHAPE = {"triangular": "1 - w", "epanechnikov": "0.75 * (1 - w * w)", "inv": "1 / w", "rank": "6 - rn", "cos": "cos(w * pi() / 2)",
               "gaussian": f"exp(-0.5 * pow(w * {abs(NormalDist().inv_cdf(1 / 16))}, 2))"}
@@ -399,7 +408,7 @@ def q_stack(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """Forest permutation importance (hash-bucket shuffle, re-score)."""
+    """Forest permutation importance (exact permutation, re-score)."""
     tr, _ = split(model_frame(spark, sf))
     m = fit_forest(tr, FEATS, LABEL, trees=30, min_n=5)
     return finish(permutation_importance(m.transform, tr, FEATS, LABEL, KEY, seed=42))

@@ -17,7 +17,7 @@ from sidelines.operators.joins import (apply_patches, densify, enrich, normalise
                                        override, with_fallback_row)
 from sidelines.operators.ordering import first_row, ranked_board, top_n
 from sidelines.operators.reshape import (across_numeric, append, cast_all, design_matrix, dummies,
-                                         pivot_longer, pivot_wider, separate, stack_rows)
+                                         pivot_longer, pivot_wider, separate, sparse_levels, stack_rows)
 from sidelines.operators.windows import global_row_number, season_lag, with_totals
 from sidelines.plans.catalog import finish, register
 from sidelines.sources.io import table
@@ -456,6 +456,24 @@ def q_dummy_drop_mode(spark, sf):
     return finish(long.withColumn("level", F.regexp_replace("level", "^o_orderpriority_", "")))
 
 
+@register("sparse_levels", """
+WITH c AS (SELECT o_custkey AS level, row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1 AS i FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
+p AS (SELECT o_orderpriority AS level, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS i FROM orders
+      WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority),
+s AS (SELECT count(*) - 1 AS size FROM c)
+SELECT o_orderkey, CASE WHEN c.i > 0 THEN CAST(c.i - 1 AS BIGINT) END AS custkey_at, CASE WHEN p.i > 0 THEN CAST(p.i - 1 + size AS BIGINT) END AS priority_at
+FROM orders, s LEFT JOIN c ON o_custkey = c.level LEFT JOIN p ON o_orderpriority = p.level""")
+def q_sparse_levels(spark, sf):
+    """One-hot codes of any number of levels as sparse positions, the most frequent level dropped."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    out, _ = sparse_levels(o, ["o_custkey", "o_orderpriority"])
+    levels = t(spark, sf, "orders").agg(F.count_distinct("o_custkey") - 1).scalar()
+    first = F.get("hot", F.lit(0))
+    has_cust = F.coalesce(first < levels, F.lit(False))
+    return finish(out.select("o_orderkey", F.when(has_cust, first).alias("custkey_at"),
+                             F.get("hot", F.when(has_cust, 1).otherwise(0)).alias("priority_at")))
+
+
 @register("design_matrix", """
 SELECT o_orderkey, round(o_totalprice, 6) AS x_o_totalprice,
        round(CAST(o_orderstatus = 'F' AS DOUBLE), 6) AS x_filledTRUE, round(CAST(o_custkey AS DOUBLE), 6) AS x_o_custkey

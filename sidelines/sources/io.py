@@ -6,9 +6,11 @@ explicit for CSV (no ``inferSchema`` pass over the data).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,18 +61,32 @@ def read_csv_skip(spark: SparkSession, path: str, skip: int, schema: T.StructTyp
                   header: bool = True) -> DataFrame:
     """CSV files that start with ``skip`` preamble lines.
 
-    Each file is read whole (one row per file, preamble files are small weekly
-    series), split into lines, the preamble and header dropped, and the lines
-    parsed by ``from_csv`` with the given schema.  Files are spread over tasks.
-    """
+    Files are read by line and split into blocks, so one large file is many
+    tasks.  A block's lines come in order and say at which offset the block
+    begins: the lines to drop are the first ones of the blocks at offset 0.
+    No shuffle; the rest is parsed by ``from_csv`` with the given schema.  The preamble lies
+    in a file's first block (``spark.sql.files.maxPartitionBytes``); quoted fields hold no line feeds."""
     drop = skip + (1 if header else 0)
     ddl = schema.simpleString()[len("struct<"):-1].replace(":", " ")
-    lines = (spark.read.text(path, wholetext=True)
-             .select(F.explode(F.slice(F.split(F.regexp_replace("value", "\r", ""), "\n"),
-                                       drop + 1, 1 << 30)).alias("line"))
-             .where(F.length("line") > 0))
-    parsed = lines.select(F.from_csv("line", ddl).alias("r")).select("r.*")
-    return parsed
+
+    def without_preamble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for i in np.flatnonzero(b.column("start").to_numpy() == 0):
+                name = b.column("file")[int(i)].as_py()
+                seen[name] = seen.get(name, 0) + 1
+                if seen[name] > drop:
+                    if b.column("file")[b.num_rows - 1].as_py() == name:
+                        break                                     # the rest of the batch is of the same file, past its preamble
+                    continue
+                keep[i] = False
+            yield b.select(["line"]).filter(pa.array(keep))
+
+    lines = (spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("start"))
+             .mapInArrow(without_preamble, "line string").where(F.length("line") > 0))
+    return lines.select(F.from_csv("line", ddl).alias("r")).select("r.*")
 
 
 def read_many(spark: SparkSession, path_glob: str, schema: T.StructType,
@@ -127,6 +143,3 @@ def load_ratings(spark: SparkSession, paths: Mapping[int, str], schema: T.Struct
         out = out.withColumn(key_col, F.coalesce(F.try_element_at(m, F.col(key_col)), F.col(key_col)))
     return out
 
-
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
