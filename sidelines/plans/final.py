@@ -15,19 +15,35 @@ from sidelines.functions.text import label
 from sidelines.operators.aggregates import scalar
 from sidelines.operators.joins import enrich, opponent_role
 from sidelines.operators.windows import lagged_cum
+from sidelines.plans.context import CONTEXT_COLUMNS, game_context
 from sidelines.plans.cube import play_cube
 from sidelines.plans.kicker import (KICKER_KEYS, impute_tables, kicker_season_lags, kicker_season_totals,
                                     league_season_lags, season_to_date)
-from sidelines.plans.team import defense_mvavg, offense_mvavg, zone_defense, zone_offense
+from sidelines.plans.team import DEF_MA_COLS, OFF_MA_COLS, defense_mvavg, offense_mvavg, zone_defense, zone_offense
 from sidelines.streaming.incremental import merge_partials
 from sidelines.session import cut_lineage
 
 __all__ = ["final_data", "FINAL_COLUMNS"]
 
+ZONE_OFF = ["off_rz_epa", "off_pz_epa", "off_epa", "off_rush_epa", "off_pass_epa", "off_success_rate", "big_play_20_rate",
+            "neg_play_5_rate", "mean_play_clock", "fourth_down_try_rate"]
+ZONE_DEF = ["def_rz_epa", "def_pz_epa", "def_epa", "def_success_rate", "def_rush_epa", "def_pass_epa"]
+#: Columns of the opponent's tables, by the name they get.
+OPPONENT_OFF = {"off_epa": "def_off_epa", "off_success_rate": "def_off_success_rate"}
+OPPONENT_DEF = {"def_epa": "pos_def_epa", "def_success_rate": "pos_def_success_rate"}
+KICKER_SEASON = ["kicker_home", "kicker_szn_max_dist", "kicker_szn_fg_pct", "kicker_szn_xp_pct"]
 FINAL_COLUMNS = ["season", "game_id", "posteam", "defteam", "week", "kicker_id", "kicker_name", "total_points",
-                 "playcount", "fg_atts", "xp_atts", "fg_pct_mv", "xp_pct_mv", "max_dist_mv", "max_made_dist_mv",
-                 "szn_kkr_mean_pts", "szn_def_kkr_mean_pts", "off_epa", "def_epa", "off_epa_ma", "def_epa_ma",
-                 "def_off_epa", "pos_def_epa", "def_off_epa_ma", "pos_def_epa_ma", "posteam_seas"]
+                 "playcount", "fg_atts", "xp_atts", *KICKER_SEASON, "fg_pct_mv", "xp_pct_mv", "max_dist_mv", "max_made_dist_mv",
+                 "szn_kkr_mean_pts", "szn_def_kkr_mean_pts", *ZONE_OFF, *ZONE_DEF, *OFF_MA_COLS, *DEF_MA_COLS,
+                 *OPPONENT_OFF.values(), *OPPONENT_DEF.values(), *[f"{c}_ma" for c in OPPONENT_OFF.values()],
+                 *[f"{c}_ma" for c in OPPONENT_DEF.values()], *CONTEXT_COLUMNS, "posteam_seas"]
+
+
+def _as_opponent(team: DataFrame, keys: list[str], names: dict[str, str], ma: str = "") -> DataFrame:
+    """A team table's columns under the names its opponent sees them by."""
+    own, other = ("posteam", "defteam") if "posteam" in keys else ("defteam", "posteam")
+    cols = {f"{a}{ma}": f"{b}{ma}" for a, b in names.items()}
+    return opponent_role(team.select(*keys, *cols), {own: other, **cols})
 
 
 def final_data(plays: DataFrame, min_games: int = 6, min_attempts: int = 20, first_season=None,
@@ -45,7 +61,7 @@ def final_data(plays: DataFrame, min_games: int = 6, min_attempts: int = 20, fir
     gl = (cube.where(F.col("defteam").isNotNull()).groupBy("season", "game_id", "posteam", "defteam")
           .agg(F.sum("playcount").alias("playcount"), F.sum("fg_atts").alias("fg_atts"),
                F.sum("xp_atts").alias("xp_atts")))
-    base = imputed.select("season", "game_id", "posteam", *KICKER_KEYS, "total_points")
+    base = imputed.select("season", "game_id", "posteam", *KICKER_KEYS, "total_points", *KICKER_SEASON)
     fd = enrich(gl, base, ["season", "game_id", "posteam"], how="right")                       # J4
     fd = enrich(fd, feats, ["season", "game_id", "posteam", *KICKER_KEYS], null_safe=True)      # J2, N4
     overall = scalar(imputed.where(F.col("season") > F.lit(first_season)).agg(F.avg("total_points"))) \
@@ -59,21 +75,15 @@ def final_data(plays: DataFrame, min_games: int = 6, min_attempts: int = 20, fir
     })
     zo, zd = zone_offense(cube), zone_defense(cube)
     om, dm = offense_mvavg(cube, parity), defense_mvavg(cube, parity)
-    pick = {"off": ["off_epa"], "def": ["def_epa"], "om": ["off_epa_ma"], "dm": ["def_epa_ma"]}
-    fd = fd.join(zo.select("posteam", "season", *pick["off"]), ["season", "posteam"], "left")            # 1
-    fd = fd.join(zd.select("defteam", "season", *pick["def"]), ["season", "defteam"], "left")            # 2
-    fd = fd.join(om.select("posteam", "season", "week", *pick["om"]), ["season", "posteam", "week"], "left")  # 3
-    fd = fd.join(dm.select("defteam", "season", "week", *pick["dm"]), ["season", "defteam", "week"], "left")  # 4
-    fd = fd.join(opponent_role(zo.select("posteam", "season", "off_epa"),
-                               {"posteam": "defteam", "off_epa": "def_off_epa"}), ["season", "defteam"], "left")   # 5
-    fd = fd.join(opponent_role(zd.select("defteam", "season", "def_epa"),
-                               {"defteam": "posteam", "def_epa": "pos_def_epa"}), ["season", "posteam"], "left")   # 6
-    fd = fd.join(opponent_role(om.select("posteam", "season", "week", "off_epa_ma"),
-                               {"posteam": "defteam", "off_epa_ma": "def_off_epa_ma"}),
-                 ["season", "defteam", "week"], "left")                                                        # 7
-    fd = fd.join(opponent_role(dm.select("defteam", "season", "week", "def_epa_ma"),
-                               {"defteam": "posteam", "def_epa_ma": "pos_def_epa_ma"}),
-                 ["season", "posteam", "week"], "left")                                                        # 8
+    season, week = ["posteam", "season"], ["posteam", "season", "week"]
+    dseason, dweek = ["defteam", "season"], ["defteam", "season", "week"]
+    sides = [(zo.select(*season, *ZONE_OFF), season), (zd.select(*dseason, *ZONE_DEF), dseason),                # 1, 2
+             (om, week), (dm, dweek),                                                                          # 3, 4
+             (_as_opponent(zo, season, OPPONENT_OFF), dseason), (_as_opponent(zd, dseason, OPPONENT_DEF), season),      # 5, 6
+             (_as_opponent(om, week, OPPONENT_OFF, "_ma"), dweek), (_as_opponent(dm, dweek, OPPONENT_DEF, "_ma"), week),  # 7, 8
+             (game_context(games), ["game_id", "posteam"])]
+    for side, keys in sides:                                                                                   # J8
+        fd = fd.join(side, keys, "left")
     fd = fd.withColumns({
         "total_points": F.when((F.col("fg_atts") == 0) & (F.col("xp_atts") == 0), F.lit(0))
                          .otherwise(F.col("total_points")),                                       # Q4

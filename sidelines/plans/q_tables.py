@@ -20,6 +20,7 @@ from sidelines.operators.reshape import (across_numeric, append, cast_all, desig
                                          pivot_longer, pivot_wider, separate, sparse_levels, stack_rows)
 from sidelines.operators.windows import global_row_number, season_lag, with_totals
 from sidelines.plans.catalog import finish, register
+from sidelines.plans.context import clean_weather
 from sidelines.sources.io import table
 
 
@@ -723,27 +724,6 @@ def weather_text(e):
     return e.select("event_id", "user_id", k.alias("k"), "value", txt.alias("weather"), roof.alias("roof"))
 
 
-def clean_weather(df):
-    """Wind speed and precipitation class from text;
-    closed roofs default to no precipitation and no wind.  Branch order is
-    kept (Q15): a forecast word without "Raining" is unknown before any rain
-    word is tested."""
-    w = F.col("weather")
-    calm = detect(w, "Calm")
-    wind = if_na(calm, F.lit("0"), extract(w, WIND_PATTERN))
-    desc = extract(w, WEATHER_DESC_PATTERN)
-    desc = F.when(~F.coalesce(detect(desc, NA_TEXT), F.lit(False)), desc)
-    precip = (F.when(detect(desc, PRECIP_MAYBE) & ~detect(desc, "Raining"), F.lit(None).cast("string"))
-              .when(detect(desc, PRECIP_YES), "yes").when(desc.isNull(), F.lit(None).cast("string"))
-              .otherwise("no"))
-    out = df.withColumns({"wind_weather": wind, "weather_desc": desc, "precipitation": precip})
-    closed = is_in("roof", ["dome", "closed"])
-    out = out.withColumns({
-        "precipitation": fill_value("precipitation", closed, "no"),
-        "wind_weather": fill_value("wind_weather", closed, "0")})
-    return out.withColumn("wind_weather", F.col("wind_weather").try_cast("double"))
-
-
 @register("weather_parse", f"""
 WITH w AS ({WEATHER_TEXT_SQL}),
 p AS (

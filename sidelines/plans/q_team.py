@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sidelines.plans.adapter import PLAYS_SQL
 from sidelines.plans.catalog import finish, register
+from sidelines.plans.context import CONTEXT_SQL
+from sidelines.plans.final import OPPONENT_DEF, OPPONENT_OFF, ZONE_DEF, ZONE_OFF
 from sidelines.plans.q_plays import plays
 from sidelines.plans.team import (DEF_MA_COLS, OFF_MA_COLS, defense_mvavg, offense_mvavg, pos_def, season_level,
                                   zone_defense, zone_offense)
@@ -105,7 +107,9 @@ zo AS (
     first(fourth_down_n_season) AS fourth_down_n,
     coalesce(sum(fourth_down_converted + fourth_down_failed), 0) AS fourth_down_att
   FROM sl GROUP BY 1, 2),
-zd AS (SELECT defteam, season, avg(epa) AS def_epa, coalesce(sum(success), 0) / count(*) AS def_success_rate
+zd AS (SELECT defteam, season, avg(epa) AS def_epa, coalesce(sum(success), 0) / count(*) AS def_success_rate,
+              avg(redzone_epa) AS def_rz_epa, avg(pinkzone_epa) AS def_pz_epa, avg(CASE WHEN rushpass = 'rush' THEN epa END) AS def_rush_epa,
+              avg(CASE WHEN rushpass = 'pass' THEN epa END) AS def_pass_epa
        FROM sl GROUP BY 1, 2)"""
 ZONES_SQL = "WITH " + SL_SQL + "," + ZONE_CTES + """
 SELECT zo.posteam, zo.season, round(off_rz_epa, 6) AS off_rz_epa, round(off_pz_epa, 6) AS off_pz_epa,
@@ -142,14 +146,14 @@ def _final_sql():
             "kmv AS (" + KICKER_SELECT.replace("SELECT mv.kicker_name, mv.kicker_id, mv.season, mv.game_id,",
                                                "SELECT mv.kicker_name, mv.kicker_id, mv.season, mv.game_id, mv.posteam,")
             + ")",
-            SL_CTES.strip(), ZONE_CTES.strip(), OFF_CTES.strip(), DEF_CTES.strip(), """
+            SL_CTES.strip(), ZONE_CTES.strip(), OFF_CTES.strip(), DEF_CTES.strip(), CONTEXT_SQL.strip(), """
 gl AS (SELECT season, game_id, posteam, defteam, count(*) AS playcount,
               count(*) FILTER (WHERE field_goal_result = 'made') AS fg_atts,
               count(*) FILTER (WHERE extra_point_result = 'good') AS xp_atts
        FROM plays WHERE posteam IS NOT NULL AND defteam IS NOT NULL GROUP BY 1, 2, 3, 4)""", f"""
 fd0 AS (
   SELECT i.season, i.game_id, i.posteam, gl.defteam, gl.playcount, gl.fg_atts, gl.xp_atts, i.kicker_id, i.kicker_name,
-         i.total_points, k.fg_pct_mv, k.xp_pct_mv, k.max_dist_mv, k.max_made_dist_mv
+         i.total_points, i.kicker_home, i.kicker_szn_max_dist, i.kicker_szn_fg_pct, i.kicker_szn_xp_pct, k.fg_pct_mv, k.xp_pct_mv, k.max_dist_mv, k.max_made_dist_mv
   FROM gl RIGHT JOIN imputed i ON gl.season = i.season AND gl.game_id = i.game_id AND gl.posteam = i.posteam
   LEFT JOIN kmv k ON i.season = k.season AND i.game_id = k.game_id AND i.posteam IS NOT DISTINCT FROM k.posteam
     AND i.kicker_id IS NOT DISTINCT FROM k.kicker_id AND i.kicker_name IS NOT DISTINCT FROM k.kicker_name)""", f"""
@@ -164,6 +168,14 @@ fd1 AS (
     TRY_CAST(substring(game_id, 9, 2) AS INTEGER) AS week
   FROM fd0)"""]
     excl = " AND ".join(f"NOT coalesce(fd1.week = {w} AND {c}, false)" for w, c, _ in LAST_DAYS)
+    def fraction(table: str, c: str) -> str:
+        """The season's fourth-down rate is a ratio of two of the table's columns."""
+        return f"{table}.fourth_down_att / nullif({table}.fourth_down_n, 0)" if c == "fourth_down_try_rate" else f"{table}.{c}"
+
+    team = [(t, c, c) for t, cols in (("zo", ZONE_OFF), ("zd", ZONE_DEF), ("om", OFF_MA_COLS), ("dm", DEF_MA_COLS)) for c in cols]
+    team += [(t, f"{a}{ma}", f"{b}{ma}") for t, names, ma in (("zo2", OPPONENT_OFF, ""), ("zd2", OPPONENT_DEF, ""), ("om2", OPPONENT_OFF, "_ma"),
+                                                              ("dm2", OPPONENT_DEF, "_ma")) for a, b in names.items()]
+    team_columns = ", ".join(f"round({fraction(t, a)}, 6) AS {b}" for t, a, b in team)
     sel = f"""
 SELECT fd1.season, fd1.game_id, fd1.posteam, fd1.defteam, CAST(fd1.week AS BIGINT) AS week, kicker_id, kicker_name,
   CAST(CASE WHEN fg_atts = 0 AND xp_atts = 0 THEN 0 ELSE total_points END AS BIGINT) AS total_points,
@@ -171,10 +183,13 @@ SELECT fd1.season, fd1.game_id, fd1.posteam, fd1.defteam, CAST(fd1.week AS BIGIN
   round(fg_pct_mv, 6) AS fg_pct_mv, round(xp_pct_mv, 6) AS xp_pct_mv, round(max_dist_mv, 6) AS max_dist_mv,
   round(max_made_dist_mv, 6) AS max_made_dist_mv, round(szn_kkr_mean_pts, 6) AS szn_kkr_mean_pts,
   round(szn_def_kkr_mean_pts, 6) AS szn_def_kkr_mean_pts,
-  round(zo.off_epa, 6) AS off_epa, round(zd.def_epa, 6) AS def_epa,
-  round(om.off_epa_ma, 6) AS off_epa_ma, round(dm.def_epa_ma, 6) AS def_epa_ma,
-  round(zo2.off_epa, 6) AS def_off_epa, round(zd2.def_epa, 6) AS pos_def_epa,
-  round(om2.off_epa_ma, 6) AS def_off_epa_ma, round(dm2.def_epa_ma, 6) AS pos_def_epa_ma,
+  CAST(kicker_home AS BIGINT) AS kicker_home, round(kicker_szn_max_dist, 6) AS kicker_szn_max_dist, round(kicker_szn_fg_pct, 6) AS kicker_szn_fg_pct,
+  round(kicker_szn_xp_pct, 6) AS kicker_szn_xp_pct,
+  {team_columns},
+  round(pos_imptot, 6) AS pos_imptot, round(def_imptot, 6) AS def_imptot, round(pos_imptotdiff, 6) AS pos_imptotdiff, round(wind_weather, 6) AS wind_weather,
+  roof, precipitation, CAST(roof = 'closed' AS BIGINT) AS roof_closed, CAST(roof = 'dome' AS BIGINT) AS roof_dome, CAST(roof = 'open' AS BIGINT) AS roof_open,
+  CAST(precipitation = 'unknown' AS BIGINT) AS precipitation_unknown, CAST(precipitation = 'yes' AS BIGINT) AS precipitation_yes,
+  CAST(pos_score AS BIGINT) AS pos_score, CAST(def_score AS BIGINT) AS def_score, round(fpts_site, 6) AS fpts_site,
   coalesce(fd1.posteam, 'NA') || '_' || CAST(fd1.season AS VARCHAR) AS posteam_seas
 FROM fd1
 LEFT JOIN zo ON fd1.season = zo.season AND fd1.posteam = zo.posteam
@@ -185,6 +200,7 @@ LEFT JOIN zo zo2 ON fd1.season = zo2.season AND fd1.defteam = zo2.posteam
 LEFT JOIN zd zd2 ON fd1.season = zd2.season AND fd1.posteam = zd2.defteam
 LEFT JOIN off_mv om2 ON fd1.season = om2.season AND fd1.defteam = om2.posteam AND fd1.week = om2.week
 LEFT JOIN def_mv dm2 ON fd1.season = dm2.season AND fd1.posteam = dm2.defteam AND fd1.week = dm2.week
+LEFT JOIN ctx ON fd1.game_id = ctx.game_id AND fd1.posteam = ctx.posteam
 WHERE fd1.season > DATE '{FIRST_SEASON}' AND {excl}"""
     return with_(*ctes) + sel
 
