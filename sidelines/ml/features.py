@@ -12,17 +12,28 @@ from sidelines.operators.windows import global_row_number
 
 __all__ = ["FEATURE_SETS", "stratified_folds"]
 
-# Named predictor sets of the kicker model (M1), in the modelling table's
-# column names.  "full" adds full-season team rates, which see the game being
-# predicted (kept as the labelled leaky alternative, like the source);
-# "with_final_score" adds in-game kick counts (outcome information).
-_STD = ["fg_pct_mv", "xp_pct_mv", "max_dist_mv", "max_made_dist_mv", "szn_kkr_mean_pts", "szn_def_kkr_mean_pts",
-        "off_epa_ma", "def_epa_ma", "def_off_epa_ma", "pos_def_epa_ma"]
+# Named predictor sets of the kicker model (M1), in the modelling table's column
+# names (fixed values; ``season_num`` counts seasons).  "full" has full-season rates, which see the
+# game being predicted (kept as the labelled leaky alternative, like the
+# source); "with_final_score" has the score, outcome information.
+_ODDS = ["pos_imptot", "def_imptot", "pos_imptotdiff"]
+_PLACE = ["szn_def_kkr_mean_pts", "szn_kkr_mean_pts", "roof_closed", "roof_dome", "roof_open", "wind_weather", "precipitation_unknown",
+          "precipitation_yes"]
+_KICKER_MA = ["week", "season_num", "max_dist_mv", "kicker_home", "fg_pct_mv", "xp_pct_mv"]
 FEATURE_SETS = {
-    "season_to_date": _STD,
-    "small": ["fg_pct_mv", "szn_kkr_mean_pts", "szn_def_kkr_mean_pts"],
-    "full": _STD + ["off_epa", "def_epa", "def_off_epa", "pos_def_epa"],
-    "with_final_score": _STD + ["fg_atts", "xp_atts"],
+    "season_to_date": _ODDS + _KICKER_MA + [
+        "off_epa_ma", "off_rz_epa_ma", "off_pz_epa_ma", "off_rush_epa_ma", "off_pass_epa_ma",
+        "def_epa_ma", "def_rz_epa_ma", "def_pz_epa_ma", "def_rush_epa_ma", "def_pass_epa_ma",
+        "pos_def_epa_ma", "def_off_epa_ma",
+        "off_success_rate_ma", "def_success_rate_ma", "pos_def_success_rate_ma", "def_off_success_rate_ma",
+        "big_play_20_rate_ma", "neg_play_5_rate_ma", "fourth_down_try_rate_ma"] + _PLACE,
+    "small": _ODDS[:2] + _KICKER_MA + ["fourth_down_try_rate_ma"] + _PLACE,
+    "full": _ODDS + ["week", "season_num", "kicker_szn_max_dist", "kicker_home", "kicker_szn_fg_pct", "kicker_szn_xp_pct",
+                     "off_epa", "off_rz_epa", "off_pz_epa", "off_rush_epa", "off_pass_epa",
+                     "def_epa", "def_rz_epa", "def_pz_epa", "def_rush_epa", "def_pass_epa",
+                     "big_play_20_rate", "neg_play_5_rate", "fourth_down_try_rate",
+                     "off_success_rate", "def_success_rate", "pos_def_success_rate", "def_off_success_rate"] + _PLACE,
+    "with_final_score": ["pos_score", "def_score"] + _KICKER_MA + ["fourth_down_try_rate_ma"] + _PLACE,
 }
 
 

@@ -9,6 +9,7 @@ the coordinate descent runs on those small matrices.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,19 +27,22 @@ def penalty_path(lo: float = -2, hi: float = -0.5, n: int = 20) -> list[float]:
 
 
 def oof_predictions(df: DataFrame, fold_col: str, members: Mapping[str, Callable], key: Sequence[str],
-                    n_folds: int) -> DataFrame:
+                    n_folds: int, parallelism: int = 4) -> DataFrame:
     """Out-of-fold predictions: member ``fit(train_df)`` returns a model whose
-    ``transform`` adds ``prediction``.  Returns wide (key, fold, truth cols...,
-    one column per member)."""
-    parts = []
-    for f in range(n_folds):
+    ``transform`` adds ``prediction``.  Returns wide (key, fold, one column per member).
+
+    The fits (members x folds) run ``parallelism`` at a time; predictions are
+    stacked by row and pivoted once, so the plan does not grow by a join per fit."""
+    def one(job) -> DataFrame:
+        name, f = job
         train, hold = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        cols = None
-        for name, fit in members.items():
-            pred = fit(train).transform(hold).select(*key, F.col("prediction").alias(name))
-            cols = pred if cols is None else cols.join(pred, list(key))
-        parts.append(cols.withColumn(fold_col, F.lit(f)))
-    return append(*parts)
+        return members[name](train).transform(hold).select(*key, F.lit(f).alias(fold_col), F.lit(name).alias("_member"),
+                                                           F.col("prediction").cast("double").alias("_p"))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(one, [(name, f) for name in members for f in range(n_folds)]))
+    long = append(*parts)
+    return long.groupBy(*key, fold_col).agg(*[F.max(F.when(F.col("_member") == name, F.col("_p"))).alias(name) for name in members])
 
 
 def _nn_lasso(Sxx: np.ndarray, Sxy: np.ndarray, n: float, lam: float, iters: int = 500) -> np.ndarray:

@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sidelines.ml.bayes import bayes_search, results_frame
 from sidelines.ml.features import FEATURE_SETS, stratified_folds
-from sidelines.ml.gramcv import RESULT, cross_validate
+from sidelines.ml.gramcv import RESULT, cross_validate, fit_linear
 from sidelines.ml.importance import coefficient_importance, permutation_importance, permute_column
 from sidelines.ml.knn import first_neighbours, knn_regression, knn_state, weighted_mean
 from sidelines.ml.metrics import compare_models, fold_summary, regression_metrics, univariate_table
@@ -17,7 +18,8 @@ from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt,
 from sidelines.ml.recipe import corr_matrix, gram_matrix, recipe, spline_basis, zero_variance
 from sidelines.ml.smoother import local_smooth, loess, penalised_spline
 from sidelines.ml.stack import StackModel, fit_stack, oof_predictions, penalty_path
-from sidelines.ml.tune import tune
+from sidelines.ml.svr import fit_svr, svr_folds
+from sidelines.ml.tune import latin_hypercube
 from sidelines.operators.aggregates import scalar
 from sidelines.operators.joins import enrich
 from sidelines.operators.reshape import append
@@ -41,16 +43,17 @@ def model_frame(spark, sf):
     from sidelines.plans.q_team import FIRST_SEASON, LAST_DAYS
     fd = final_data(plays(spark, sf), MIN_GAMES, MIN_ATTEMPTS, first_season=FIRST_SEASON,
                     exclude_weeks=[(w, c()) for w, _, c in LAST_DAYS], parity=True)
+    fd = fd.withColumn("season_num", F.expr(f"datediff(season, DATE '{FIRST_SEASON}') div 7"))
     feats = sorted({c for v in FEATURE_SETS.values() for c in v})
     frame = fd.withColumns({c: F.col(c).cast("double") for c in feats})
     frame = frame.withColumn(LABEL, F.col("total_points").cast("double")) \
                  .withColumn("split", F.when(F.col("season") < F.lit(TEST_FROM).cast("date"), "train").otherwise("test"))
-    # iterative fits re-read their input many times: materialise it once in the
+    frame = cut_lineage(frame.select(*KEY, *KICKER_KEYS, *feats, LABEL, "fpts_site", "split"))
+    # NULL features -> mean over the training rows (0 where a column has none): one row of as many numbers as features
+    means = frame.where("split = 'train'").agg(*[F.avg(c).alias(c) for c in feats]).first()
+    # iterative fits re-read their input many times: materialise it imputed, in the
     # shared checkpoint folder (reliable, survives executor loss)
-    frame = cut_lineage(frame.select(*KEY, *KICKER_KEYS, *feats, LABEL, "split"))
-    # NULL features -> mean over the training rows: one struct-valued scalar subquery, reused
-    means = frame.where("split = 'train'").agg(F.struct(*[F.avg(c).alias(c) for c in feats]).alias("m")).scalar()
-    return frame.withColumns({c: F.coalesce(F.col(c), means[c]) for c in feats})
+    return cut_lineage(frame.withColumns({c: F.coalesce(F.col(c), F.lit(float(means[c] or 0.0))) for c in feats}))
 
 
 def split(frame):
@@ -213,6 +216,34 @@ def q_metrics_table(spark, sf):
     return finish(m.select("split", "model", "rmse", "mae", "rsq"))
 
 
+def _baseline_sql():
+    from sidelines.plans.q_team import _final_sql
+    head, body = _final_sql().rsplit("\nSELECT fd1.season, fd1.game_id,", 1)
+    fr = f"""{head}
+, fdx AS (SELECT fd1.season, fd1.game_id,{body}),
+fr AS (SELECT *, CASE WHEN season < DATE '{TEST_FROM}' THEN 'train' ELSE 'test' END AS split FROM fdx)"""
+    return fr + "\n" + " UNION ALL ".join(f"""
+SELECT split, '{m}' AS model, round(sqrt(avg(({m} - total_points) ** 2)), 6) AS rmse, round(avg(abs({m} - total_points)), 6) AS mae,
+       round(CASE WHEN isnan(corr({m}, total_points)) THEN NULL ELSE corr({m}, total_points) ** 2 END, 6) AS rsq FROM fr GROUP BY split""" for m in BASELINES)
+
+
+BASELINES = ["szn_kkr_mean_pts", "szn_def_kkr_mean_pts", "fpts_site"]
+
+
+@register("baseline_predictors", _baseline_sql())
+def q_baseline_predictors(spark, sf):
+    """Errors of the kicker's mean so far, of what the opponent has
+    allowed kickers so far, and of a published projection, on the modelling table."""
+    from sidelines.plans.final import final_data
+    from sidelines.plans.q_team import FIRST_SEASON, LAST_DAYS
+    fd = final_data(plays(spark, sf), MIN_GAMES, MIN_ATTEMPTS, first_season=FIRST_SEASON,
+                    exclude_weeks=[(w, c()) for w, _, c in LAST_DAYS], parity=True)
+    fr = fd.select("total_points", *BASELINES, F.when(F.col("season") < F.lit(TEST_FROM).cast("date"), "train").otherwise("test").alias("split"))
+    # both engines average means given to 6 places
+    fr = fr.withColumns({m: F.round(F.col(m) * 1e6) / 1e6 for m in BASELINES})
+    return finish(regression_metrics(fr, "total_points", BASELINES, keys=["split"]))
+
+
 @register("model_comparison", MODEL_SQL + """
 SELECT model, round(max(rmse) FILTER (WHERE split = 'train'), 6) AS rmse_train,
        round(max(rmse) FILTER (WHERE split = 'test'), 6) AS rmse_test,
@@ -380,30 +411,42 @@ def q_rff_svr(spark, sf):
 def q_bagged_mlp(spark, sf):
     """Bagged MLP (Poisson bootstrap weights, distributed full-batch Adam)."""
     tr, te = split(model_frame(spark, sf))
-    m = fit_bagged_mlp(tr, FEATS, LABEL, hidden=6, bags=5, epochs=25, key=KEY)
+    m = fit_bagged_mlp(tr, FEATS, LABEL, hidden=6, bags=10, epochs=25, key=KEY)
     return finish(regression_metrics(m.transform(te, "bagged_mlp"), LABEL, ["bagged_mlp"]))
 
 
+@register("svr")
+def q_svr(spark, sf):
+    """Epsilon-insensitive RBF regression on landmark features; test errors and the share of rows inside the tube."""
+    tr, te = split(model_frame(spark, sf))
+    m = fit_svr(tr, FEATS, LABEL, cost=1.0, iterations=40)
+    return finish(_test_metrics(m, te, "svr").withColumn("inside", F.lit(m.inside)))
+
+
+#: Member families of the stack (M18): name -> fit(train).
+MEMBERS = {
+    "enet": lambda d: fit_linear(d, FEATS, LABEL, 0.01, 0.5),
+    "lasso": lambda d: fit_linear(d, FEATS, LABEL, 0.05, 1.0),
+    "svr": lambda d: fit_svr(d, FEATS, LABEL, cost=0.5, iterations=20),
+    "forest": lambda d: fit_forest(d, FEATS, LABEL, trees=30, min_n=5),
+    "gbt": lambda d: fit_gbt(d, FEATS, LABEL, trees=20, tree_depth=3),
+}
+
+
 @register("stack")
 def q_stack(spark, sf):
-    """M18 + M19 + X19: out-of-fold predictions of three members blended by a
-    non-negative lasso over a 20-penalty path; member and blend test RMSE."""
-    fr = model_frame(spark, sf)
-    tr, te = split(fr)
-    tr = stratified_folds(tr, "season", 5, KEY)
-    members = {
-        "enet": lambda d: fit_enet(d, FEATS, LABEL, 0.01, 0.5),
-        "lasso": lambda d: fit_lasso(d, FEATS, LABEL, 0.05),
-        "gbt": lambda d: fit_gbt(d, FEATS, LABEL, trees=20, tree_depth=3),
-    }
-    oof = oof_predictions(tr, "fold", members, [*KEY, LABEL], 5)
-    st = fit_stack(oof, list(members), LABEL, penalty_path(-3, -0.5, 20))
-    full = {n: f(tr) for n, f in members.items()}
+    """M18 + M19 + X19: out-of-fold predictions of five member families over
+    ten folds blended by a non-negative lasso over a 20-penalty path; member
+    and blend test RMSE."""
+    tr, te = split(model_frame(spark, sf))
+    tr = cut_lineage(stratified_folds(tr, "season", 10, KEY))
+    oof = cut_lineage(oof_predictions(tr, "fold", MEMBERS, KEY, 10).join(tr.select(*KEY, LABEL), KEY))
+    st = fit_stack(oof, list(MEMBERS), LABEL, penalty_path(-3, -0.5, 20))
     scored = te.select(*KEY, LABEL)
-    for n, m in full.items():
-        scored = scored.join(m.transform(te).select(*KEY, F.col("prediction").alias(n)), KEY)
+    for n, fit in MEMBERS.items():
+        scored = scored.join(fit(tr).transform(te).select(*KEY, F.col("prediction").alias(n)), KEY)
     blended = st.transform(scored, "stack")
-    return finish(regression_metrics(blended, LABEL, [*members, "stack"]))
+    return finish(regression_metrics(blended, LABEL, [*MEMBERS, "stack"]))
 
 
 @register("permutation_importance")
@@ -414,17 +457,42 @@ def q_permutation_importance(spark, sf):
     return finish(permutation_importance(m.transform, tr, FEATS, LABEL, KEY, seed=42))
 
 
+def _linear_search(spark, sf, space, mixture=None):
+    tr, _ = split(model_frame(spark, sf))
+    tr = stratified_folds(tr, "season", 10, KEY)
+    grid = [(c["penalty"], c.get("mixture", mixture)) for c in latin_hypercube(space, 15, 42)]
+    kept = recipe(tr, FEATS, corr=0.9, lincomb=True).columns                  # M3-M5
+    _, res = cross_validate(tr, kept, LABEL, "fold", grid)
+    by = fold_summary(spark.createDataFrame(res, RESULT), ["config", "penalty", "mixture"])
+    return finish(by)
+
+
 @register("tuning")
 def q_tuning(spark, sf):
-    """M10 + M26: Latin-hypercube search of the elastic net over 5
-    stratified folds; mean and standard error per configuration."""
-    from pyspark.ml.regression import LinearRegression
+    """M10 + M12 + M26: Latin-hypercube search of the elastic net, 15 settings
+    over 10 stratified folds from one scan; mean and standard error per setting."""
+    return _linear_search(spark, sf, {"penalty": (1e-4, 1.0, "log"), "mixture": (0.05, 1.0, "lin")})
+
+
+@register("tuning_lasso")
+def q_tuning_lasso(spark, sf):
+    """M10 + M13 + M26: 15 penalties of the model the source calls ridge (mixture 1) over 10 folds."""
+    return _linear_search(spark, sf, {"penalty": (1e-4, 1.0, "log")}, 1.0)
 
+
+@register("tuning_bayes")
+def q_tuning_bayes(spark, sf):
+    """M10 + M15 + M26: cost and sigma of the RBF machine, 10 first settings and
+    20 proposed by expected improvement, over 10 folds; a batch's machines learn in shared scans."""
     tr, _ = split(model_frame(spark, sf))
-    tr = stratified_folds(tr, "season", 5, KEY)
-    _, res = tune(LinearRegression(maxIter=100), {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": (0.0, 1.0, "lin")},
-                  tr, FEATS, LABEL, "fold", n=8, seed=42, parallelism=4)
-    return finish(res)
+    tr = cut_lineage(stratified_folds(tr, "season", 10, KEY))
+    space = {"cost": (2.0 ** -10, 2.0 ** 5, "log"), "sigma": (1e-4, 1.0, "log")}
+
+    def evaluate(settings):
+        return svr_folds(tr, FEATS, LABEL, [(c["cost"], c["sigma"]) for c in settings], "fold", landmarks=32, iterations=15)
+
+    _, records = bayes_search(space, evaluate, initial=10, iterations=20, batch=10)
+    return finish(results_frame(spark, space, records))
 
 
 @register("score_with_model")
