@@ -117,8 +117,11 @@ def mix(docs: DataFrame, keys: Mapping[str, Column], weights: Sequence[Mapping[s
     return whole.unionByName(prefix)
 
 
-#: Targets of the query (and of the pipeline): four domains alike, languages and sources alike.
-WEIGHTS: tuple[dict, ...] = ({}, {}, {})
+#: Target weights of domains, languages and sources.  domain2 is to have more than it can hold, so its shortage goes to the others.
+DOMAINS = {"domain0": 1, "domain1": 2, "domain2": 30, "domain3": 3}
+#: Targets of the pipeline, which keeps every language, and of the query, which leaves one out.
+WEIGHTS: tuple[dict, ...] = (DOMAINS, {"en": 4, "de": 2}, {})
+TARGETS: tuple[dict, ...] = (DOMAINS, {"en": 4, "de": 2, "es": 0}, {"src1": 5})
 SEED, BUDGET, EPOCHS = 7, (9, 10), 2
 
 
@@ -129,21 +132,28 @@ def corpus_keys() -> dict[str, Column]:
     return {"domain": domain, "language": F.col("lang"), "origin": F.col("source")}
 
 
-def _level_sql(name: str, src: str, parents: list[str], key: str) -> str:
+def _weight_sql(key: str, weights: Mapping[str, int]) -> str:
+    cases = "".join(f" WHEN '{k}' THEN {w}" for k, w in weights.items())
+    return f"CASE {key}{cases} ELSE 1 END" if cases else "1"
+
+
+def _level_sql(name: str, src: str, parents: list[str], key: str, weights: Mapping[str, int]) -> str:
     p = ", ".join(parents)
     over = f"PARTITION BY {p}" if parents else ""
     by = ", ".join([*parents, key])
     on = "".join(f" AND s.{x} = l.{x}" for x in parents)
     return f"""
-{name}_n AS (SELECT {by}, sum(tokens) * {EPOCHS} AS c, min(budget) AS b FROM {src} GROUP BY {by}),
-{name}_o AS (SELECT *, coalesce(sum(c) OVER ({over} ORDER BY CAST(c AS DOUBLE), {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb,
-    count(*) OVER ({over}) - row_number() OVER ({over} ORDER BY CAST(c AS DOUBLE), {key}) + 1 AS wr FROM {name}_n),
-{name}_f AS (SELECT *, c * wr <= b - cb AS fl FROM {name}_o),
-{name}_s AS (SELECT *, CASE WHEN fl THEN c ELSE (b - sum(CASE WHEN fl THEN c ELSE 0 END) OVER ({over}))
-    // greatest(1, sum(CASE WHEN fl THEN 0 ELSE 1 END) OVER ({over})) END AS share FROM {name}_f),
+{name}_n AS (SELECT {by}, {_weight_sql(key, weights)} AS w, sum(cap) AS c0, min(budget) AS b FROM {src} GROUP BY {by}),
+{name}_c AS (SELECT *, CASE WHEN w > 0 THEN c0 ELSE 0 END AS c, CASE WHEN w > 0 THEN CAST(c0 AS DOUBLE) / w ELSE 0 END AS r FROM {name}_n),
+{name}_o AS (SELECT *, coalesce(sum(c) OVER ({over} ORDER BY r, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb,
+    sum(w) OVER ({over}) - coalesce(sum(w) OVER ({over} ORDER BY r, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wr FROM {name}_c),
+{name}_f AS (SELECT *, c * wr <= (b - cb) * w AS fl FROM {name}_o),
+{name}_s AS (SELECT *, CASE WHEN fl THEN c ELSE (b - sum(CASE WHEN fl THEN c ELSE 0 END) OVER ({over})) * w
+    // greatest(1, sum(CASE WHEN fl THEN 0 ELSE w END) OVER ({over})) END AS share FROM {name}_f),
 {name} AS (SELECT l.* EXCLUDE (budget), s.share AS budget FROM {src} l JOIN {name}_s s ON s.{key} = l.{key}{on}),"""
 
 
+_WANTED = " AND ".join(f"{_weight_sql(k, w)} > 0" for k, w in zip(("domain", "language", "origin"), TARGETS))
 ORACLE = rf"""
 WITH rows AS (
   SELECT doc_id, CASE WHEN regexp_matches(source, '\d+$') THEN 'domain' || (CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 4) ELSE '<null>' END AS domain,
@@ -152,8 +162,10 @@ WITH rows AS (
   FROM documents),
 used AS (SELECT * FROM rows WHERE tokens > 0),
 leaf AS (SELECT domain, language, origin, CAST(sum(tokens) AS BIGINT) AS tokens FROM used GROUP BY ALL),
-l0 AS (SELECT *, CAST(sum(tokens) OVER () AS BIGINT) * {BUDGET[0]} // {BUDGET[1]} AS budget FROM leaf),
-{_level_sql('l1', 'l0', [], 'domain')}{_level_sql('l2', 'l1', ['domain'], 'language')}{_level_sql('l3', 'l2', ['domain', 'language'], 'origin')}
+l0 AS (SELECT *, CASE WHEN {_WANTED} THEN tokens * {EPOCHS} ELSE 0 END AS cap,
+              CAST(sum(tokens) OVER () AS BIGINT) * {BUDGET[0]} // {BUDGET[1]} AS budget FROM leaf),
+{_level_sql('l1', 'l0', [], 'domain', TARGETS[0])}{_level_sql('l2', 'l1', ['domain'], 'language', TARGETS[1])}
+{_level_sql('l3', 'l2', ['domain', 'language'], 'origin', TARGETS[2])}
 plan AS (SELECT domain, language, origin, budget // tokens AS whole, budget % tokens AS part FROM l3),
 placed AS (SELECT u.*, p.whole, p.part FROM used u JOIN plan p USING (domain, language, origin)),
 cut AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, origin
@@ -167,4 +179,4 @@ SELECT doc_id, domain, language, origin, tokens, CAST(whole AS BIGINT) AS epoch
 @register("op10_source_mixing", ORACLE)
 def op10_source_mixing(spark, sf_dir):
     """Documents (with epochs) that the domain-language-source budget selects."""
-    return mix(table(spark, sf_dir, "documents"), corpus_keys(), WEIGHTS, *BUDGET, max_epochs=EPOCHS, seed=SEED).withColumnRenamed("id", "doc_id")
+    return mix(table(spark, sf_dir, "documents"), corpus_keys(), TARGETS, *BUDGET, max_epochs=EPOCHS, seed=SEED).withColumnRenamed("id", "doc_id")

@@ -157,12 +157,19 @@ class Model:
     sums: dict            # order -> their sums, like those in the files
 
 
+#: Least distance of a discount D(k) from 0 and from k.
+EDGE = 0.01
+
+
 def _discounts(n: list[float]) -> np.ndarray:
-    """D(1), D(2), D(3+) from the numbers of n-grams that occur once, twice, three and four times."""
+    """D(1), D(2), D(3+) from the numbers of n-grams that occur once, twice, three and four times.
+
+    The estimate of D(k) can leave (0, k) in small or odd corpora; a discount of 0 would give unseen words no
+    probability at all, one of k would give seen ones none of their own.  It is kept ``EDGE`` inside."""
     n1, n2, n3, n4 = (max(float(x), 0.0) for x in n)
     y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 > 0 else 0.5
     d = [k - (k + 1) * y * b / a if a > 0 else k * 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.array([0.0] + [min(max(x, 0.0), float(k)) for k, x in enumerate(d, 1)])
+    return np.array([0.0] + [min(max(x, EDGE), k - EDGE) for k, x in enumerate(d, 1)])
 
 
 def heavy_contexts(docs: DataFrame, text_col: str, order: int, share: int) -> dict[int, np.ndarray]:
@@ -194,7 +201,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
     """Count ``docs`` and write the model's files; returns where they are."""
     uri = files.new_folder(docs.sparkSession, "ngram_lm")
     buckets = buckets or max(8, 2 * docs.rdd.getNumPartitions())
-    heavy = heavy_contexts(docs, text_col, order, min(4 * buckets, 2048))
+    heavy = heavy_contexts(docs, text_col, order, 4 * buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -248,12 +255,29 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
     level = docs.select(text_col).mapInArrow(count, BLOBS)
     for n in range(order, 0, -1):
         level = level.groupBy("bucket").applyInArrow(merged(n), BLOBS)
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for contexts, last, vals in zip(*(b.column(c).to_pylist() for c in ("contexts", "last", "vals"))):
+                n, *counts = np.frombuffer(vals, np.int64).tolist()
+                h, v = np.frombuffer(contexts, np.int64), np.frombuffer(last, np.int64).reshape(-1, 4)
+                # the counts of the order stand under places 0 to 5, the sums of its frequent contexts under their hashes
+                what = np.concatenate([np.zeros(len(counts), np.int32), np.ones(len(h), np.int32)])
+                vs = np.concatenate([np.array([[c, 0, 0, 0] for c in counts], np.int64), v])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(what), n, np.int32)), pa.array(what),
+                                                  pa.array(np.concatenate([np.arange(len(counts)), h])), *[pa.array(vs[:, k].copy()) for k in range(4)]],
+                                                 names=["n", "what", "h", *(f"s{k}" for k in range(4))])
+
+    ddl = "n int, what int, h bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    found = (level.select("contexts", "last", "vals").mapInArrow(facts, ddl).groupBy("n", "what", "h")
+             .agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(4)]).collect())          # as many rows as frequent contexts
     seen = {n: np.zeros(6, np.int64) for n in range(1, order + 1)}
     sums = {n: np.zeros((len(heavy[n]), 4), np.int64) for n in range(1, order + 1)}
-    for r in level.select("contexts", "last", "vals").toLocalIterator():
-        n, *counts = np.frombuffer(r["vals"], np.int64).tolist()
-        seen[n] += np.array(counts)
-        np.add.at(sums[n], np.searchsorted(heavy[n], np.frombuffer(r["contexts"], U64)), np.frombuffer(r["last"], np.int64).reshape(-1, 4))
+    for r in found:
+        if r["what"] == 0:
+            seen[r["n"]][r["h"]] = r["s0"]
+        else:
+            at = np.searchsorted(heavy[r["n"]], np.array([r["h"]], np.int64).view(U64))[0]
+            sums[r["n"]][at] = [r[f"s{k}"] for k in range(4)]
     return Model(uri, order, buckets, int(seen[1][4]), int(seen[1][5]), {n: _discounts(x[:4].tolist()) for n, x in seen.items()}, heavy, sums)
 
 

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ class Brute:
             n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
             y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
             d = [k - (k + 1) * y * b / a if a else k * 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-            self.d[n] = [0] + [min(max(x, 0), k) for k, x in enumerate(d, 1)]
+            self.d[n] = [0] + [min(max(x, ngram_lm.EDGE), k - ngram_lm.EDGE) for k, x in enumerate(d, 1)]      # inside (0, k)
             self.ctx[n] = defaultdict(list)
             for g, v in c.items():
                 self.ctx[n][g[:-1]].append(v)
@@ -89,3 +90,14 @@ def test_query_depends_on_two_words_before(spark):
     model = ngram_lm.train(docs.filter(~F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))), order=3)
     want = {r["id"]: r["score"] for r in ngram_lm.score(docs, model).collect()}
     assert out.keys() == want.keys() and all(abs(out[d] - want[d]) < 1e-6 for d in want)
+
+
+def test_unseen_words_keep_a_probability(spark):
+    """More n-grams stand four times than three times: the estimate of a discount is below 0."""
+    texts = ["a b"] * 3 + ["c d"] * 4 + ["e f"] * 4 + ["g h"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "doc_id long, text string")
+    for order in (2, 3):
+        model = train(docs, order=order, buckets=2)
+        assert all(0 < d < k for x in model.discounts.values() for k, d in enumerate(x.tolist()[1:], 1))
+        got = {r["id"]: r for r in score(spark.createDataFrame([(1, "a f"), (2, "zz yy"), (3, "a b")], "doc_id long, text string"), model).collect()}
+        assert all(np.isfinite(r["score"]) and r["perplexity"] < 1e6 for r in got.values()) and got[3]["score"] > got[1]["score"]
