@@ -2,14 +2,16 @@
 
 Training counts, for each language, hashed byte trigrams of words (A-Z in lower
 case, word borders as blanks) and the scripts of words, over all labelled
-rows; Spark sums the counts, at most languages x (2**16 + 16) of them, which is
+rows; Spark sums the counts, at most languages x (2**16 + 32) of them, which is
 what the driver reads.
 
-Prediction: a word's script (by ranges of UTF-8 lead bytes) rules out the
-languages that do not use it; the others score the word by the log
-probability of its trigrams.  Viterbi over the words, with a penalty for every
+Prediction: a word's script, by ranges of code points, names the candidates, the
+languages that use it.  Only they score the word, by the log
+probability of its trigrams; the others stand ``FAR`` below the worst of them.  Viterbi over the words, with a penalty for every
 switch, labels spans; it advances all documents of a batch by one word at a
-time.  The document's language is the one with most letters; its score is that
+time.  Words are scored and labelled in groups of a bounded number of (letter, candidate) and (word,
+language) pairs, so memory does not grow with the number of languages, but for a
+single text's words.  The document's language is the one with most letters; its score is that
 language's share of the letters.
 
 Defined results: a NULL text, or one without a letter, is ``und`` with score 0;
@@ -33,22 +35,39 @@ from sidelines.llm.catalog import register
 from sidelines.llm.common import crc_mod, table
 
 GRAMS = 1 << 16
-SCRIPTS = 16
-#: Words that are labelled together: bounds a task's memory.
-GROUP_WORDS = 2_000_000
-
-
-def _script_table() -> np.ndarray:
-    """Script class of a lead byte (fixed ranges); 0: ASCII or inside a letter."""
-    t = np.zeros(256, np.uint8)
-    for lo, hi, k in ((0xC3, 0xC9, 1), (0xCA, 0xCD, 2), (0xCE, 0xCF, 3), (0xD0, 0xD4, 4), (0xD5, 0xD5, 5), (0xD6, 0xD7, 6),
-                      (0xD8, 0xDB, 7), (0xDC, 0xDF, 8), (0xE0, 0xE0, 9), (0xE1, 0xE1, 10), (0xE3, 0xE3, 11), (0xE4, 0xE9, 12),
-                      (0xEA, 0xED, 13), (0xEE, 0xEF, 14), (0xF0, 0xF4, 15)):
-        t[lo:hi + 1] = k
-    return t
+SCRIPTS = 32
+#: Pairs of words and languages that are labelled together, and of letters and candidates that are scored together.
+GROUP_CELLS, SCORE_CELLS = 8_000_000, 1 << 22
+#: Log probability by which a language that does not use a word's script is behind.
+FAR = 50.0
+
+
+#: Where scripts begin among code points, and their classes (fixed values); 0: plain Latin letters, and signs of no script.
+_RANGES = ((0x0, 0), (0xC0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x750, 6), (0x780, 0), (0x900, 7), (0x980, 8),
+           (0xA00, 9), (0xA80, 10), (0xB00, 11), (0xB80, 12), (0xC00, 13), (0xC80, 14), (0xD00, 15), (0xD80, 16), (0xE00, 17), (0xE80, 18),
+           (0xF00, 19), (0x1000, 20), (0x10A0, 21), (0x1100, 22), (0x1200, 23), (0x13A0, 0), (0x1780, 24), (0x1800, 0), (0x1E00, 1), (0x1F00, 2),
+           (0x2000, 0), (0x2E80, 25), (0x3040, 26), (0x3100, 25), (0x3130, 22), (0x3190, 25), (0x31F0, 26), (0x3200, 25), (0xA000, 0), (0xAC00, 22),
+           (0xD7B0, 0), (0xF900, 25), (0xFB00, 0), (0x20000, 25), (0x323B0, 0))
+_BEGINS, _CLASS = (np.array(c) for c in zip(*_RANGES))
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the letters whose first bytes stand at ``at`` (well-formed UTF-8)."""
+    b = data[at].astype(np.int64)
+    more = [(data[np.minimum(at + k, len(data) - 1)] & 0x3F).astype(np.int64) for k in (1, 2, 3)]
+    two, three = (b & 0x1F) << 6 | more[0], (b & 0x0F) << 12 | more[0] << 6 | more[1]
+    four = (b & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+    return np.where(b < 0x80, b, np.where(b < 0xE0, two, np.where(b < 0xF0, three, four)))
+
+
+def scripts_of(data: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Script class of every byte of ``letters``; 0 for the later bytes of a letter."""
+    out = np.zeros(len(letters), np.uint8)
+    lead = np.flatnonzero(data[letters] >= 0xC0)
+    out[lead] = _CLASS[np.searchsorted(_BEGINS, code_points(data, letters[lead]), "right") - 1]
+    return out
 
 
-SCRIPT = _script_table()
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 NORMAL = np.where(LETTER, A.LOWER, 0x20).astype(np.uint32)
@@ -66,7 +85,7 @@ def _grams(data: np.ndarray, off: np.ndarray):
     code = (before[letters] << np.uint32(16)) | (b[letters] << np.uint32(8)) | after[letters]
     gram = (code * np.uint32(2654435761)) >> np.uint32(16)
     length = end - start
-    script = np.maximum.reduceat(SCRIPT[data[letters]], np.cumsum(length) - length) if len(length) else np.zeros(0, np.uint8)
+    script = np.maximum.reduceat(scripts_of(data, letters), np.cumsum(length) - length) if len(length) else np.zeros(0, np.uint8)
     return doc, length, script, gram
 
 
@@ -107,6 +126,27 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return langs, score, used
 
 
+def word_scores(gram: np.ndarray, length: np.ndarray, script: np.ndarray, score: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """[words, languages]: candidates by their trigrams, the others ``FAR`` below the worst candidate."""
+    out = np.empty((len(length), score.shape[1]), np.float32)
+    begin = np.cumsum(length) - length
+    for kind in np.unique(script):
+        of, cand = np.flatnonzero(script == kind), np.flatnonzero(used[kind])
+        size = length[of]
+        cut = np.cumsum(size) // max(1, SCORE_CELLS // len(cand))
+        for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(cut)) + 1):
+            w, n = of[part], size[part]
+            first = np.cumsum(n) - n
+            seen = gram[np.repeat(begin[w] - first, n) + np.arange(n.sum())]
+            s = np.add.reduceat(score[seen] if len(cand) == score.shape[1] else score[seen[:, None], cand], first, axis=0)
+            if len(cand) < score.shape[1]:
+                out[w] = s.min(1, keepdims=True) - np.float32(FAR)
+                out[w[:, None], cand] = s
+            else:
+                out[w] = s
+    return out
+
+
 def viterbi(score: np.ndarray, length: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of every word.  ``score``: words x labels, document after document of ``length`` words."""
     n, k = score.shape
@@ -165,17 +205,14 @@ def _label(texts: pa.Array, langs: list[str], score: np.ndarray, used: np.ndarra
     for _, data, off in A.slices(texts):
         doc, length, script, gram = _grams(data, off)
         if len(length):
-            at = np.cumsum(length) - length
-            s = np.add.reduceat(score[gram], at, axis=0)
-            s[~used[script]] -= 50.0
             docs.append(doc + rows)
-            words.append(s)
+            words.append(word_scores(gram, length, script, score, used))
             lens.append(length)
             held += len(length)
         else:
             docs.append(doc), words.append(np.zeros((0, len(langs)), np.float32)), lens.append(length)
         rows += len(off) - 1
-        if held >= GROUP_WORDS:
+        if held * len(langs) >= GROUP_CELLS:
             yield from flush()
     yield from flush()
 

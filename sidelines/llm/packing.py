@@ -27,14 +27,7 @@ from sidelines.llm.catalog import register
 from sidelines.llm.common import n_words, table
 from sidelines.session import cut_lineage
 
-EXACT_TO, SLICES = 4096, 1024
-
-
-def histogram_key(n: Column) -> Column:
-    """``n`` itself up to 4096, else ``n`` rounded up to 12 significant bits (``pack`` uses exact lengths)."""
-    bits = F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double") + 0.5)) - 11
-    unit = F.pow(F.lit(2.0), F.greatest(bits, F.lit(0)))
-    return F.when(n <= EXACT_TO, n).otherwise(F.ceil(n / unit) * unit).cast("bigint")
+SLICES = 1024
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:

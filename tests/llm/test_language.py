@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
+from sidelines.llm import language as L
 from sidelines.llm.language import corpus_model, held_out, identify, train, viterbi
 
 
@@ -40,3 +41,61 @@ def test_held_out_accuracy(spark):
     out = identify(d, corpus_model(d)).withColumnRenamed("id", "doc_id").join(d.select("doc_id", "lang"), "doc_id").filter(held_out())
     n, ok = out.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert n > 150 and ok / n > 0.95
+
+
+def test_code_points_and_scripts():
+    text = "aZé ŵıκЖբאعहবਗગଓதతಕമසไລ\u0f40ကა한አខ漢かカ𠀀’–"
+    data = np.frombuffer(text.encode(), np.uint8)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    assert L.code_points(data, lead).tolist() == [ord(c) for c in text]
+    kind = L.scripts_of(data, np.arange(len(data)))
+    by = dict(zip(text, kind[lead].tolist()))
+    assert [by[c] for c in "aZ’–"] == [0] * 4 and by["é"] == by["ŵ"] == by["ı"] == 1 and by["漢"] == by["𠀀"] and by["か"] == by["カ"]
+    others = [by[c] for c in "éκЖբאعहবਗગଓதతಕമසไລ\u0f40ကა한አខ漢か"]
+    assert len(set(others)) == len(others) and kind[(data & 0xC0) == 0x80].max() == 0
+
+
+def test_only_candidates_score_words(monkeypatch):
+    rng = np.random.default_rng(4)
+    score = rng.normal(size=(L.GRAMS, 6)).astype(np.float32)
+    used = np.zeros((L.SCRIPTS, 6), bool)
+    used[0, :4], used[3, 4:], used[5] = True, True, True
+    length = rng.integers(1, 9, 500)
+    script, gram = rng.choice([0, 3, 5], 500), rng.integers(0, L.GRAMS, length.sum())
+    for cells in (1 << 22, 64):
+        monkeypatch.setattr(L, "SCORE_CELLS", cells)
+        got = L.word_scores(gram, length, script, score, used)
+        at = 0
+        for w, n in enumerate(length):
+            s = score[gram[at:at + n]].sum(0)
+            own = used[script[w]]
+            assert np.allclose(got[w, own], s[own], atol=1e-4) and np.allclose(got[w, ~own], s[own].min() - L.FAR, atol=1e-3)
+            at += n
+
+
+def test_two_hundred_languages_in_small_groups(spark, monkeypatch):
+    """Invented languages of ten letter pairs each, some in Cyrillic."""
+    rng = np.random.default_rng(2)
+    alphabet = {0: "abcdefghijklmnopqrstuvwxyz", 1: "абвгдежзиклмнопрстуфхц"}
+    rows, texts = [], []
+    for k in range(200):
+        letters = np.array(list(alphabet[k % 2]))
+        words = ["".join(rng.choice(letters, 6)) for _ in range(8)]
+        rows += [(" ".join(rng.choice(words, 60)), f"l{k:03}") for _ in range(3)]
+        texts.append((k, " ".join(rng.choice(words, 30))))
+    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    big = {r["id"]: (r["lang_pred"], r["spans"]) for r in identify(docs, model).collect()}
+    assert sum(big[k][0] == f"l{k:03}" for k in range(200)) >= 195
+    texts = __import__("pyarrow").array([t for _, t in texts])
+    monkeypatch.setattr(L, "GROUP_CELLS", 5000)
+    monkeypatch.setattr(L, "SCORE_CELLS", 5000)
+    assert [x[:1] + x[2:] for x in L._predict(texts, model, 12.0)] == [big[k] for k in range(200)]
+
+
+def test_ties_repeated_training_rows_and_long_texts(spark):
+    rows = [("uno dos tres", "b"), ("uno dos tres", "a")] * 2
+    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame([(1, "uno dos"), (2, "uno dos tres " * 60_000)], "doc_id long, text string")
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in identify(docs, model).collect()}
+    assert got == {1: ("a", 1.0), 2: ("a", 1.0)}

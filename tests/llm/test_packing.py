@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from sidelines.llm.packing import best_bounds, histogram_key, pack
+from sidelines.llm.packing import best_bounds, pack
 
 
 def padding(lengths, counts, bounds):
@@ -23,12 +23,6 @@ def test_bounds_are_optimal():
     assert best_bounds(np.array([]), np.array([]), 3) == []
 
 
-def test_histogram_key(spark):
-    n = [0, 1, 4096, 4097, 8191, 8192, 8193, 123457, 10**9 + 1]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(histogram_key(F.col("n"))).collect()]
-    assert got[:3] == n[:3] and all(x <= k <= x * (1 + 2 ** -11) + 1 for x, k in zip(n, got)) and got[3] == 4098
-
-
 def test_batches(spark):
     rows = [(i, " ".join(["w"] * (i % 37)), i) for i in range(2000)] + [(5, "w w w w w", 0)] * 3 + [(None, None, 0), (9999, "w " * 500, 0)]
     out = pack(spark.createDataFrame(rows, "doc_id long, text string, bound long"), budget=100, buckets=4).collect()
