@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from statistics import NormalDist
 
 import numpy as np
@@ -18,6 +19,7 @@ from sidelines.ml.models import (fit_bagged_mlp, fit_enet, fit_forest, fit_gbt,
 from sidelines.ml.recipe import corr_matrix, gram_matrix, recipe, spline_basis, zero_variance
 from sidelines.ml.smoother import local_smooth, loess, penalised_spline
 from sidelines.ml.stack import StackModel, fit_stack, oof_predictions, penalty_path
+from sidelines.ml.store import FittedStack, load_stack, save_stack
 from sidelines.ml.svr import fit_svr, svr_folds
 from sidelines.ml.tune import latin_hypercube
 from sidelines.operators.aggregates import scalar
@@ -25,7 +27,7 @@ from sidelines.operators.joins import enrich
 from sidelines.operators.reshape import append
 from sidelines.operators.windows import lagged_cum
 from sidelines.plans.catalog import finish, register
-from sidelines.session import cut_lineage
+from sidelines.session import checkpoint_dir, cut_lineage
 from sidelines.plans.kicker import KICKER_KEYS, kicker_games
 from sidelines.plans.q_plays import BASE, GAMES, MIN_ATTEMPTS, MIN_GAMES, plays, with_
 from sidelines.sources.io import table
@@ -321,6 +323,23 @@ def q_permuted_column(spark, sf):
     return finish(permute_column(o, "o_totalprice", ["o_orderkey"], 42))
 
 
+@register("saved_model_scores", """
+WITH t AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my, stddev_pop(l_quantity) AS s1, stddev_pop(l_discount) AS s2,
+             stddev_pop(l_extendedprice) AS sy, corr(l_quantity, l_discount) AS r, corr(l_quantity, l_extendedprice) AS g1,
+             corr(l_discount, l_extendedprice) AS g2 FROM lineitem),
+a AS (SELECT *, 1 + 500.0 / sy AS d FROM t),
+b AS (SELECT *, (d * g1 - r * g2) / (d * d - r * r) * sy / s1 AS b1, (d * g2 - r * g1) / (d * d - r * r) * sy / s2 AS b2 FROM a)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_quantity, 6) AS l_quantity,
+       round(my + b1 * (l_quantity - m1) + b2 * (l_discount - m2), 4) AS prediction FROM lineitem, b""")
+def q_saved_model_scores(spark, sf):
+    """S2 + M22: a ridge is fitted, written to a store, read back and scores all rows."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
+    path = f"{checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    save_stack(spark, path, FittedStack(None, {"ridge": fit_linear(li, ["l_quantity", "l_discount"], "l_extendedprice", 500.0)}, None))
+    out = load_stack(spark, path).transform(li).select("l_orderkey", "l_linenumber", "l_quantity", "prediction")
+    return finish(out).withColumn("prediction", F.round("prediction", 4))
+
+
 KNN_GRID = [(1, 3, "triangular"), (2, 5, "epanechnikov"), (3, 4, "inv"), (2, 7, "gaussian"), (1, 5, "rank"), (2, 4, "cos")]
 _KNN_SHAPE = {"triangular": "1 - w", "epanechnikov": "0.75 * (1 - w * w)", "inv": "1 / w", "rank": "6 - rn", "cos": "cos(w * pi() / 2)",
               "gaussian": f"exp(-0.5 * pow(w * {abs(NormalDist().inv_cdf(1 / 16))}, 2))"}
