@@ -310,8 +310,8 @@ def q_ridge_cv(spark, sf):
     fold's error from the folds' cross products of one scan."""
     li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 10).alias("fold"), "l_quantity", "l_discount", "l_extendedprice")
     _, res = cross_validate(li, ["l_quantity", "l_discount"], "l_extendedprice", "fold", [(x, 0.0) for x in RIDGE_PENALTIES])
-    out = finish(spark.createDataFrame(res, RESULT).select("penalty", "fold", "rmse", "rsq"))
-    return out.withColumn("rmse", F.round("rmse", 4))
+    out = spark.createDataFrame(res, RESULT).select("penalty", "fold", "rmse", "rsq")
+    return finish(out.withColumn("rmse", F.round(F.col("rmse") * 1e4) / 1e4))
 
 
 @register("permuted_column", """
@@ -337,7 +337,7 @@ def q_saved_model_scores(spark, sf):
     path = f"{checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
     save_stack(spark, path, FittedStack(None, {"ridge": fit_linear(li, ["l_quantity", "l_discount"], "l_extendedprice", 500.0)}, None))
     out = load_stack(spark, path).transform(li).select("l_orderkey", "l_linenumber", "l_quantity", "prediction")
-    return finish(out).withColumn("prediction", F.round("prediction", 4))
+    return finish(out.withColumn("prediction", F.round(F.col("prediction") * 1e4) / 1e4))
 
 
 KNN_GRID = [(1, 3, "triangular"), (2, 5, "epanechnikov"), (3, 4, "inv"), (2, 7, "gaussian"), (1, 5, "rank"), (2, 4, "cos")]

@@ -15,6 +15,8 @@ FAST = ["kicker_features", "points_rubric", "spine_densify", "fill_downup", "sea
         "season_range_load", "snapshot_load", "override_csv", "preamble_csv", "many_csv", "indexed_csv", "baseline_row",
         "rating_files", "power_sequence", "grid_timeouts", "grid_eras", "grid_roofs", "grid_home", "spline_basis", "fold_metrics",
         "blend_scoring", "gram_matrix", "event_window", "impact_summary", "group_id",
+        "running_raw", "fill_raw", "sparse_levels", "permuted_column", "correlation_matrix", "ridge_cv", "saved_model_scores",
+        "penalised_spline", "loess_span", "impact_band",
         "knn_regression", "metrics_table", "team_week_offense", "team_week_defense", "final_data"]
 
 
