@@ -90,3 +90,13 @@ def test_label_paste_na_and_names(spark):
     r = df.select(label("f", F.lit("-"), "n").alias("t"), initial_name("f", "l").alias("s"),
                   first_digits("p").alias("w")).first()
     assert (r["t"], r["s"], r["w"]) == ("Justin-NA", "J.Tucker", 12)
+
+
+def test_weather_text_is_searched_once_for_each_pattern(spark):
+    """The description is needed in several places of the precipitation class and of its dummies, its search is planned once."""
+    from sidelines.functions.text import NA_TEXT, PRECIP_MAYBE
+    from sidelines.plans.context import game_context
+    games = spark.createDataFrame([("2024-01-03", f"T{u}", f"T{u}") for u in range(40)], "game_id string, posteam string, home_team string")
+    plan = game_context(games)._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (WEATHER_DESC_PATTERN, WIND_PATTERN, NA_TEXT, PRECIP_MAYBE):
+        assert 1 <= plan.count(pattern) <= 2, (pattern, plan.count(pattern))
