@@ -83,3 +83,21 @@ def test_search_with_fits_and_result_table(spark):
     best, rec = bayes_search(space, evaluate, 3, 2, 2)
     t = results_frame(spark, space, rec)
     assert t.count() == 5 and t.agg(F.min("mean")).first()[0] == min(r["mean"] for r in rec) and best["penalty"] > 0
+
+
+def test_loss_and_gradient_come_from_the_kernel_values():
+    from sidelines.ml.svr import _kernel, _loss_and_slope, _whitened
+    rng = np.random.default_rng(3)
+    x, at, y, fold = rng.normal(size=(50, 4)), rng.normal(size=(6, 4)), rng.normal(size=50), np.arange(50) % 5
+    assert np.allclose(_kernel(x, at, 0.3), np.exp(-0.3 * ((x[:, None] - at[None]) ** 2).sum(2)))
+    k, to = _kernel(x, at, 0.3), _whitened(at, 0.3)
+    machines = [(rng.normal(size=to.shape[1] + 1), out) for out in (None, 2)]
+    got = _loss_and_slope(k, y, fold, to, machines, 0.1, 0.02)
+    for (theta, out), found in zip(machines, got):
+        use = np.ones(50, bool) if out is None else fold != out
+        z = (k @ to)[use]
+        r = z @ theta[:-1] + theta[-1] - y[use]
+        over = np.abs(r) - 0.1
+        loss = np.where(over <= 0, 0.0, np.where(over < 0.02, over * over / 0.04, over - 0.01))
+        slope = np.clip(over / 0.02, 0, 1) * np.sign(r)
+        assert np.allclose(found, np.concatenate([[loss.sum(), use.sum(), (over <= 0).sum()], slope @ z, [slope.sum()]]))
