@@ -2,8 +2,8 @@
 
 Counting (Spark): every task hashes the words of its texts, counts their
 n-grams in blocks of about ``FLUSH`` tokens and sends each distinct one of a
-block, packed behind its context, to the bucket of its context; so a bucket
-sees whole contexts.  Contexts that hold a large share of all tokens (found
+block, packed behind its context, to the bucket of its context (a packet holds
+each different word once, n-grams name it by its place); so a bucket sees whole contexts.  Contexts that hold a large share of all tokens (found
 first, by counts of what is frequent in a block; at most ``8 x buckets`` and
 4,096 of them) are spread over all buckets by the whole n-gram instead, and the
 sums of their parts are added up at the end.  From each bucket the next lower
@@ -107,7 +107,7 @@ def _deal(words: np.ndarray, full: np.ndarray, context: np.ndarray, heavy: np.nd
     return np.where(heavy[at] == context, full, context)
 
 
-COLUMNS = ("contexts", "runs", "last", "vals")
+COLUMNS = ("contexts", "runs", "last", "vals", "words")
 BLOBS = "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS) + ", kind int"
 _BLOBS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in COLUMNS], ("kind", pa.int32())])
 
@@ -122,22 +122,41 @@ def _blobs(words: np.ndarray, full: np.ndarray, values: np.ndarray, buckets: int
     new[1:] = (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])
     first = np.flatnonzero(new)
     runs = np.diff(np.append(first, len(w))).astype(np.uint32)
-    heads, last = np.ascontiguousarray(w[first, :-1]), np.ascontiguousarray(w[:, -1])
+    heads, last = w[first, :-1], w[:, -1]
     cut, cut_heads = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[first], np.arange(buckets + 1))
     used = np.flatnonzero(np.diff(cut))
-    cols = [[heads[cut_heads[b]:cut_heads[b + 1]].tobytes() for b in used], [runs[cut_heads[b]:cut_heads[b + 1]].tobytes() for b in used],
-            [last[cut[b]:cut[b + 1]].tobytes() for b in used], [v[cut[b]:cut[b + 1]].tobytes() for b in used]]
+    cols: list[list[bytes]] = [[] for _ in COLUMNS]
+    for b in used:
+        one, many = slice(cut_heads[b], cut_heads[b + 1]), slice(cut[b], cut[b + 1])
+        # each different word once; n-grams name it by its place
+        words, at = np.unique(np.concatenate([heads[one].ravel(), last[many]]), return_inverse=True)
+        at = at.astype(_place(len(words)))
+        for col, x in zip(cols, (at[:heads[one].size], runs[one], at[heads[one].size:], v[many], words)):
+            col.append(np.ascontiguousarray(x).tobytes())
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(c, pa.binary()) for c in cols],
                                        pa.array(np.ones(len(used)), pa.int32())], schema=_BLOBS)
 
 
+def _place(words: int) -> type:
+    """The type of a place among so many words."""
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
 def _unpack(group: pa.Table, order: int, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
     def whole(name, dtype):
         parts = [np.frombuffer(x.as_buffer(), dtype) for x in group.column(name)]
         return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+    def named(name):
+        parts = []
+        for at, words in zip(group.column(name), group.column("words")):
+            known = np.frombuffer(words.as_buffer(), U64)
+            parts.append(known[np.frombuffer(at.as_buffer(), _place(len(known)))])
+        return np.concatenate(parts) if parts else np.zeros(0, U64)
+
     runs = whole("runs", np.uint32)
-    heads = whole("contexts", U64).reshape(len(runs), order - 1)
-    return np.column_stack([np.repeat(heads, runs, axis=0), whole("last", U64)]), whole("vals", kind).reshape(-1, width)
+    heads = named("contexts").reshape(len(runs), order - 1)
+    return np.column_stack([np.repeat(heads, runs, axis=0), named("last")]), whole("vals", kind).reshape(-1, width)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -248,7 +267,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
             seen = np.array([n, *[int((c == k).sum()) for k in (1, 2, 3, 4)], len(w), int(v[:, -1].sum())], np.int64)
             rows.append(pa.RecordBatch.from_arrays([
                 pa.array([bucket], pa.int32()), pa.array([ch[hot].tobytes()], pa.binary()), pa.array([b""], pa.binary()),
-                pa.array([facts[hot].tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([2], pa.int32())], schema=_BLOBS))
+                pa.array([facts[hot].tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([b""], pa.binary()),
+                pa.array([2], pa.int32())], schema=_BLOBS))
             return pa.Table.from_batches([r.cast(_BLOBS) for r in rows])
         return run
 

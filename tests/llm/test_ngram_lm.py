@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,15 @@ def test_unseen_words_keep_a_probability(spark):
         assert all(0 < d < k for x in model.discounts.values() for k, d in enumerate(x.tolist()[1:], 1))
         got = {r["id"]: r for r in score(spark.createDataFrame([(1, "a f"), (2, "zz yy"), (3, "a b")], "doc_id long, text string"), model).collect()}
         assert all(np.isfinite(r["score"]) and r["perplexity"] < 1e6 for r in got.values()) and got[3]["score"] > got[1]["score"]
+
+
+def test_packets_hold_each_word_once():
+    from sidelines.llm.ngram_lm import _blobs, _merge, _unpack
+    rng = np.random.default_rng(5)
+    vocabulary = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    w, h, v = _merge(vocabulary[rng.integers(0, 300, (20000, 3))], np.ones((20000, 1), np.uint32))
+    batch = _blobs(w, h, v.astype(np.uint32), 4, np.zeros(0, np.uint64))
+    got, values = _unpack(pa.Table.from_batches([batch]), 3, np.uint32, 1)
+    back, _, sums = _merge(got, values)
+    assert np.array_equal(back, w) and np.array_equal(sums, v)
+    assert sum(len(x.as_py()) for c in batch.columns[1:-1] for x in c) < 20 * len(w)        # whole hashes take 28 and more
