@@ -1,13 +1,16 @@
 """Interpolated modified Kneser-Ney n-gram model.
 
-Counting (Spark): every task hashes the words of its texts, counts their
-n-grams in blocks of about ``FLUSH`` tokens and sends each distinct one of a
-block, packed behind its context, to the bucket of its context (a packet holds
-each different word once, n-grams name it by its place); so a bucket sees whole contexts.  Contexts that hold a large share of all tokens (found
-first, by counts of what is frequent in a block; at most ``8 x buckets`` and
-4,096 of them) are spread over all buckets by the whole n-gram instead, and the
-sums of their parts are added up at the end.  From each bucket the next lower
-order's counts go on the same way.
+Words (Spark): counted first, and numbered by their frequency; n-grams are of
+these numbers, which pack well.
+
+Counting (Spark): every task counts the n-grams of its texts in blocks of about
+``FLUSH`` tokens and sends each distinct one of a block, packed behind its
+context, to the bucket of its context (a packet holds each different word once,
+n-grams name it by its place); so a bucket sees whole contexts.  Contexts that hold
+a large share of all tokens (found with the words, by counts of what is frequent in a
+block; at most ``8 x buckets`` of them) are spread over all buckets by the whole n-gram
+instead, and the sums of their parts are added up at the end.  From each bucket the
+next lower order's counts go on the same way.
 
     top order:    p(w | h) = max(c(hw) - D(c), 0) / c(h.) + gamma(h) p(w | h')
     lower orders: the same with the number of different words before in place of counts
@@ -16,21 +19,22 @@ order's counts go on the same way.
 with D1, D2, D3+ per order from the counts of counts (modified Kneser-Ney) and
 gamma(h) = (D1 N1(h.) + D2 N2(h.) + D3 N3+(h.)) / c(h.).
 
-Storage: per order and bucket, files of sorted 64-bit hashes (n-gram -> count,
-one byte, with a second file for counts of 255 and more; context -> sum and
-how many n-grams occur once, twice, more often), in the folder in
-spark.checkpoint.dir, which all executors share.  Only bucket sums and the frequent contexts
-pass through the driver.
+Storage: files per order and bucket, in the folder in spark.checkpoint.dir,
+which all executors share.  Contexts are sorted by their last words, then by their
+first, the words after each by their numbers; numbers have the narrowest type that
+holds the largest, counts one byte (those of 255 and more stand in a second file).  What a
+context's counts add up to is kept for contexts of ``LONG`` and more words, else
+added up when asked.  Only bucket sums and the frequent contexts pass through the driver.
 
-Scoring: workers memory-map the files, look up sorted batches of hashes in
+Scoring: workers memory-map the files, look up batches of n-grams in
 them, and add up log10 probabilities.
 
 A model's memory in a worker is what the page cache holds; its disk grows with
 the distinct n-grams of the corpus.  Nothing is pruned, capped or sampled.
 
 Tokens: words between ASCII white space, A-Z in lower case, then one end token
-per text; ``order - 1`` start tokens stand before (never predicted).  A word is
-its 64-bit hash.  Defined results: a NULL or empty text is one end token.  A
+per text; ``order - 1`` start tokens stand before (never predicted).  Words are
+told apart by 64-bit hashes.  Defined results: a NULL or empty text is one end token.  A
 NULL id counts as training.  A model of no text gives every token 1 / (V + 1)
 with V = 0, that is probability 1.  Repeated rows count and are scored each;
 further columns are ignored.
@@ -50,6 +54,7 @@ from sidelines.llm import arrays as A
 from sidelines.llm import files
 from sidelines.llm.catalog import register
 from sidelines.llm.common import crc_mod, table
+from sidelines.session import cut_lineage
 
 U64 = np.uint64
 START, END = U64(0x5354415254), U64(0x454E44)
@@ -57,10 +62,16 @@ START, END = U64(0x5354415254), U64(0x454E44)
 ORDER = 3
 #: Tokens that a task counts before it sends them on.
 FLUSH = 1 << 19
+#: Bytes of text for a bucket.
+BUCKET_BYTES = 1 << 24
+#: Words after a context from which on the sums of its counts are stored.
+LONG = 8
+#: Number of the start token, and of a word that was not learned.
+FIRST, UNKNOWN = U64(0), U64(0xFFFFFFFFFFFFFFFF)
 
 
-def _token_arrays(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, document of each token, [tokens, order] words ending in each token)."""
+def _tokens(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, document of each token, place of each token, hashes of all start tokens, words and ends)."""
     for at, data, off in A.slices(texts):
         n = len(off) - 1
         start, end, doc = A.words(data, off)
@@ -74,7 +85,25 @@ def _token_arrays(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.nd
         flat[base + size - 1] = END
         token_doc = np.repeat(np.arange(n), words + 1)
         pos = np.arange(len(token_doc)) - np.repeat(np.cumsum(words + 1) - (words + 1), words + 1) + base[token_doc] + order - 1
-        yield at, n, token_doc, np.stack([flat[pos - k] for k in range(order - 1, -1, -1)], 1)
+        yield at, n, token_doc, pos, flat
+
+
+def _token_arrays(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, document of each token, [tokens, order] hashes of the words ending in each token)."""
+    for at, n, doc, pos, flat in _tokens(texts, order):
+        yield at, n, doc, _ending(flat, pos, order)
+
+
+def _numbered(texts: pa.Array, order: int, words: files.Lookup) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Like :func:`_token_arrays` with the words' numbers, and how often each token's word occurs."""
+    for at, n, doc, pos, flat in _tokens(texts, order):
+        number, occurs = words.get("word", flat, 2).T
+        number = np.where(flat == START, FIRST, np.where(number == 0, UNKNOWN, number.astype(U64)))
+        yield at, n, doc, _ending(number, pos, order), occurs[pos]
+
+
+def _ending(flat: np.ndarray, pos: np.ndarray, order: int) -> np.ndarray:
+    return np.stack([flat[pos - k] for k in range(order - 1, -1, -1)], 1)
 
 
 def gram_hash(words: np.ndarray) -> np.ndarray:
@@ -132,7 +161,7 @@ def _blobs(words: np.ndarray, full: np.ndarray, values: np.ndarray, buckets: int
         words, at = np.unique(np.concatenate([heads[one].ravel(), last[many]]), return_inverse=True)
         at = at.astype(_place(len(words)))
         for col, x in zip(cols, (at[:heads[one].size], runs[one], at[heads[one].size:], v[many], words)):
-            col.append(np.ascontiguousarray(x).tobytes())
+            col.append(_packed(np.diff(x, prepend=U64(0)) if x is words else x))
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(c, pa.binary()) for c in cols],
                                        pa.array(np.ones(len(used)), pa.int32())], schema=_BLOBS)
 
@@ -142,16 +171,30 @@ def _place(words: int) -> type:
     return np.uint16 if words <= 1 << 16 else np.uint32
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers, all their first bytes first, compressed behind their length."""
+    x = np.ascontiguousarray(x).ravel()
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(x: pa.Scalar, dtype) -> np.ndarray:
+    x = x.as_py()
+    raw = np.frombuffer(pa.decompress(x[8:], int(np.frombuffer(x[:8], np.int64)[0]), codec="zstd"), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+
+
 def _unpack(group: pa.Table, order: int, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
     def whole(name, dtype):
-        parts = [np.frombuffer(x.as_buffer(), dtype) for x in group.column(name)]
+        parts = [_unpacked(x, dtype) for x in group.column(name)]
         return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
     def named(name):
         parts = []
         for at, words in zip(group.column(name), group.column("words")):
-            known = np.frombuffer(words.as_buffer(), U64)
-            parts.append(known[np.frombuffer(at.as_buffer(), _place(len(known)))])
+            known = np.cumsum(_unpacked(words, U64), dtype=U64)
+            parts.append(known[_unpacked(at, _place(len(known)))])
         return np.concatenate(parts) if parts else np.zeros(0, U64)
 
     runs = whole("runs", np.uint32)
@@ -191,80 +234,172 @@ def _discounts(n: list[float]) -> np.ndarray:
     return np.array([0.0] + [min(max(x, EDGE), k - EDGE) for k, x in enumerate(d, 1)])
 
 
-def heavy_contexts(docs: DataFrame, text_col: str, order: int, share: int) -> dict[int, np.ndarray]:
-    """For each order, the contexts that may hold 1 / ``share`` of all tokens, at most 2 x ``share``.
+_FOUND = pa.schema([("bucket", pa.int32()), ("order", pa.int32()), ("h", pa.binary()), ("n", pa.binary())])
+
 
-    A block sends what makes up half that share of it: what a context loses in
+def learn_words(docs: DataFrame, text_col: str, order: int, buckets: int, uri: str) -> tuple[int, int, dict[int, np.ndarray]]:
+    """Write the words' numbers and counts; returns tokens, different words, and for each order the frequent contexts' hashes.
+
+    A context is frequent that may hold 1 / ``share`` of all tokens, with ``share`` = 4 x ``buckets``: at most 2 x ``share``
+    are.  A block sends what makes up half that share of it: what a context loses in
     the blocks where it is rarer is at most half the share.
     """
+    share = 4 * buckets
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND.types)], schema=_FOUND)
+
+    def dealt(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        by = np.argsort(h % U64(buckets), kind="stable")
+        cut = np.searchsorted(h[by] % U64(buckets), np.arange(buckets + 1).astype(U64))
+        return batch([(int(b), 0, h[by[cut[b]:cut[b + 1]]].tobytes(), _packed(c[by[cut[b]:cut[b + 1]]])) for b in np.flatnonzero(np.diff(cut))])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros((0, 1), U64), np.zeros(0, U64), np.zeros((0, 1), np.int64)
+        held: list[np.ndarray] = []
+
+        def block():
+            grams = np.concatenate(held)
+            one, c = np.unique(grams[:, -1], return_counts=True)
+            rows = []
+            for n in range(2, order + 1):
+                h, first, times = np.unique(_context(grams[:, order - n:]), return_index=True, return_counts=True)
+                for i in np.flatnonzero(times * 2 * share >= len(grams)):
+                    words = np.ascontiguousarray(grams[first[i], order - n:-1])
+                    rows.append((int(h[i] % U64(buckets)), n, words.tobytes(), _packed(times[i:i + 1].astype(np.int64))))
+            return _merge(np.concatenate([known[0], one[:, None]]), np.concatenate([known[2], c[:, None]])), rows
+
+        size = 0
         for b in batches:
             for _, _, _, grams in _token_arrays(b.column(0), order):
-                out = [(0, 0, len(grams))]
-                for n in range(2, order + 1):
-                    h, c = np.unique(_context(grams[:, order - n:]), return_counts=True)
-                    many = c * 2 * share >= len(grams)
-                    out += zip([n] * int(many.sum()), h[many].view(np.int64).tolist(), c[many].tolist())
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
-                                                 names=["order", "h", "n"])
-
-    sums = docs.select(text_col).mapInArrow(count, "order int, h bigint, n bigint").groupBy("order", "h").agg(F.sum("n").alias("n"))
-    total = sums.filter("order = 0").agg(F.sum("n")).first()[0] or 0
-    rows = sums.filter((F.col("order") > 0) & (F.col("n") * (2 * share) >= total)).collect()
-    found = {n: np.sort(np.array([r["h"] for r in rows if r["order"] == n], np.int64).view(U64)) for n in range(2, order + 1)}
-    return found | {1: gram_hash(np.zeros((1, 0), U64))}          # single words have one, empty, context
+                held.append(grams)
+                size += len(grams)
+                if size >= FLUSH:
+                    known, rows = block()
+                    held, size = [], 0
+                    if rows:
+                        yield batch(rows)
+                    if len(known[1]) >= 2 * FLUSH:
+                        yield dealt(known[0][:, 0], known[2][:, 0])
+                        known = np.zeros((0, 1), U64), np.zeros(0, U64), np.zeros((0, 1), np.int64)
+        if size:
+            known, rows = block()
+            if rows:
+                yield batch(rows)
+        if len(known[1]):
+            yield dealt(known[0][:, 0], known[2][:, 0])
+
+    def number(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        kind = group.column("order").to_numpy()
+        words = group.filter(pa.array(kind == 0))
+        h = np.concatenate([np.zeros(0, U64), *(np.frombuffer(x.as_buffer(), U64) for x in words.column("h"))])
+        c = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x, np.int64) for x in words.column("n"))])
+        h, back = np.unique(h, return_inverse=True)
+        c = np.bincount(back, c, len(h)).astype(np.int64)
+        rank = np.empty(len(h), np.int64)
+        rank[np.lexsort((h, -c))] = np.arange(len(h))                  # frequent words have small numbers
+        files.save(uri, f"word-{bucket}", h, _small(np.stack([1 + rank * buckets + bucket, c], 1)))
+        rest = group.filter(pa.array(kind > 0))
+        return pa.table({"order": pa.array([0, 1, *rest.column("order").to_pylist()], pa.int32()),
+                         "h": pa.array([b"", b"", *rest.column("h").to_pylist()], pa.binary()),
+                         "n": pa.array([int(c.sum()), len(h), *(int(_unpacked(x, np.int64)[0]) for x in rest.column("n"))], pa.int64())})
+
+    found = docs.select(text_col).mapInArrow(count, "bucket int, order int, h binary, n binary") \
+                .groupBy("bucket").applyInArrow(number, "order int, h binary, n bigint")
+    found = cut_lineage(found.groupBy("order", "h").agg(F.sum("n").alias("n")))
+    whole = {r["order"]: r["n"] for r in found.filter("order < 2").collect()}
+    tokens, words = whole.get(0, 0), whole.get(1, 0)
+    lookup = files.Lookup(uri, buckets)
+    heavy = {1: gram_hash(np.zeros((1, 0), U64))}                       # single words have one, empty, context
+    rows = found.filter((F.col("order") > 1) & (F.col("n") * (2 * share) >= tokens)).collect()
+    for n in range(2, order + 1):
+        ctx = np.array([np.frombuffer(r["h"], U64) for r in rows if r["order"] == n], U64).reshape(-1, n - 1)
+        number_of = lookup.get("word", ctx.ravel(), 2)[:, 0].astype(U64).reshape(ctx.shape)           # 0 of the start token
+        heavy[n] = np.sort(gram_hash(number_of))
+    return tokens, words, heavy
+
+
+def _ends(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the last words and first word of the contexts in the rows of ``words``."""
+    if not words.shape[1]:
+        return np.zeros(len(words), U64), np.zeros(len(words), U64)
+    tail = words[:, 1:]
+    return tail[:, 0] if tail.shape[1] == 1 else gram_hash(tail) if tail.shape[1] else np.zeros(len(words), U64), words[:, 0]
+
+
+#: Contexts whose places are counted from a common one.
+SPAN = 256
+
+
+def _save_grams(uri: str, n: int, bucket: int, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write a bucket's n-grams and their counts; returns its contexts and of each: sum, how many occur once, twice, more often."""
+    tail, first = _ends(w[:, :-1])
+    by = np.lexsort((w[:, -1], first, tail))
+    w, c, tail, first = w[by], c[by], tail[by], first[by]
+    new = np.ones(len(w), bool)
+    new[1:] = (tail[1:] != tail[:-1]) | (first[1:] != first[:-1])
+    start = np.flatnonzero(new)                                           # of each context's words
+    facts = np.add.reduceat(np.stack([c, c == 1, c == 2, c >= 3], 1).astype(np.int64), start, axis=0)
+    tails, at = np.unique(tail[start], return_index=True)
+    files.save(uri, f"tail{n}-{bucket}", _small(tails), _small(np.append(at, len(start))))
+    edge = np.append(start, len(w))
+    base = edge[::SPAN]
+    files.save(uri, f"ctx{n}-{bucket}", _small(first[start]), _small(edge - np.repeat(base, SPAN)[:len(edge)]))
+    long = np.flatnonzero(np.diff(edge) >= LONG)
+    files.save(uri, f"base{n}-{bucket}", base, np.zeros(0, np.uint8))
+    files.save(uri, f"long{n}-{bucket}", long, _small(facts[long]))
+    files.save(uri, f"gram{n}-{bucket}", _small(w[:, -1]), np.minimum(c, 255).astype(np.uint8))
+    files.save(uri, f"large{n}-{bucket}", np.flatnonzero(c >= 255), c[c >= 255])
+    return w[start, :-1], facts
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int | None = None) -> Model:
     """Count ``docs`` and write the model's files; returns where they are."""
     uri = files.new_folder(docs.sparkSession, "ngram_lm")
-    buckets = buckets or max(8, 2 * docs.rdd.getNumPartitions())
-    heavy = heavy_contexts(docs, text_col, order, 4 * buckets)
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        buckets = max(8, -(-size // BUCKET_BYTES))
+    tokens, words, heavy = learn_words(docs, text_col, order, buckets, uri)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = files.Lookup(uri, buckets)
         held: list[np.ndarray] = []
         size = 0
 
         def block():
             g = np.concatenate(held)
+            held.clear()
             w, h, c = _merge(g, np.ones((len(g), 1), np.uint32))
             return _blobs(w, h, c.astype(np.uint32), buckets, heavy[order])
 
         for b in batches:
-            for _, _, _, grams in _token_arrays(b.column(0), order):
+            for _, _, _, grams, _ in _numbered(b.column(0), order, known):
                 held.append(grams)
                 size += len(grams)
                 if size >= FLUSH:
                     yield block()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield block()
 
     def merged(n: int):
-        width = 1 if n == order else 2               # count; below: different words before, occurrences
-
         def run(group: pa.Table) -> pa.Table:
             bucket = group.column("bucket")[0].as_py()
             kind = group.column("kind").to_numpy()
             passed = group.filter(pa.array(kind == 2))               # sums of the order above
-            w, v = _unpack(group.filter(pa.array(kind == 1)), n, np.uint32 if width == 1 else np.int64, width)
-            w, h, v = _merge(w, v.astype(np.int64))
+            w, v = _unpack(group.filter(pa.array(kind == 1)), n, np.uint32 if n == order else np.int64, 1)
+            w, _, v = _merge(w, v.astype(np.int64))
             c = v[:, 0]
-            if n == 1:
-                files.save(uri, f"gram1-{bucket}", h, _small(v))
-            else:
-                files.save(uri, f"gram{n}-{bucket}", h, np.minimum(c, 255).astype(np.uint8)[:, None])
-                files.save(uri, f"large{n}-{bucket}", h[c >= 255], c[c >= 255][:, None])
-            # per context: sum, and how many n-grams occur once, twice, more often
-            cw, ch, facts = _merge(w[:, :-1], np.stack([c, c == 1, c == 2, c >= 3], 1).astype(np.int64))
-            hot = np.isin(ch, heavy[n])
-            files.save(uri, f"ctx{n}-{bucket}", ch[~hot], _small(facts[~hot]))
             rows = [passed.to_batches()[0]] if passed.num_rows else []
-            if n > 1:
-                sw, sh, sv = _merge(w[:, 1:], np.stack([np.ones(len(w), np.int64), v[:, -1]], 1))
-                rows.append(_blobs(sw, sh, sv, buckets, heavy[n - 1]))
-            seen = np.array([n, *[int((c == k).sum()) for k in (1, 2, 3, 4)], len(w), int(v[:, -1].sum())], np.int64)
+            ch, facts = np.zeros(0, U64), np.zeros((0, 4), np.int64)
+            if len(w):
+                cw, facts = _save_grams(uri, n, bucket, w, c)
+                ch = gram_hash(cw)
+                if n > 1:
+                    rows.append(_blobs(*_merge(w[:, 1:], np.ones((len(w), 1), np.int64)), buckets, heavy[n - 1]))
+            hot = np.isin(ch, heavy[n])
+            seen = np.array([n, *[int((c == k).sum()) for k in (1, 2, 3, 4)]], np.int64)
             rows.append(pa.RecordBatch.from_arrays([
                 pa.array([bucket], pa.int32()), pa.array([ch[hot].tobytes()], pa.binary()), pa.array([b""], pa.binary()),
                 pa.array([facts[hot].tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([b""], pa.binary()),
@@ -280,7 +415,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
             for contexts, last, vals in zip(*(b.column(c).to_pylist() for c in ("contexts", "last", "vals"))):
                 n, *counts = np.frombuffer(vals, np.int64).tolist()
                 h, v = np.frombuffer(contexts, np.int64), np.frombuffer(last, np.int64).reshape(-1, 4)
-                # the counts of the order stand under places 0 to 5, the sums of its frequent contexts under their hashes
+                # the counts of the order stand under places 0 to 3, the sums of its frequent contexts under their hashes
                 what = np.concatenate([np.zeros(len(counts), np.int32), np.ones(len(h), np.int32)])
                 vs = np.concatenate([np.array([[c, 0, 0, 0] for c in counts], np.int64), v])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(what), n, np.int32)), pa.array(what),
@@ -290,7 +425,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
     ddl = "n int, what int, h bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
     found = (level.select("contexts", "last", "vals").mapInArrow(facts, ddl).groupBy("n", "what", "h")
              .agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(4)]).collect())          # as many rows as frequent contexts
-    seen = {n: np.zeros(6, np.int64) for n in range(1, order + 1)}
+    seen = {n: np.zeros(4, np.int64) for n in range(1, order + 1)}
     sums = {n: np.zeros((len(heavy[n]), 4), np.int64) for n in range(1, order + 1)}
     for r in found:
         if r["what"] == 0:
@@ -298,36 +433,101 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
         else:
             at = np.searchsorted(heavy[r["n"]], np.array([r["h"]], np.int64).view(U64))[0]
             sums[r["n"]][at] = [r[f"s{k}"] for k in range(4)]
-    return Model(uri, order, buckets, int(seen[1][4]), int(seen[1][5]), {n: _discounts(x[:4].tolist()) for n, x in seen.items()}, heavy, sums)
+    return Model(uri, order, buckets, words, tokens, {n: _discounts(x.tolist()) for n, x in seen.items()}, heavy, sums)
+
+
+class _Grams:
+    """Memory-mapped n-grams of an order and bucket."""
+
+    def __init__(self, uri: str, n: int, bucket: int):
+        def two(name):
+            return tuple(x.view(np.ndarray) for x in files.load(uri, f"{name}{n}-{bucket}"))
+        (self.tails, self.tail_at), (self.first, self.off), (self.base, _) = two("tail"), two("ctx"), two("base")
+        (self.last, self.count), (self.large, self.large_count), (self.long, self.facts) = two("gram"), two("large"), two("long")
+
+    def _edge(self, ctx: np.ndarray) -> np.ndarray:
+        return self.base[ctx // SPAN] + self.off[ctx]
+
+    def _counts(self, at: np.ndarray) -> np.ndarray:
+        c = self.count[at].astype(np.int64)
+        many = np.flatnonzero(c == 255)
+        if len(many):
+            c[many] = self.large_count[np.searchsorted(self.large, at[many])]
+        return c
+
+    def get(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the n-grams in the rows of ``words``, and their contexts' sums and counts of counts; 0 where absent."""
+        tail, first = _ends(words[:, :-1])
+        most = np.iinfo(self.tails.dtype).max
+        t = np.minimum(np.searchsorted(self.tails, np.minimum(tail, U64(most)).astype(self.tails.dtype)), len(self.tails) - 1)
+        known = np.flatnonzero(self.tails[t].astype(U64) == tail)
+        lo, hi = self.tail_at[t[known]].astype(np.int64), self.tail_at[t[known] + 1].astype(np.int64)
+        ctx, hit = _search(self.first, lo, hi, first[known])
+        known, ctx = known[hit], ctx[hit]
+        counts, facts = np.zeros(len(words), np.int64), np.zeros((len(words), 4))
+        lo, hi = self._edge(ctx), self._edge(ctx + 1)
+        at, hit = _search(self.last, lo, hi, words[known, -1])
+        counts[known[hit]] = self._counts(at[hit])
+        long = hi - lo >= LONG
+        facts[known[long]] = self.facts[np.searchsorted(self.long, ctx[long])]
+        few, size = np.flatnonzero(~long), (hi - lo)[~long]
+        row = np.repeat(np.arange(len(few)), size)
+        c = self._counts(np.arange(len(row)) + np.repeat(lo[few] - (np.cumsum(size) - size), size))
+        facts[known[few]] = np.stack([np.bincount(row, x, len(few)) for x in (c, c == 1, c == 2, c >= 3)], 1)
+        return counts, facts
+
+
+def _search(numbers: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of ``want`` in the sorted ``numbers`` from ``lo`` to before ``hi``, and whether it is there."""
+    lo, to, end = lo.copy(), hi.copy(), hi
+    active = np.flatnonzero(lo < to)
+    while len(active):
+        a, b = lo[active], to[active]
+        middle = (a + b) >> 1
+        below = numbers[middle] < want[active]
+        lo[active], to[active] = np.where(below, middle + 1, a), np.where(below, b, middle)
+        active = active[lo[active] < to[active]]
+    hit = np.flatnonzero(lo < end)
+    there = np.zeros(len(lo), bool)
+    there[hit] = numbers[lo[hit]] == want[hit]
+    return lo, there
 
 
 class Reader:
     """Memory-mapped files of a model."""
 
     def __init__(self, model: Model):
-        self.model, self.files = model, files.Lookup(model.uri, model.buckets)
+        self.model, self.words, self.grams = model, files.Lookup(model.uri, model.buckets), {}
+
+    def _found(self, n: int, w: np.ndarray, deal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts, facts = np.zeros(len(w), np.int64), np.zeros((len(w), 4))
+        bucket = (deal % U64(self.model.buckets)).astype(np.int64)
+        by = np.lexsort((_ends(w[:, :-1])[0] if n > 1 else w[:, 0], bucket))           # neighbours are looked up together
+        cut = np.searchsorted(bucket[by], np.arange(self.model.buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)):
+            if f"gram{n}-{b}.h.npy" not in self.words.names:
+                continue
+            if (n, b) not in self.grams:
+                self.grams[n, b] = _Grams(self.model.uri, n, b)
+            rows = by[cut[b]:cut[b + 1]]
+            counts[rows], facts[rows] = self.grams[n, b].get(w[rows])
+        return counts, facts
 
     def probabilities(self, grams: np.ndarray) -> np.ndarray:
+        """Of the words' numbers in the last column, given those before."""
         m = self.model
         p = np.full(len(grams), 1.0 / (m.vocabulary + 1))
         for n in range(1, m.order + 1):
             w = grams[:, grams.shape[1] - n:]
             full, context, heavy, d = gram_hash(w), _context(w), m.heavy[n], m.discounts[n]
-            deal = _deal(w, full, context, heavy)
-            found = self.files.get(f"gram{n}", full, 2 if n == 1 else 1, deal)
-            c = found[:, 0]
-            if n == 1:
-                self.occurs = found[:, 1]
-            elif (c == 255).any():
-                large = np.flatnonzero(c == 255)
-                c[large] = self.files.get(f"large{n}", full[large], 1, deal[large])[:, 0]
-            at = np.minimum(np.searchsorted(heavy, context), max(len(heavy) - 1, 0))
-            hot = heavy[at] == context if len(heavy) else np.zeros(len(w), bool)
-            facts = np.zeros((len(w), 4))
-            facts[hot] = m.sums[n][at[hot]]
-            facts[~hot] = self.files.get(f"ctx{n}", context[~hot], 4)
+            _, one, back = np.unique(full, return_index=True, return_inverse=True)              # each n-gram once
+            c, facts = (x[back] for x in self._found(n, w[one], _deal(w, full, context, heavy)[one]))
+            if len(heavy):
+                at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1)
+                hot = heavy[at] == context
+                facts[hot] = m.sums[n][at[hot]]
             total = np.maximum(facts[:, 0], 1)
-            left = c - d[np.minimum(c, 3).astype(np.int64)]
+            left = c - d[np.minimum(c, 3)]
             p = np.where(facts[:, 0] > 0, left / total + (facts[:, 1:] @ d[1:]) / total * p, p)
         return p
 
@@ -345,26 +545,28 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         reader = Reader(model)
         scale = np.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
         for b in batches:
-            held, docs_of, rows, size, first = [], [], 0, 0, 0
+            held, docs_of, known_of, rows, size, first = [], [], [], 0, 0, 0
 
             def flush():
                 grams, doc = np.concatenate(held), np.concatenate(docs_of)
+                occurs = np.concatenate(known_of)
                 p = np.log10(reader.probabilities(grams))
-                base = np.log10(reader.occurs + 0.5) - scale
+                base = np.log10(occurs + 0.5) - scale
                 n = np.bincount(doc, minlength=rows)
                 total = np.bincount(doc, weights=p, minlength=rows)
-                known = np.bincount(doc, weights=reader.occurs > 0, minlength=rows).astype(np.int64)
+                known = np.bincount(doc, weights=occurs > 0, minlength=rows).astype(np.int64)
                 return pa.RecordBatch.from_arrays([
                     b.column(0).slice(first, rows), pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(rows, model.train_tokens), pa.int64()),
                     pa.array(np.bincount(doc, weights=base, minlength=rows)), pa.array(total), pa.array(10.0 ** np.minimum(-total / n, 300.0))], schema=_OUT)
 
-            for at, n, doc, grams in _token_arrays(b.column(1), model.order):
+            for _, n, doc, grams, occurs in _numbered(b.column(1), model.order, reader.words):
                 held.append(grams)
                 docs_of.append(doc + rows)
+                known_of.append(occurs)
                 rows, size = rows + n, size + len(doc)
                 if size >= TOGETHER:
                     yield flush()
-                    first, held, docs_of, rows, size = first + rows, [], [], 0, 0
+                    first, held, docs_of, known_of, rows, size = first + rows, [], [], [], 0, 0
             if rows:
                 yield flush()
 

@@ -114,3 +114,24 @@ def test_packets_hold_each_word_once():
     back, _, sums = _merge(got, values)
     assert np.array_equal(back, w) and np.array_equal(sums, v)
     assert sum(len(x.as_py()) for c in batch.columns[1:-1] for x in c) < 20 * len(w)        # whole hashes take 28 and more
+
+
+def test_files_take_few_bytes_an_ngram(spark):
+    """Whole hashes of n-grams and contexts took over 20 bytes a token; numbers of words behind shared contexts take few."""
+    import os
+    words = np.random.default_rng(3).zipf(1.3, (400, 100)) % 3000
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in row)) for i, row in enumerate(words.tolist())], "doc_id long, text string")
+    model = train(docs, order=3, buckets=4)
+    root = model.uri.removeprefix("file://").removeprefix("file:")
+    grams = sum(os.path.getsize(f"{root}/{f}") - 128 for f in os.listdir(root) if not f.startswith("word"))
+    distinct = len(set((a, b, c) for row in words.tolist() for a, b, c in zip([-1, -1, *row], [-1, *row], [*row, -2])))
+    assert model.train_tokens >= 40000 and grams < 12 * distinct
+
+
+def test_large_counts_and_long_contexts(spark):
+    texts = ["the cat sat"] * 300 + [f"the w{i} ran" for i in range(40)] + [f"the cat v{i}" for i in range(40)]
+    model = train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), order=3, buckets=3)
+    brute = Brute(texts, 3)
+    more = ["the cat sat", "the w7 ran", "the cat v3", "the cat new", "w1 cat sat", "ran the cat"]
+    out = score(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), model).collect()
+    assert all(abs(r["score"] - brute.score(more[r["id"]])) < 1e-9 for r in out)
