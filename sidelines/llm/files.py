@@ -70,9 +70,14 @@ class Lookup:
         """[hashes, width] values, 0 where absent; each bucket is read once, in order of its hashes.
 
         ``deal``: the hashes that choose the buckets, where they are not ``hashes``."""
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if deal is None:
+            distinct, back = np.unique(hashes, return_inverse=True)
+            deal = distinct
+        else:
+            distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            deal = deal[first]
         out = np.zeros((len(distinct), width))
-        bucket = ((distinct if deal is None else deal[first]) % U64(self.buckets)).astype(np.int64)
+        bucket = (deal % U64(self.buckets)).astype(np.min_scalar_type(self.buckets))
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cut)):

@@ -26,9 +26,12 @@ holds the largest, counts one byte (those of 255 and more stand in a second file
 context's counts add up to is kept for contexts of ``LONG`` and more words, else
 added up when asked.  Only bucket sums and the frequent contexts pass through the driver.
 
-Scoring: workers memory-map the files, look up batches of n-grams in
+Scoring: workers memory-map the files, look up each n-gram of a batch once in
 them, and add up log10 probabilities.
 
+Inside a block, bucket or batch, n-grams are places in its own sorted list of words, so
+that they pack into one number each, which sorts them.
+
 A model's memory in a worker is what the page cache holds; its disk grows with
 the distinct n-grams of the corpus.  Nothing is pruned, capped or sampled.
 
@@ -88,18 +91,22 @@ def _tokens(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray,
         yield at, n, token_doc, pos, flat
 
 
-def _token_arrays(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, document of each token, [tokens, order] hashes of the words ending in each token)."""
-    for at, n, doc, pos, flat in _tokens(texts, order):
-        yield at, n, doc, _ending(flat, pos, order)
+def _coded(held: list[tuple[np.ndarray, np.ndarray]], order: int, words: files.Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the different words of a block, how often these occur, and [tokens, order] places of the words ending in each token."""
+    distinct, code, pos = _joined(held)
+    number, occurs = words.get("word", distinct, 2).T
+    number = np.where(distinct == START, FIRST, np.where(number == 0, UNKNOWN, number.astype(U64)))
+    names, at = np.unique(number, return_inverse=True)
+    times = np.zeros(len(names))
+    times[at] = occurs
+    return names, times, _ending(at.astype(np.uint32)[code], pos, order)
 
 
-def _numbered(texts: pa.Array, order: int, words: files.Lookup) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Like :func:`_token_arrays` with the words' numbers, and how often each token's word occurs."""
-    for at, n, doc, pos, flat in _tokens(texts, order):
-        number, occurs = words.get("word", flat, 2).T
-        number = np.where(flat == START, FIRST, np.where(number == 0, UNKNOWN, number.astype(U64)))
-        yield at, n, doc, _ending(number, pos, order), occurs[pos]
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes of a block's words, the place there of each word, and the places of the tokens."""
+    sizes = [len(flat) for flat, _ in held]
+    code = pa.array(np.concatenate([flat for flat, _ in held])).dictionary_encode()
+    return code.dictionary.to_numpy(), code.indices.to_numpy(), np.concatenate([pos + at for (_, pos), at in zip(held, np.cumsum(sizes) - sizes)])
 
 
 def _ending(flat: np.ndarray, pos: np.ndarray, order: int) -> np.ndarray:
@@ -114,26 +121,62 @@ def gram_hash(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def _merge(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows of ``words`` in order of their hash, their hashes, and the sums of ``values``."""
-    h = gram_hash(words)
-    by = np.argsort(h, kind="stable")
-    h = h[by]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(values[by], first, axis=0) if len(h) else values[:0]
-    return words[by[first]], h[first], sums
+def _key(words: np.ndarray) -> np.ndarray:
+    """A whole number for each row of ``words``, in order of the rows and equal only for equal ones."""
+    key, used = np.zeros(len(words), U64), 0
+    for c in words.T:
+        bits = int(c.max(initial=0)).bit_length()
+        if used + bits > 64:                      # ranks are below 2^32
+            (key, used), (c, bits) = (((r := np.unique(x, return_inverse=True)[1]), int(r.max(initial=0)).bit_length()) for x in (key, c))
+        key = (key.astype(U64) << U64(bits)) | c.astype(U64)
+        used += bits
+    return key
+
+
+def _distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``words``, and where in it each different one begins."""
+    key = _key(words)
+    by = np.argsort(key)
+    key = key[by]
+    return by, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def _contexts(words: np.ndarray) -> np.ndarray:
+    """Where in sorted rows each context (all but the last word) begins."""
+    new = np.ones(len(words), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in words[:, :-1].T])
+    return np.flatnonzero(new)
+
+
+def _runs(start: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(start, n))
+
 
+def _merge(words: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of ``words`` in order, where their contexts begin, and the sums of ``values`` (None: how often each stands)."""
+    by, first = _distinct(words)
+    if values is None:
+        sums = _runs(first, len(by))
+    else:
+        sums = np.add.reduceat(values[by], first, axis=0, dtype=np.int64) if len(by) else values[:0].astype(np.int64)
+    words = words[by[first]]
+    return words, _contexts(words), sums
 
-def _context(words: np.ndarray) -> np.ndarray:
-    return gram_hash(words[:, :-1])
 
+def _turned(n: int) -> list[int]:
+    """Columns of an n-gram in the order of the files: the context's words from the last to the first, then the word."""
+    return [*range(n - 2, -1, -1), n - 1]
 
-def _deal(words: np.ndarray, full: np.ndarray, context: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The hash that chooses an n-gram's bucket: its context's, or its own if the context is frequent."""
-    if not len(heavy):
-        return context
-    at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1)
-    return np.where(heavy[at] == context, full, context)
+
+def _deal(words: np.ndarray, start: np.ndarray, heavy: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted n-grams of places in ``names``: the hash that chooses the bucket (the context's, or the n-gram's own if the context is
+    frequent), the n-grams in frequent contexts, and these contexts' places in ``heavy``."""
+    context, runs = gram_hash(names[words[start, :-1]]), _runs(start, len(words))
+    deal = np.repeat(context, runs)
+    at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1) if len(heavy) else np.zeros(0, np.int64)
+    hot = np.flatnonzero(np.repeat(heavy[at] == context, runs)) if len(heavy) else at
+    deal[hot] = gram_hash(names[words[hot]])
+    return deal, hot, np.repeat(at, runs)[hot] if len(hot) else hot
 
 
 COLUMNS = ("contexts", "runs", "last", "vals", "words")
@@ -141,27 +184,38 @@ BLOBS = "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS) + ", kind int
 _BLOBS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in COLUMNS], ("kind", pa.int32())])
 
 
-def _blobs(words: np.ndarray, full: np.ndarray, values: np.ndarray, buckets: int, heavy: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket: its n-grams, each context once with the words after it, and their values."""
-    context = _context(words)
-    bucket = (_deal(words, full, context, heavy) % U64(buckets)).astype(np.int64)
-    by = np.lexsort((context, bucket))
-    w, v, bucket, context = words[by], np.ascontiguousarray(values[by]), bucket[by], context[by]
+def _blobs(words: np.ndarray, start: np.ndarray, values: np.ndarray, buckets: int, heavy: np.ndarray,
+           names: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per bucket: its n-grams, each context once with the words after it, and their values.
+
+    ``words`` are sorted places in ``names`` (None: the words' numbers), their contexts begin at ``start``."""
+    if names is None:
+        names, places = np.unique(words, return_inverse=True)
+        words = places.reshape(words.shape)
+    bucket = (_deal(words, start, heavy, names)[0] % U64(buckets)).astype(np.min_scalar_type(buckets))
+    by = np.argsort(bucket, kind="stable")                              # contexts stay together
+    context = np.repeat(np.arange(len(start)), _runs(start, len(words)))[by]
+    w, v, bucket = words[by], np.ascontiguousarray(values[by]), bucket[by]
     new = np.ones(len(w), bool)
     new[1:] = (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])
     first = np.flatnonzero(new)
-    runs = np.diff(np.append(first, len(w))).astype(np.uint32)
+    runs = _runs(first, len(w)).astype(np.uint32)
     heads, last = w[first, :-1], w[:, -1]
-    cut, cut_heads = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(bucket[first], np.arange(buckets + 1))
+    cut, cut_heads = (np.searchsorted(x, np.arange(buckets + 1)) for x in (bucket, bucket[first]))
     used = np.flatnonzero(np.diff(cut))
     cols: list[list[bytes]] = [[] for _ in COLUMNS]
+    here, place = np.zeros(len(names), bool), np.zeros(len(names), np.uint32)
     for b in used:
         one, many = slice(cut_heads[b], cut_heads[b + 1]), slice(cut[b], cut[b + 1])
         # each different word once; n-grams name it by its place
-        words, at = np.unique(np.concatenate([heads[one].ravel(), last[many]]), return_inverse=True)
-        at = at.astype(_place(len(words)))
-        for col, x in zip(cols, (at[:heads[one].size], runs[one], at[heads[one].size:], v[many], words)):
-            col.append(_packed(np.diff(x, prepend=U64(0)) if x is words else x))
+        here[heads[one]] = here[last[many]] = True
+        known = np.flatnonzero(here)
+        here[known] = False
+        place[known] = np.arange(len(known))
+        kind = _place(len(known))
+        for col, x in zip(cols, (place[heads[one]].astype(kind), runs[one], place[last[many]].astype(kind), v[many],
+                                 np.diff(names[known], prepend=U64(0)))):
+            col.append(_packed(x))
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(c, pa.binary()) for c in cols],
                                        pa.array(np.ones(len(used)), pa.int32())], schema=_BLOBS)
 
@@ -185,21 +239,32 @@ def _unpacked(x: pa.Scalar, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
-def _unpack(group: pa.Table, order: int, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(group: pa.Table, order: int, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the different words of packets, their n-grams as places there in :func:`_turned` columns, and the values."""
+    words = [np.cumsum(_unpacked(x, U64), dtype=U64) for x in group.column("words")]
+    names = np.sort(np.concatenate([np.zeros(0, U64), *words]))
+    names = names[np.append(True, names[1:] != names[:-1])] if len(names) else names
+    place = [np.searchsorted(names, x).astype(np.uint32) for x in words]
+
     def whole(name, dtype):
-        parts = [_unpacked(x, dtype) for x in group.column(name)]
-        return np.concatenate(parts) if parts else np.zeros(0, dtype)
+        return np.concatenate([np.zeros(0, dtype), *(_unpacked(x, dtype) for x in group.column(name))])
 
-    def named(name):
-        parts = []
-        for at, words in zip(group.column(name), group.column("words")):
-            known = np.cumsum(_unpacked(words, U64), dtype=U64)
-            parts.append(known[_unpacked(at, _place(len(known)))])
-        return np.concatenate(parts) if parts else np.zeros(0, U64)
+    def placed(name):
+        return np.concatenate([np.zeros(0, np.uint32), *(p[_unpacked(x, _place(len(p)))] for x, p in zip(group.column(name), place))])
 
     runs = whole("runs", np.uint32)
-    heads = named("contexts").reshape(len(runs), order - 1)
-    return np.column_stack([np.repeat(heads, runs, axis=0), named("last")]), whole("vals", kind).reshape(-1, width)
+    heads = placed("contexts").reshape(len(runs), order - 1)
+    grams = np.empty((int(runs.sum()), order), np.uint32)
+    for to, k in enumerate(_turned(order)[:-1]):
+        grams[:, to] = np.repeat(heads[:, k], runs)
+    grams[:, -1] = placed("last")
+    return names, grams, whole("vals", kind)
+
+
+def _unpack(group: pa.Table, order: int, kind, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`_places` with the words' numbers."""
+    names, words, values = _places(group, order, kind)
+    return names[words[:, np.argsort(_turned(order))]], values.reshape(-1, width)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -255,39 +320,46 @@ def learn_words(docs: DataFrame, text_col: str, order: int, buckets: int, uri: s
         return batch([(int(b), 0, h[by[cut[b]:cut[b + 1]]].tobytes(), _packed(c[by[cut[b]:cut[b + 1]]])) for b in np.flatnonzero(np.diff(cut))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros((0, 1), U64), np.zeros(0, U64), np.zeros((0, 1), np.int64)
-        held: list[np.ndarray] = []
+        known: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def block():
-            grams = np.concatenate(held)
-            one, c = np.unique(grams[:, -1], return_counts=True)
+            distinct, code, pos = _joined(held)
+            held.clear()
+            grams = _ending(code.astype(np.uint32), pos, order)
+            c = np.bincount(grams[:, -1], minlength=len(distinct))
+            known.append((distinct[c > 0], c[c > 0]))
+            often = np.bincount(code, minlength=len(distinct)) * (2 * share) >= len(grams)        # a context is at most as frequent as its words
             rows = []
             for n in range(2, order + 1):
-                h, first, times = np.unique(_context(grams[:, order - n:]), return_index=True, return_counts=True)
-                for i in np.flatnonzero(times * 2 * share >= len(grams)):
-                    words = np.ascontiguousarray(grams[first[i], order - n:-1])
-                    rows.append((int(h[i] % U64(buckets)), n, words.tobytes(), _packed(times[i:i + 1].astype(np.int64))))
-            return _merge(np.concatenate([known[0], one[:, None]]), np.concatenate([known[2], c[:, None]])), rows
+                contexts = grams[np.logical_and.reduce([often[grams[:, k]] for k in range(order - n, order - 1)]), order - n:-1]
+                by, first = _distinct(contexts)
+                times = _runs(first, len(by))
+                for i in np.flatnonzero(times * (2 * share) >= len(grams)):
+                    words = distinct[contexts[by[first[i]]]]
+                    rows.append((int(gram_hash(words[None, :])[0] % U64(buckets)), n, words.tobytes(), _packed(times[i:i + 1].astype(np.int64))))
+            return rows
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, _, c = _merge(np.concatenate([h for h, _ in known])[:, None], np.concatenate([c for _, c in known]))
+            known[:] = [(h[:, 0], c)]
+            return known[0]
 
         size = 0
         for b in batches:
-            for _, _, _, grams in _token_arrays(b.column(0), order):
-                held.append(grams)
-                size += len(grams)
+            for _, _, _, pos, flat in _tokens(b.column(0), order):
+                held.append((flat, pos))
+                size += len(pos)
                 if size >= FLUSH:
-                    known, rows = block()
-                    held, size = [], 0
-                    if rows:
+                    size = 0
+                    if rows := block():
                         yield batch(rows)
-                    if len(known[1]) >= 2 * FLUSH:
-                        yield dealt(known[0][:, 0], known[2][:, 0])
-                        known = np.zeros((0, 1), U64), np.zeros(0, U64), np.zeros((0, 1), np.int64)
-        if size:
-            known, rows = block()
-            if rows:
-                yield batch(rows)
-        if len(known[1]):
-            yield dealt(known[0][:, 0], known[2][:, 0])
+                    if sum(len(h) for h, _ in known) >= 4 * FLUSH and len(merged()[0]) >= 2 * FLUSH:
+                        yield dealt(*known.pop())
+        if size and (rows := block()):
+            yield batch(rows)
+        if known:
+            yield dealt(*merged())
 
     def number(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -332,26 +404,35 @@ def _ends(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SPAN = 256
 
 
-def _save_grams(uri: str, n: int, bucket: int, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Write a bucket's n-grams and their counts; returns its contexts and of each: sum, how many occur once, twice, more often."""
-    tail, first = _ends(w[:, :-1])
-    by = np.lexsort((w[:, -1], first, tail))
-    w, c, tail, first = w[by], c[by], tail[by], first[by]
-    new = np.ones(len(w), bool)
-    new[1:] = (tail[1:] != tail[:-1]) | (first[1:] != first[:-1])
-    start = np.flatnonzero(new)                                           # of each context's words
-    facts = np.add.reduceat(np.stack([c, c == 1, c == 2, c >= 3], 1).astype(np.int64), start, axis=0)
-    tails, at = np.unique(tail[start], return_index=True)
-    files.save(uri, f"tail{n}-{bucket}", _small(tails), _small(np.append(at, len(start))))
+def _save_grams(uri: str, n: int, bucket: int, names: np.ndarray, w: np.ndarray, start: np.ndarray, c: np.ndarray,
+                heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write a bucket's n-grams (sorted, of :func:`_turned` columns, contexts beginning at ``start``) and their counts.
+
+    Returns the hashes of its ``heavy`` contexts and of each: sum, how many occur once, twice, more often."""
+    context, last, runs = names[w[start, :-1][:, ::-1]], _small(names)[w[:, -1]], _runs(start, len(w))
+    if n > 3:                                                             # several last words are told apart by their hash
+        by = np.lexsort(_ends(context)[::-1])
+        at = np.repeat(start[by] - (np.cumsum(runs[by]) - runs[by]), runs[by]) + np.arange(len(w))
+        context, runs, last, c = context[by], runs[by], last[at], c[at]
+        start = np.cumsum(runs) - runs
+    h = gram_hash(context)
+    hot = np.flatnonzero(np.isin(h, heavy))
+    h = h[hot]
+    tail, first = (_small(x) for x in _ends(context))
+    del context
+    at = np.flatnonzero(np.append(True, tail[1:] != tail[:-1]))
+    files.save(uri, f"tail{n}-{bucket}", _small(tail[at]), _small(np.append(at, len(start))))
     edge = np.append(start, len(w))
     base = edge[::SPAN]
-    files.save(uri, f"ctx{n}-{bucket}", _small(first[start]), _small(edge - np.repeat(base, SPAN)[:len(edge)]))
-    long = np.flatnonzero(np.diff(edge) >= LONG)
+    files.save(uri, f"ctx{n}-{bucket}", first, _small(edge - np.repeat(base, SPAN)[:len(edge)]))
+    long = np.flatnonzero(runs >= LONG)
+    many = np.concatenate([long, hot])
+    facts = np.stack([np.add.reduceat(x, start, dtype=np.int64)[many] for x in (c, c == 1, c == 2, c >= 3)], 1)
     files.save(uri, f"base{n}-{bucket}", base, np.zeros(0, np.uint8))
-    files.save(uri, f"long{n}-{bucket}", long, _small(facts[long]))
-    files.save(uri, f"gram{n}-{bucket}", _small(w[:, -1]), np.minimum(c, 255).astype(np.uint8))
+    files.save(uri, f"long{n}-{bucket}", long, _small(facts[:len(long)]))
+    files.save(uri, f"gram{n}-{bucket}", _small(last), np.minimum(c, 255).astype(np.uint8))
     files.save(uri, f"large{n}-{bucket}", np.flatnonzero(c >= 255), c[c >= 255])
-    return w[start, :-1], facts
+    return h, facts[len(long):]
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int | None = None) -> Model:
@@ -364,19 +445,19 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = files.Lookup(uri, buckets)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def block():
-            g = np.concatenate(held)
+            names, _, grams = _coded(held, order, known)
             held.clear()
-            w, h, c = _merge(g, np.ones((len(g), 1), np.uint32))
-            return _blobs(w, h, c.astype(np.uint32), buckets, heavy[order])
+            w, start, c = _merge(grams)
+            return _blobs(w, start, c.astype(np.uint32), buckets, heavy[order], names)
 
         for b in batches:
-            for _, _, _, grams, _ in _numbered(b.column(0), order, known):
-                held.append(grams)
-                size += len(grams)
+            for _, _, _, pos, flat in _tokens(b.column(0), order):
+                held.append((flat, pos))
+                size += len(pos)
                 if size >= FLUSH:
                     yield block()
                     size = 0
@@ -388,42 +469,41 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, buckets: int
             bucket = group.column("bucket")[0].as_py()
             kind = group.column("kind").to_numpy()
             passed = group.filter(pa.array(kind == 2))               # sums of the order above
-            w, v = _unpack(group.filter(pa.array(kind == 1)), n, np.uint32 if n == order else np.int64, 1)
-            w, _, v = _merge(w, v.astype(np.int64))
-            c = v[:, 0]
+            names, w, v = _places(group.filter(pa.array(kind == 1)), n, np.uint32 if n == order else np.int64)
+            w, start, c = _merge(w, v)
+            del v
             rows = [passed.to_batches()[0]] if passed.num_rows else []
             ch, facts = np.zeros(0, U64), np.zeros((0, 4), np.int64)
             if len(w):
-                cw, facts = _save_grams(uri, n, bucket, w, c)
-                ch = gram_hash(cw)
+                ch, facts = _save_grams(uri, n, bucket, names, w, start, c, heavy[n])
                 if n > 1:
-                    rows.append(_blobs(*_merge(w[:, 1:], np.ones((len(w), 1), np.int64)), buckets, heavy[n - 1]))
-            hot = np.isin(ch, heavy[n])
+                    rows.append(_blobs(*_merge(w[:, np.argsort(_turned(n))[1:]]), buckets, heavy[n - 1], names))
             seen = np.array([n, *[int((c == k).sum()) for k in (1, 2, 3, 4)]], np.int64)
             rows.append(pa.RecordBatch.from_arrays([
-                pa.array([bucket], pa.int32()), pa.array([ch[hot].tobytes()], pa.binary()), pa.array([b""], pa.binary()),
-                pa.array([facts[hot].tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([b""], pa.binary()),
+                pa.array([bucket], pa.int32()), pa.array([ch.tobytes()], pa.binary()), pa.array([b""], pa.binary()),
+                pa.array([facts.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([b""], pa.binary()),
                 pa.array([2], pa.int32())], schema=_BLOBS))
             return pa.Table.from_batches([r.cast(_BLOBS) for r in rows])
         return run
 
-    level = docs.select(text_col).mapInArrow(count, BLOBS)
-    for n in range(order, 0, -1):
-        level = level.groupBy("bucket").applyInArrow(merged(n), BLOBS)
-    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for contexts, last, vals in zip(*(b.column(c).to_pylist() for c in ("contexts", "last", "vals"))):
-                n, *counts = np.frombuffer(vals, np.int64).tolist()
-                h, v = np.frombuffer(contexts, np.int64), np.frombuffer(last, np.int64).reshape(-1, 4)
-                # the counts of the order stand under places 0 to 3, the sums of its frequent contexts under their hashes
-                what = np.concatenate([np.zeros(len(counts), np.int32), np.ones(len(h), np.int32)])
-                vs = np.concatenate([np.array([[c, 0, 0, 0] for c in counts], np.int64), v])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(what), n, np.int32)), pa.array(what),
-                                                  pa.array(np.concatenate([np.arange(len(counts)), h])), *[pa.array(vs[:, k].copy()) for k in range(4)]],
-                                                 names=["n", "what", "h", *(f"s{k}" for k in range(4))])
+    def facts(group: pa.Table) -> pa.Table:
+        """The last merge and the sums of all: in one function, as a second one in its stage doubles the Python workers."""
+        parts, rows = [], merged(1)(group)
+        for contexts, last, vals in zip(*(rows.column(c).to_pylist() for c in ("contexts", "last", "vals"))):
+            n, *counts = np.frombuffer(vals, np.int64).tolist()
+            h, v = np.frombuffer(contexts, np.int64), np.frombuffer(last, np.int64).reshape(-1, 4)
+            # the counts of the order stand under places 0 to 3, the sums of its frequent contexts under their hashes
+            what = np.concatenate([np.zeros(len(counts), np.int32), np.ones(len(h), np.int32)])
+            vs = np.concatenate([np.array([[c, 0, 0, 0] for c in counts], np.int64), v])
+            parts.append(pa.table({"n": np.full(len(what), n, np.int32), "what": what, "h": np.concatenate([np.arange(len(counts)), h])}
+                                  | {f"s{k}": vs[:, k].copy() for k in range(4)}))
+        return pa.concat_tables(parts)
 
     ddl = "n int, what int, h bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
-    found = (level.select("contexts", "last", "vals").mapInArrow(facts, ddl).groupBy("n", "what", "h")
+    level = docs.select(text_col).mapInArrow(count, BLOBS)
+    for n in range(order, 1, -1):
+        level = level.groupBy("bucket").applyInArrow(merged(n), BLOBS)
+    found = (level.groupBy("bucket").applyInArrow(facts, ddl).groupBy("n", "what", "h")
              .agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(4)]).collect())          # as many rows as frequent contexts
     seen = {n: np.zeros(4, np.int64) for n in range(1, order + 1)}
     sums = {n: np.zeros((len(heavy[n]), 4), np.int64) for n in range(1, order + 1)}
@@ -455,42 +535,60 @@ class _Grams:
             c[many] = self.large_count[np.searchsorted(self.large, at[many])]
         return c
 
-    def get(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the n-grams in the rows of ``words``, and their contexts' sums and counts of counts; 0 where absent."""
-        tail, first = _ends(words[:, :-1])
+    def get(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the n-grams in the rows of ``words``, the place of each one's context, and these contexts' sums and counts of counts.
+
+        Equal contexts stand together; what is absent counts 0."""
+        start = _contexts(words)
+        context = np.repeat(np.arange(len(start)), _runs(start, len(words)))
+        tail, first = _ends(words[start, :-1])
         most = np.iinfo(self.tails.dtype).max
         t = np.minimum(np.searchsorted(self.tails, np.minimum(tail, U64(most)).astype(self.tails.dtype)), len(self.tails) - 1)
         known = np.flatnonzero(self.tails[t].astype(U64) == tail)
-        lo, hi = self.tail_at[t[known]].astype(np.int64), self.tail_at[t[known] + 1].astype(np.int64)
-        ctx, hit = _search(self.first, lo, hi, first[known])
+        ctx, hit = _search(self.first, self.tail_at[t[known]].astype(np.int64), self.tail_at[t[known] + 1].astype(np.int64), first[known])
         known, ctx = known[hit], ctx[hit]
-        counts, facts = np.zeros(len(words), np.int64), np.zeros((len(words), 4))
-        lo, hi = self._edge(ctx), self._edge(ctx + 1)
-        at, hit = _search(self.last, lo, hi, words[known, -1])
-        counts[known[hit]] = self._counts(at[hit])
-        long = hi - lo >= LONG
+        lo, hi, facts = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.zeros((len(start), 4))
+        lo[known], hi[known] = self._edge(ctx), self._edge(ctx + 1)
+        counts = np.zeros(len(words), np.int64)
+        at, hit = _search(self.last, lo[context], hi[context], words[:, -1])
+        counts[hit] = self._counts(at[hit])
+        size = (hi - lo)[known]
+        long = size >= LONG
         facts[known[long]] = self.facts[np.searchsorted(self.long, ctx[long])]
-        few, size = np.flatnonzero(~long), (hi - lo)[~long]
+        few, size = known[~long], size[~long]
         row = np.repeat(np.arange(len(few)), size)
         c = self._counts(np.arange(len(row)) + np.repeat(lo[few] - (np.cumsum(size) - size), size))
-        facts[known[few]] = np.stack([np.bincount(row, x, len(few)) for x in (c, c == 1, c == 2, c >= 3)], 1)
-        return counts, facts
+        facts[few] = np.stack([np.bincount(row, x, len(few)) for x in (c, c == 1, c == 2, c >= 3)], 1)
+        return counts, context, facts
+
+
+#: Numbers in a range, and equal ranges in a row, from which on these are searched together.
+MANY = 16
 
 
 def _search(numbers: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of ``want`` in the sorted ``numbers`` from ``lo`` to before ``hi``, and whether it is there."""
-    lo, to, end = lo.copy(), hi.copy(), hi
-    active = np.flatnonzero(lo < to)
-    while len(active):
-        a, b = lo[active], to[active]
+    out = lo.copy()
+    start = _contexts(np.column_stack([lo, hi, lo]))
+    runs = _runs(start, len(lo))
+    together = (runs >= MANY) & ((hi - lo)[start] >= MANY)
+    least = np.minimum(want, U64(np.iinfo(numbers.dtype).max)).astype(numbers.dtype)
+    for a, n in zip(start[together], runs[together]):
+        out[a:a + n] += np.searchsorted(numbers[lo[a]:hi[a]], least[a:a + n])
+    rows = np.flatnonzero((lo < hi) & ~np.repeat(together, runs))
+    a, b, x = lo[rows], hi[rows], least[rows]
+    while len(rows):
         middle = (a + b) >> 1
-        below = numbers[middle] < want[active]
-        lo[active], to[active] = np.where(below, middle + 1, a), np.where(below, b, middle)
-        active = active[lo[active] < to[active]]
-    hit = np.flatnonzero(lo < end)
+        below = numbers[middle] < x
+        a, b = np.where(below, middle + 1, a), np.where(below, b, middle)
+        going = a < b
+        if not going.all():
+            out[rows[~going]] = a[~going]
+            rows, a, b, x = rows[going], a[going], b[going], x[going]
     there = np.zeros(len(lo), bool)
-    there[hit] = numbers[lo[hit]] == want[hit]
-    return lo, there
+    hit = np.flatnonzero(out < hi)
+    there[hit] = numbers[out[hit]] == want[hit]
+    return out, there
 
 
 class Reader:
@@ -499,36 +597,44 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.words, self.grams = model, files.Lookup(model.uri, model.buckets), {}
 
-    def _found(self, n: int, w: np.ndarray, deal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts, facts = np.zeros(len(w), np.int64), np.zeros((len(w), 4))
-        bucket = (deal % U64(self.model.buckets)).astype(np.int64)
-        by = np.lexsort((_ends(w[:, :-1])[0] if n > 1 else w[:, 0], bucket))           # neighbours are looked up together
-        cut = np.searchsorted(bucket[by], np.arange(self.model.buckets + 1))
+    def _found(self, n: int, names: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted n-grams of :func:`_turned` columns: counts, their contexts' sums, and what discounts take from these."""
+        m, w = self.model, w[:, np.argsort(_turned(n))]
+        counts, total, left = np.zeros(len(w), np.int64), np.zeros(len(w)), np.zeros(len(w))
+        deal, hot, at = _deal(w, _contexts(w), m.heavy[n], names)
+        bucket = (deal % U64(m.buckets)).astype(np.min_scalar_type(m.buckets))
+        by = np.argsort(bucket, kind="stable")                                     # neighbours are looked up together
+        cut = np.searchsorted(bucket[by], np.arange(m.buckets + 1))
         for b in np.flatnonzero(np.diff(cut)):
             if f"gram{n}-{b}.h.npy" not in self.words.names:
                 continue
             if (n, b) not in self.grams:
-                self.grams[n, b] = _Grams(self.model.uri, n, b)
+                self.grams[n, b] = _Grams(m.uri, n, b)
             rows = by[cut[b]:cut[b + 1]]
-            counts[rows], facts[rows] = self.grams[n, b].get(w[rows])
-        return counts, facts
+            counts[rows], context, facts = self.grams[n, b].get(names[w[rows]])
+            total[rows], left[rows] = facts[:, 0][context], self._taken(n, facts)[context]
+        total[hot], left[hot] = m.sums[n][at, 0], self._taken(n, m.sums[n])[at]
+        return counts, total, left
+
+    def _taken(self, n: int, facts: np.ndarray) -> np.ndarray:
+        return sum(facts[:, k] * self.model.discounts[n][k] for k in (1, 2, 3))
 
-    def probabilities(self, grams: np.ndarray) -> np.ndarray:
-        """Of the words' numbers in the last column, given those before."""
+    def probabilities(self, names: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Of the words in the last column, given those before; ``grams`` are places in the words' numbers ``names``."""
         m = self.model
-        p = np.full(len(grams), 1.0 / (m.vocabulary + 1))
-        for n in range(1, m.order + 1):
-            w = grams[:, grams.shape[1] - n:]
-            full, context, heavy, d = gram_hash(w), _context(w), m.heavy[n], m.discounts[n]
-            _, one, back = np.unique(full, return_index=True, return_inverse=True)              # each n-gram once
-            c, facts = (x[back] for x in self._found(n, w[one], _deal(w, full, context, heavy)[one]))
-            if len(heavy):
-                at = np.minimum(np.searchsorted(heavy, context), len(heavy) - 1)
-                hot = heavy[at] == context
-                facts[hot] = m.sums[n][at[hot]]
-            total = np.maximum(facts[:, 0], 1)
-            left = c - d[np.minimum(c, 3)]
-            p = np.where(facts[:, 0] > 0, left / total + (facts[:, 1:] @ d[1:]) / total * p, p)
+        rows, levels = grams, []
+        for n in range(m.order, 0, -1):                                            # each n-gram once
+            turned = rows[:, _turned(n)]
+            by, first = _distinct(turned)
+            back = np.empty(len(by), np.int64)
+            back[by] = np.repeat(np.arange(len(first)), _runs(first, len(by)))
+            levels.append((turned[by[first]], back))
+            rows = levels[-1][0][:, np.argsort(_turned(n))[1:]]
+        p = np.array(1.0 / (m.vocabulary + 1))
+        for n, (w, back) in enumerate(reversed(levels), 1):
+            c, total, taken = self._found(n, names, w)
+            sure = np.maximum(total, 1)
+            p = np.where(total > 0, (c - m.discounts[n][np.minimum(c, 3)]) / sure + taken / sure * p, p)[back]
         return p
 
 
@@ -545,12 +651,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         reader = Reader(model)
         scale = np.log10(model.train_tokens + 0.5 * (model.vocabulary + 1))
         for b in batches:
-            held, docs_of, known_of, rows, size, first = [], [], [], 0, 0, 0
+            held, docs_of, rows, size, first = [], [], 0, 0, 0
 
             def flush():
-                grams, doc = np.concatenate(held), np.concatenate(docs_of)
-                occurs = np.concatenate(known_of)
-                p = np.log10(reader.probabilities(grams))
+                names, times, grams = _coded(held, model.order, reader.words)
+                doc = np.concatenate(docs_of)
+                occurs = times[grams[:, -1]]
+                p = np.log10(reader.probabilities(names, grams))
                 base = np.log10(occurs + 0.5) - scale
                 n = np.bincount(doc, minlength=rows)
                 total = np.bincount(doc, weights=p, minlength=rows)
@@ -559,14 +666,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     b.column(0).slice(first, rows), pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(rows, model.train_tokens), pa.int64()),
                     pa.array(np.bincount(doc, weights=base, minlength=rows)), pa.array(total), pa.array(10.0 ** np.minimum(-total / n, 300.0))], schema=_OUT)
 
-            for _, n, doc, grams, occurs in _numbered(b.column(1), model.order, reader.words):
-                held.append(grams)
+            for _, n, doc, pos, flat in _tokens(b.column(1), model.order):
+                held.append((flat, pos))
                 docs_of.append(doc + rows)
-                known_of.append(occurs)
                 rows, size = rows + n, size + len(doc)
                 if size >= TOGETHER:
                     yield flush()
-                    first, held, docs_of, known_of, rows, size = first + rows, [], [], [], 0, 0
+                    first, held, docs_of, rows, size = first + rows, [], [], 0, 0
             if rows:
                 yield flush()
 

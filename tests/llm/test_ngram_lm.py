@@ -135,3 +135,88 @@ def test_large_counts_and_long_contexts(spark):
     more = ["the cat sat", "the w7 ran", "the cat v3", "the cat new", "w1 cat sat", "ran the cat"]
     out = score(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), model).collect()
     assert all(abs(r["score"] - brute.score(more[r["id"]])) < 1e-9 for r in out)
+
+
+@pytest.mark.parametrize("order", [4, 5])
+def test_longer_orders_equal_definition(spark, order):
+    """From order 4 on the files are sorted by a hash of a context's last words."""
+    texts = TEXTS + ["one two one three one two four two one two one two one two"] * 2
+    model = train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), order=order, buckets=3)
+    brute, more = Brute(texts, order), texts + ["one two one two one new", "the cat sat on a log"]
+    out = score(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), model).collect()
+    assert len(out) == len(more) and all(abs(r["score"] - brute.score(more[r["id"]])) < 1e-9 for r in out)
+
+
+def test_keys_are_ordered_like_rows():
+    rng = np.random.default_rng(8)
+    for width, top in ((1, 1 << 63), (3, 50), (3, 1 << 40), (5, 1 << 20), (2, 1 << 63)):
+        words = rng.integers(0, top, (3000, width)).astype(np.uint64)
+        words[rng.integers(0, 3000, 800)] = words[rng.integers(0, 3000, 800)]
+        words[:3] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        got, start, times = ngram_lm._merge(words)
+        want, count = np.unique(words, axis=0, return_counts=True)
+        assert np.array_equal(got, want) and np.array_equal(times, count)
+        assert len(start) == (len(np.unique(want[:, :-1], axis=0)) if width > 1 else 1)
+
+
+def test_search_in_ranges():
+    rng = np.random.default_rng(9)
+    numbers = np.concatenate([np.sort(rng.choice(5000, n, replace=False)) for n in (0, 1, 2, 7, 40, 900)]).astype(np.uint16)
+    edge = np.cumsum([0, 0, 1, 2, 7, 40, 900])
+    ranges = np.repeat(np.concatenate([rng.integers(0, 6, 30), np.arange(6)]), 40)
+    lo, hi = edge[ranges], edge[ranges + 1]
+    lo[:60], hi[:30], hi[30:60] = 0, 0, 1                       # an empty range beside one that begins at the same place
+    want = rng.integers(0, 5000, len(lo)).astype(np.uint64)
+    want[::3] = numbers[np.minimum(lo + rng.integers(0, 900, len(lo)) % np.maximum(hi - lo, 1), len(numbers) - 1)][::3]
+    want[::7] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    at, there = ngram_lm._search(numbers, lo, hi, want)
+    for a, b, x, i, found in zip(lo, hi, want, at, there):
+        assert found == (x in numbers[a:b]) and (not found or a <= i < b and numbers[i] == x)
+
+
+def test_bucket_is_merged_in_little_memory(tmp_path):
+    """Whole numbers of words and hashes of n-grams took 171 bytes an n-gram of the packets; places among a bucket's words take few."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    vocabulary = np.unique(rng.integers(0, 1 << 40, 20000).astype(np.uint64))
+    none, packets = np.zeros(0, np.uint64), []
+    for _ in range(6):
+        w, start, c = ngram_lm._merge(vocabulary[rng.integers(0, 20000, (50000, 3))])
+        packets.append(ngram_lm._blobs(w, start, c.astype(np.uint32), 1, none))
+    group = pa.Table.from_batches(packets)
+    tracemalloc.start()
+    names, w, v = ngram_lm._places(group, 3, np.uint32)
+    w, start, c = ngram_lm._merge(w, v)
+    ngram_lm._save_grams(str(tmp_path), 3, 0, names, w, start, c, none)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.sum() == 300000 and peak < 100 * 300000, peak / 300000
+
+
+def test_each_ngram_of_a_batch_is_looked_up_once(spark, monkeypatch):
+    texts = ["the cat sat on the mat"] * 50 + ["a dog sat on a log"] * 50
+    model = train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order=3, buckets=2)
+    seen = []
+    get = ngram_lm._Grams.get
+    monkeypatch.setattr(ngram_lm._Grams, "get", lambda self, words: seen.append(words) or get(self, words))
+    reader = ngram_lm.Reader(model)
+    held = [(flat, pos) for _, _, _, pos, flat in ngram_lm._tokens(pa.array(texts), 3)]
+    names, _, grams = ngram_lm._coded(held, 3, reader.words)
+    p = reader.probabilities(names, grams)
+    assert len(p) == 700 and len(names) == 9 + 1                # the words and the end, and the start
+    for n in (1, 2, 3):
+        rows = [tuple(r) for x in seen if x.shape[1] == n for r in x.tolist()]
+        assert len(rows) == len(set(rows)) <= 14
+        for x in (x for x in seen if x.shape[1] == n):          # contexts stand together
+            assert len(ngram_lm._contexts(x)) == len({tuple(r[:-1]) for r in x.tolist()})
+
+
+def test_one_python_function_a_stage(spark, monkeypatch):
+    """Two in one stage take twice the Python workers, which then all stay: 1,184 MB of two cores where 691 do."""
+    plans = []
+    frame = type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    train(spark.createDataFrame([(1, "a b a b c")], "doc_id long, text string"), order=2, buckets=2)
+    stages = [stage for p in plans if "FlatMapGroupsInArrow" in p for stage in re.split(r"\n.*Exchange", p)]
+    assert stages and all(len(re.findall(r"(?:FlatMapGroups|Map)InArrow", stage)) <= 1 for stage in stages)
