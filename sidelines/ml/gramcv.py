@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sidelines.ml.gram import Moments, moments
 
-__all__ = ["LinearFit", "solve", "cross_validate", "fit_linear"]
+__all__ = ["LinearFit", "solve", "cross_validate", "fit_linear", "linear_folds"]
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,11 @@ class LinearFit:
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return df.withColumn(out, self.predict())
 
+    def of_rows(self, x: np.ndarray) -> np.ndarray:
+        """Predictions of a matrix of the features; NaN where a feature that counts is missing."""
+        on = np.flatnonzero(self.coefficients)
+        return x[:, on] @ self.coefficients[on] + self.intercept
+
 
 def _on_active(a: np.ndarray, c: np.ndarray, l1: float, l2: float, b: np.ndarray) -> np.ndarray | None:
     """The exact minimum if it has the signs of ``b``: a linear system on the non-zero coordinates, then the optimality conditions."""
@@ -167,4 +172,16 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str, penalty: floa
     return solve(m[0], penalty, mixture)[0]
 
 
+def linear_folds(df: DataFrame, features: Sequence[str], label: str, fold_col: str, left_out: Sequence[int | None], penalty: float = 0.0,
+                 mixture: float = 0.0) -> list[LinearFit]:
+    """A fit without each fold of ``left_out`` (None: on all rows), all from one scan."""
+    by_fold = moments(df, [*features, label], fold_col)
+    if not by_fold:
+        raise ValueError("no complete rows")
+    total = None
+    for m in by_fold.values():
+        total = m if total is None else total + m
+    return [solve(total - by_fold[f] if f in by_fold else total, penalty, mixture)[0] for f in left_out]
+
+
 RESULT = "config int, penalty double, mixture double, fold int, rmse double, rsq double"

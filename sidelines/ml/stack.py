@@ -13,12 +13,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidelines.operators.reshape import append
 
-__all__ = ["oof_predictions", "fit_stack", "StackModel", "penalty_path"]
+__all__ = ["FoldModels", "oof_predictions", "fit_stack", "StackModel", "penalty_path"]
 
 
 def penalty_path(lo: float = -2, hi: float = -0.5, n: int = 20) -> list[float]:
@@ -26,13 +27,57 @@ def penalty_path(lo: float = -2, hi: float = -0.5, n: int = 20) -> list[float]:
     return [float(10 ** v) for v in np.linspace(lo, hi, n)]
 
 
-def oof_predictions(df: DataFrame, fold_col: str, members: Mapping[str, Callable], key: Sequence[str],
+@dataclass
+class FoldModels:
+    """One family fitted without each fold (None: on all rows); a model's ``of_rows`` predicts a matrix of ``features``."""
+    features: tuple[str, ...]
+    fold_col: str
+    models: dict
+
+    @classmethod
+    def fit(cls, fit_folds: Callable, df: DataFrame, features: Sequence[str], fold_col: str, left_out: Sequence[int | None]) -> FoldModels:
+        """``fit_folds(df, fold_col, left_out)`` gives the models in the order of ``left_out``."""
+        return cls(tuple(features), fold_col, dict(zip(left_out, fit_folds(df, fold_col, left_out))))
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Predictions of the model of all rows."""
+        model = self.models[None]
+
+        @F.pandas_udf("double")
+        def predict(*cols: pd.Series) -> pd.Series:
+            return pd.Series(model.of_rows(np.column_stack([c.to_numpy(float) for c in cols])))
+
+        return df.withColumn(out, predict(*[F.col(c).cast("double") for c in self.features]))
+
+    def out_of_fold(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """Every row's prediction by the model that has not seen its fold; one scan for all folds."""
+        models = self.models
+
+        @F.pandas_udf("double")
+        def predict(fold: pd.Series, *cols: pd.Series) -> pd.Series:
+            x, found = np.column_stack([c.to_numpy(float) for c in cols]), np.full(len(fold), np.nan)
+            for f in fold.dropna().unique():
+                mine = (fold == f).to_numpy()
+                found[mine] = models[int(f)].of_rows(x[mine])
+            return pd.Series(found)
+
+        return df.withColumn(out, predict(F.col(self.fold_col).cast("int"), *[F.col(c).cast("double") for c in self.features]))
+
+
+def oof_predictions(df: DataFrame, fold_col: str, members: Mapping[str, Callable | FoldModels], key: Sequence[str],
                     n_folds: int, parallelism: int = 4) -> DataFrame:
     """Out-of-fold predictions: member ``fit(train_df)`` returns a model whose
     ``transform`` adds ``prediction``.  Returns wide (key, fold, one column per member).
 
     The fits (members x folds) run ``parallelism`` at a time; predictions are
-    stacked by row and pivoted once, so the plan does not grow by a join per fit."""
+    stacked by row and pivoted once, so the plan does not grow by a join per fit.
+    Where all members are fitted already (:class:`FoldModels`), rows are scored in
+    one scan, without a shuffle; rows that share a key are scored each by itself."""
+    if members and all(isinstance(m, FoldModels) for m in members.values()):
+        for name, m in members.items():
+            df = m.out_of_fold(df.where(F.col(fold_col).between(0, n_folds - 1)), name)
+        return df.select(*key, fold_col, *members)
+
     def one(job) -> DataFrame:
         name, f = job
         train, hold = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
