@@ -90,6 +90,20 @@ def _walk(flat: np.ndarray, start: np.ndarray, feature: np.ndarray, limit: np.nd
     return node
 
 
+def _codes(columns: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """What :func:`_walk` gives for places in the grid, from whole columns: a comparison of each node, then the bits that hold on a row's path."""
+    def bits(node: int, left: int) -> list[np.ndarray]:
+        right = columns[feature[node]] > np.uint16(cut[node]) if cut[node] >= 0 else np.ones(columns.shape[1], bool)
+        if left == 1:
+            return [right]
+        return [right, *[a ^ (right & (a ^ b)) for a, b in zip(bits(2 * node + 1, left - 1), bits(2 * node + 2, left - 1))]]
+
+    out = np.zeros(columns.shape[1], np.uint16 if levels > 8 else np.uint8)
+    for b in bits(0, levels) if levels else ():
+        out = (out << 1) | b
+    return out
+
+
 class _Growing:
     """The trees of one fold left out while they grow; ``cut``: place of a limit in the joint grid of all folds, -1 where nothing is split."""
 
@@ -134,8 +148,8 @@ def _best(key, table: pa.Table, places: int, min_n: int) -> pa.Table:
         gain = ls * ls / ln + rs * rs / rn - whole[:, None, None]
     least = max(min_n, 1)
     gain = np.where((ln >= least) & (rn >= least), gain, -np.inf).reshape(len(n), -1)
-    at = gain.argmax(1)
-    row = np.arange(len(n))
+    row, most = np.arange(len(n)), gain.max(1)
+    at = (gain >= (most - 1e-10 * np.abs(np.where(np.isfinite(most), most, 0.0)))[:, None]).argmax(1)     # the order of sums decides no tie
     k, b = np.divmod(at, BINS - 1)
     return pa.table({"g": pa.array(np.full(len(n), key[0].as_py(), np.int32)), "m": pa.array(row.astype(np.int32)), "k": pa.array(k.astype(np.int32)),
                      "b": pa.array(b.astype(np.int32)), "split": pa.array(gain[row, at] > 1e-12 * whole), "n": pa.array(n), "s": pa.array(s),
@@ -234,15 +248,38 @@ def _nodes(alive: np.ndarray, level: int) -> np.ndarray:
     return np.where(on, np.cumsum(on) - 1, -1)
 
 
-def _sums(flat: np.ndarray, start: np.ndarray, m: np.ndarray, nodes: int, drawn: np.ndarray, lookup: np.ndarray, w: np.ndarray | None, y: np.ndarray) -> np.ndarray:
+def _sums(flat: np.ndarray, start: np.ndarray, m: np.ndarray, nodes: int, drawn: np.ndarray, lookup: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
     """[weights and weighted labels] by node, drawn feature and bin, flat; ``drawn``: features of each node."""
     places = drawn.shape[1]
     feature = drawn[m] if len(drawn) > 1 else drawn
     at = lookup.ravel().take(feature * lookup.shape[1] + flat.take(start[:, None] + feature))
     at += (m * (places * BINS))[:, None] + np.arange(places) * BINS
     at, size = at.ravel(), nodes * places * BINS
-    n = np.bincount(at, None if w is None else np.repeat(w, places), size)
-    return np.concatenate([n, np.bincount(at, np.repeat(y if w is None else w * y, places), size)])
+    return np.concatenate([np.bincount(at, np.repeat(v, places), size) for v in (w, w * y)])
+
+
+def _sums_of_columns(columns: np.ndarray, m: np.ndarray, nodes: int, lookup: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[rows and labels] by node, feature and bin, flat; a row of node ``nodes`` does not count."""
+    n, s = np.zeros((2, nodes, len(columns), BINS))
+    at, start = np.empty(len(m), np.int64), m * BINS
+    for j, column in enumerate(columns):
+        np.take(lookup[j], column, out=at, mode="clip")
+        at += start
+        n[:, j] = np.bincount(at, None, (nodes + 1) * BINS)[:nodes * BINS].reshape(nodes, BINS)
+        s[:, j] = np.bincount(at, y, (nodes + 1) * BINS)[:nodes * BINS].reshape(nodes, BINS)
+    return np.concatenate([n.ravel(), s.ravel()])
+
+
+def _boosted(columns: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
+    """Sum of the trees' values; as many trees as fit into 12 bits are looked up together."""
+    out, some = np.zeros(columns.shape[1]), max(12 // depth, 1)
+    for a in range(0, len(value), some):
+        code, table = np.zeros(columns.shape[1], np.uint16), np.zeros(1)
+        for t in range(a, min(a + some, len(value))):
+            code = (code << depth) | _codes(columns, feature[t], cut[t], depth)
+            table = (table[:, None] + value[t]).ravel()
+        out += table.take(code)
+    return out
 
 
 def _settle(binned: _Binned, grown: list[_Growing], found: list, level: int, drawn: dict, trees: int) -> None:
@@ -276,19 +313,17 @@ def forest_folds(df: DataFrame, features: Sequence[str], label: str, key: Sequen
 
         def fn(x, y, fold, rid, state=state, drawn=drawn, level=level):
             weights = _poisson_weights(rid, trees, seed) if trees > 1 else np.ones((len(y), 1))
-            flat = x.ravel()
+            flat, columns = x.ravel(), np.ascontiguousarray(x.T)
             for f, out in enumerate(left_out):
                 feature, cut, nodes = state[f]
                 use = np.ones(len(y), bool) if out is None else fold != out
                 for t in range(trees):
                     if (f, t) not in drawn:
                         continue
-                    r = np.flatnonzero(use & (weights[:, t] > 0))
-                    m = nodes[t][_walk(flat, r * p, feature[t], cut[t], level)]
-                    if (m < 0).any():
-                        r, m = r[m >= 0], m[m >= 0]
+                    m = nodes[t].take(_codes(columns, feature[t], cut[t], level))
+                    r = np.flatnonzero(use & (weights[:, t] > 0) & (m >= 0))
                     if len(r):
-                        yield f * trees + t, _sums(flat, r * p, m, len(drawn[f, t]), drawn[f, t], lookups[f], weights[r, t], y[r])
+                        yield f * trees + t, _sums(flat, r * p, m[r], len(drawn[f, t]), drawn[f, t], lookups[f], weights[r, t], y[r])
 
         _settle(binned, grown, binned.level(fn, places, min_n), level, drawn, trees)
     return [binned.finish(g, np.full(trees, 1.0 / trees)) for g in grown]
@@ -309,23 +344,17 @@ def gbt_folds(df: DataFrame, features: Sequence[str], label: str, key: Sequence[
                 break
 
             def fn(x, y, fold, rid, state=state, level=level, t=t):
-                flat = x.ravel()
+                columns = np.ascontiguousarray(x.T)
                 for f, out in enumerate(left_out):
                     feature, cut, value, nodes = state[f]
-                    if (nodes < 0).all():
-                        continue
-                    r = np.arange(len(y)) if out is None else np.flatnonzero(fold != out)
-                    m = nodes[_walk(flat, r * p, feature[t], cut[t], level)]
-                    if (m < 0).any():
-                        r, m = r[m >= 0], m[m >= 0]
-                    if not len(r):
+                    living = int(nodes.max()) + 1
+                    if not living:
                         continue
-                    to = y[r]
-                    if t:
-                        for one in range(t):
-                            to -= value[one].take(_walk(flat, r * p, feature[one], cut[one], depth))
-                        to *= 2.0
-                    yield f * trees + t, _sums(flat, r * p, m, int(nodes.max()) + 1, every, lookups[f], None, to)
+                    m = np.where(nodes < 0, living, nodes).take(_codes(columns, feature[t], cut[t], level))
+                    if out is not None:
+                        m[fold == out] = living
+                    to = 2.0 * (y - _boosted(columns, feature, cut, value, depth)) if t else y
+                    yield f * trees + t, _sums_of_columns(columns, m, living, lookups[f], to)
 
             _settle(binned, grown, binned.level(fn, p, min_n), level, {(f, t): every for f in range(len(grown))}, trees)
     return [binned.finish(g, weight) for g in grown]

@@ -87,3 +87,15 @@ def test_rows_that_share_a_key_keep_their_own_prediction(spark, rows):
     got = oof_predictions(df, "fold", fits, ["key", "id"], 3).orderBy("id").toPandas()
     want = np.array([fits["gbt"].models[i % 3].of_rows(x[i:i + 1])[0] for i in range(900)])
     assert got.columns.tolist() == ["key", "id", "fold", "gbt"] and np.abs(got["gbt"].to_numpy() - want).max() < 1e-12
+
+
+def test_codes_of_columns_are_the_nodes_of_a_walk():
+    from sidelines.ml.trees import _boosted, _codes, _walk
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 50, (200, 4)).astype(np.uint16)
+    feature, cut, value = rng.integers(0, 4, (7, 31)), rng.integers(-1, 50, (7, 31)), rng.normal(size=(7, 32))
+    for levels in range(6):
+        got = _codes(np.ascontiguousarray(x.T), feature[0], cut[0], levels)
+        assert (got == _walk(x.ravel(), np.arange(200) * 4, feature[0], cut[0], levels)).all()
+    want = sum(v[_walk(x.ravel(), np.arange(200) * 4, f, c, 5)] for f, c, v in zip(feature, cut, value))
+    assert np.abs(_boosted(np.ascontiguousarray(x.T), feature, cut, value, 5) - want).max() < 1e-12
